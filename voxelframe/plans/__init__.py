@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_texture",)
+MODULES = ("q_texture", "q_matrices")
 
 
 def load_all() -> None:

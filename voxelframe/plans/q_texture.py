@@ -113,17 +113,17 @@ box AS (SELECT case_id, max(z) - min(z) AS ez, max(y) - min(y) AS ey, max(x) - m
 SELECT case_id, angle, dist, dz, dy, dx FROM box JOIN off ON abs(dz) <= ez AND abs(dy) <= ey AND abs(dx) <= ex""")
 
 register("tx_glcm_counts",
-         lambda spark, d: texture.glcm_counts(_region(spark, d), ALL_BINS, ALL_DISTS, symmetric=False),
-         f"WITH {sql.glcm_cte(ALL_BINS, ALL_DISTS)} SELECT {sql.K3}, angle, i, j, n FROM cnt")
+         lambda spark, d: texture.glcm_counts(_region(spark, d), ALL_BINS, (1,), symmetric=False),
+         f"WITH {sql.glcm_cte(ALL_BINS, (1,))} SELECT {sql.K3}, angle, i, j, n FROM cnt")
 
 register("tx_glcm_prob",
-         lambda spark, d: rounded(texture.normalise(texture.glcm_counts(_region(spark, d), BINS, DISTS)), 9),
-         f"WITH {sql.glcm_cte(BINS, DISTS)} SELECT {sql.K3}, angle, i, j, n, {r6('p', 9)} AS p FROM p")
+         lambda spark, d: rounded(texture.normalise(texture.glcm_counts(_region(spark, d), DENSE_BINS, DENSE_DISTS)), 9),
+         f"WITH {sql.glcm_cte(DENSE_BINS, DENSE_DISTS)} SELECT {sql.K3}, angle, i, j, n, {r6('p', 9)} AS p FROM p")
 
 register("tx_glcm_variants",
          lambda spark, d: rounded(co.with_variants(texture.normalise(
-             texture.glcm_counts(_region(spark, d), BINS, DISTS))), 9).drop("n"),
-         f"WITH {sql.glcm_cte(BINS, DISTS)} SELECT {sql.K3}, angle, i, j, {r6('p', 9)} AS p, {r6('p_sq', 9)} AS p_sq, "
+             texture.glcm_counts(_region(spark, d), DENSE_BINS, DENSE_DISTS))), 9).drop("n"),
+         f"WITH {sql.glcm_cte(DENSE_BINS, DENSE_DISTS)} SELECT {sql.K3}, angle, i, j, {r6('p', 9)} AS p, {r6('p_sq', 9)} AS p_sq, "
          f"{r6('p_en', 9)} AS p_en FROM pv")
 
 
