@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_texture", "q_matrices")
+MODULES = ("q_texture", "q_matrices", "q_shape", "q_voxel")
 
 
 def load_all() -> None:
