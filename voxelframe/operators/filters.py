@@ -34,7 +34,7 @@ def crop(vox: DataFrame, pad: int = 0, shift: bool = True, keys=("case_id",), la
         aggs += [F.min(F.when(m == 1, F.col(a))).alias(f"{a}0"), F.max(F.when(m == 1, F.col(a))).alias(f"{a}1"),
                  F.min(a).alias(f"{a}a"), F.max(a).alias(f"{a}b")]
     j = vox.join(vox.groupBy(*keys).agg(*aggs), list(keys))
-    cond, out = F.lit(True), {}
+    cond, out = F.col("z0").isNotNull(), {}
     for a in AXES:
         lo = F.greatest(F.col(f"{a}0") - pad, F.col(f"{a}a"))
         hi = F.least(F.col(f"{a}1") + pad, F.col(f"{a}b"))
@@ -356,7 +356,7 @@ def polygon_fill(points: DataFrame, keys=("region", "slice")) -> DataFrame:
     w = Window.partitionBy(*keys, "contour", "y").orderBy("cx")
     rows = rows.withColumns({"k": F.row_number().over(w), "nx": F.lead("cx").over(w)}).where("k % 2 = 1")
     span = rows.where(F.ceil("cx") <= F.floor("nx"))
-    inside = span.select(*keys, "y", F.explode(F.sequence(F.ceil("cx"), F.floor("nx"))).cast("int").alias("x"))
+    inside = span.select(*keys, "y", F.explode(F.sequence(F.ceil("cx").cast("int"), F.floor("nx").cast("int"))).alias("x"))
     n = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     edge = e.withColumn("n", n).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n"))))
     step = lambda a: (F.col(f"{a}1") + F.floor(F.coalesce(F.try_divide(

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_texture", "q_matrices", "q_shape", "q_voxel")
+MODULES = ("q_texture", "q_matrices", "q_shape", "q_voxel", "q_sources")
 
 
 def load_all() -> None:

@@ -113,11 +113,11 @@ fc(dz, dy, dx) AS (VALUES (1,0,0), (-1,0,0), (0,1,0), (0,-1,0), (0,0,1), (0,0,-1
 vx AS (SELECT a.case_id, (a.z + dz * 0.5) * 2.0::DOUBLE AS z, (a.y + dy * 0.5)::DOUBLE AS y, (a.x + dx * 0.5)::DOUBLE AS x
        FROM (SELECT * FROM roi, fc) a LEFT JOIN roi b ON b.case_id = a.case_id AND b.z = a.z + a.dz AND b.y = a.y + a.dy
             AND b.x = a.x + a.dx WHERE b.case_id IS NULL),
-pr AS (SELECT a.case_id, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by, b.x AS bx,
+pr AS (SELECT a.case_id, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS b_y, b.x AS bx,
               sqrt(pow(a.z - b.z, 2) + pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) AS d FROM vx a JOIN vx b USING (case_id))
 SELECT case_id, 'all' AS kind, {r6('max(d)')} AS dist FROM pr GROUP BY case_id
 UNION ALL SELECT case_id, 'z', {r6('max(d)')} FROM pr WHERE az = bz GROUP BY case_id
-UNION ALL SELECT case_id, 'y', {r6('max(d)')} FROM pr WHERE ay = by GROUP BY case_id
+UNION ALL SELECT case_id, 'y', {r6('max(d)')} FROM pr WHERE ay = b_y GROUP BY case_id
 UNION ALL SELECT case_id, 'x', {r6('max(d)')} FROM pr WHERE ax = bx GROUP BY case_id""")
 
 _EIG = f"""WITH {T.SQL_VOX_ROI}, pc AS (SELECT case_id, z * 2.0::DOUBLE AS z, y::DOUBLE AS y, x::DOUBLE AS x FROM vox WHERE m = 1),

@@ -28,8 +28,9 @@ def hot(spark, d):
 register("flt_roi", lambda spark, d: rounded(grid.roi(T.voxels3d_roi(spark, d)).drop("m")),
          f"WITH {ROI} SELECT {C}, {r6('v')} AS v FROM vox WHERE m = 1")
 register("flt_min_mask",
-         lambda spark, d: hot(spark, d).groupBy("case_id").agg(F.sum("m").alias("size")).where("size > 10"),
-         f"WITH {HOT} SELECT case_id, CAST(sum(m) AS BIGINT) AS size FROM vox GROUP BY case_id HAVING sum(m) > 10")
+         lambda spark, d: T.voxels3d(spark, d).withColumn("m", F.when(F.col("v") > 0.1, 1).otherwise(0)).groupBy(
+             "case_id").agg(F.sum("m").alias("size")).where("size > 10"),
+         f"WITH {HOT.replace('0.2', '0.1')} SELECT case_id, CAST(sum(m) AS BIGINT) AS size FROM vox GROUP BY case_id HAVING sum(m) > 10")
 
 
 def _dims(spark, d, min_dims=2, min_size=5):
