@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_texture", "q_matrices", "q_shape", "q_voxel", "q_sources")
+MODULES = ("q_texture", "q_matrices", "q_shape", "q_voxel", "q_sources", "q_tables")
 
 
 def load_all() -> None:
