@@ -21,7 +21,7 @@ def snake(name: str) -> str:
 
 def parameterised(cls, feature, bins=None, dist=None, variant=None) -> Column:
     """<class>_<Feature>[_b_<bins>][_d_<dist>][_<variant>] with the short forms applied."""
-    parts = [cls, feature]
+    parts = [F.lit(c) if isinstance(c, str) else c for c in (cls, feature)]
     for tag, c in (("b", bins), ("d", dist)):
         if c is not None:
             parts.append(F.when(c.isNotNull(), F.concat(F.lit(f"{tag}_"), c.cast("string"))))

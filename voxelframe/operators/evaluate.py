@@ -111,7 +111,10 @@ def sensitivity_specificity(pred: DataFrame, keys=()) -> DataFrame:
                  F.lit(0).cast("long").alias("hit"))))
     t = c.select(*keys, side.alias("t")).select(*keys, "t.*").groupBy(*keys, "class").agg(
         F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hit").alias("hit"))
-    t = t.join(tot, keys) if keys else t.crossJoin(F.broadcast(tot))  # tot is one row
+    if keys:
+        t = t.join(tot, keys)
+    else:  # tot is one row
+        t = t.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), "_one")
     rest = F.col("all") - F.col("support")
     clean = rest - (F.col("called") - F.col("hit"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

@@ -374,20 +374,26 @@ register("win_stratified_folds",
          "SELECT vec_id AS case_id, CAST(label AS BIGINT) AS label, CAST(ntile(5) OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS fold FROM embeddings")
 
 
+def _with_row(df, row):
+    """Every row beside a one-row aggregate."""
+    one = F.broadcast(row.withColumn("_one", F.lit(1)))
+    return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+
+
 def qcut(df, col, parts):
     """Equal-size bins: a value's bin is the number of inner percentile edges below it, from 0."""
     vw = weighted.ranked(weighted.collapse(df.select(F.lit(0).alias("k"), F.col(col).alias("v")), ["k"]), ["k"])
     edges = vw.groupBy("k").agg(*[weighted.quantile(i / parts).alias(f"e{i}") for i in range(1, parts)]).drop("k")
     code = sum((F.when(F.col(col) > F.col(f"e{i}"), 1).otherwise(0) for i in range(2, parts)),
                F.when(F.col(col) > F.col("e1"), 1).otherwise(0))
-    return df.crossJoin(F.broadcast(edges)).withColumn("code", code).drop(*[f"e{i}" for i in range(1, parts)])  # one row of edges
+    return _with_row(df, edges).withColumn("code", code).drop(*[f"e{i}" for i in range(1, parts)])
 
 
 def cut(df, col, parts):
     """Equal-width bins, right-closed, from 0."""
     rng = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
     x = F.ceil((F.col(col) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / parts)) - 1
-    return df.crossJoin(F.broadcast(rng)).withColumn("code", F.greatest(x, F.lit(0)).cast("int")).drop("lo", "hi")  # one row
+    return _with_row(df, rng).withColumn("code", F.greatest(x, F.lit(0)).cast("int")).drop("lo", "hi")
 
 
 def _price(spark, d):
@@ -412,8 +418,8 @@ register("set_union_by_name",
          "SELECT s_name AS name, s_acctbal AS bal, NULL::VARCHAR AS seg FROM supplier UNION ALL SELECT c_name, NULL, c_mktsegment FROM customer")
 register("set_except",
          lambda spark, d: T.table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(
-             T.table(spark, d, "orders").select(F.col("o_custkey").alias("k"))),
-         "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+             T.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"))),
+         "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 register("set_intersect",
          lambda spark, d: T.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(
              T.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))),
