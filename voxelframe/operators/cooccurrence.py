@@ -82,7 +82,7 @@ GAUSSIANS = ("Gaussian", "GaussianLeftPolar", "GaussianRightPolar", "GaussianLef
              "GaussianRightFocus", "Gaussian2Focus", "Gaussian2Polar")
 
 
-def gaussian(pl: DataFrame, name: str) -> DataFrame:
+def gaussian(name: str) -> dict[str, Column]:
     mus = _centres()[name]
     cols = {}
     for sfx, nd, inv in product(SUFFIXES, (True, False), (False, True)):
@@ -91,19 +91,19 @@ def gaussian(pl: DataFrame, name: str) -> DataFrame:
             w = F.when(F.col("i") == F.col("j"), 0.0).otherwise(w)
         w = F.when(F.col("ng_present") == 1, 0.0).otherwise(w)
         cols[variant(suffix=sfx, nd=nd, inverse=inv)] = F.sum(F.col(SUFFIXES[sfx]) * w)
-    return angle_mean(pl, cols)
+    return cols
 
 
-def contrast(pv: DataFrame) -> DataFrame:
+def contrast() -> dict[str, Column]:
     d = F.col("i") - F.col("j")
-    return angle_mean(pv, {variant(suffix=s): F.sum(F.col(c) * d * d) for s, c in SUFFIXES.items()})
+    return {variant(suffix=s): F.sum(F.col(c) * d * d) for s, c in SUFFIXES.items()}
 
 
-def average(pv: DataFrame) -> DataFrame:
-    return angle_mean(pv, {variant(suffix=s): F.sum(F.col(c) * F.col("i")) for s, c in SUFFIXES.items()})
+def average() -> dict[str, Column]:
+    return {variant(suffix=s): F.sum(F.col(c) * F.col("i")) for s, c in SUFFIXES.items()}
 
 
-def autocorrelation(pv: DataFrame) -> DataFrame:
+def autocorrelation() -> dict[str, Column]:
     cols = {}
     for sfx, nd, inv in product(SUFFIXES, (True, False), (False, True)):
         w = (F.col("i") * F.col("j")).cast("double")
@@ -111,7 +111,21 @@ def autocorrelation(pv: DataFrame) -> DataFrame:
         if nd:
             w = F.when(F.col("i") == F.col("j"), 0.0).otherwise(w)
         cols[variant(suffix=sfx, nd=nd, inverse=inv)] = F.sum(F.col(SUFFIXES[sfx]) * w)
-    return angle_mean(pv, cols)
+    return cols
+
+
+def dmn() -> dict[str, Column]:
+    """Difference moment scaled by the highest level present."""
+    k = F.abs(F.col("i") - F.col("j")).cast("double")
+    cols = {}
+    for s, nd, power, inv in product(SUFFIXES, (True, False), (1, 2), (False, True)):
+        w = F.pow(k, F.lit(float(power))) / F.pow(F.col("ng").cast("double"), F.lit(float(power)))
+        if inv:
+            w = 1.0 / (1.0 + w)
+        if nd:
+            w = F.when(k == 0, 0.0).otherwise(w)
+        cols[variant(suffix=s, nd=nd, power=power, inverse=inv)] = F.sum(F.col(SUFFIXES[s]) * w)
+    return cols
 
 
 def _moments(pv: DataFrame) -> DataFrame:
@@ -147,15 +161,19 @@ def correlation(pv: DataFrame) -> DataFrame:
     return _moments(pv).groupBy(*KEYS).agg(*out)
 
 
-def cluster(pl: DataFrame) -> DataFrame:
+def with_cluster(pl: DataFrame) -> DataFrame:
     """Distance of i + j to the plain means of i*P over rows and j*P over columns."""
     rows, cols_ = Window.partitionBy(*KEYS, "angle", "j"), Window.partitionBy(*KEYS, "angle", "i")
-    df, aggs = pl, {}
-    g = F.col("ng_present")
+    df, g = pl, F.col("ng_present")
     for s, c in SUFFIXES.items():
         rm = F.sum(F.col("i") * F.col(c)).over(rows) / g
         cm = F.sum(F.col("j") * F.col(c)).over(cols_) / g
         df = df.withColumn(f"w_{s}", F.abs(F.col("i") + F.col("j") - rm - cm))
+    return df
+
+
+def cluster() -> dict[str, Column]:
+    aggs = {}
     for s, nd, power, inv in product(SUFFIXES, (True, False), (1, 2, 3, 4), (False, True)):
         b = F.col(f"w_{s}")
         w = b
@@ -166,7 +184,7 @@ def cluster(pl: DataFrame) -> DataFrame:
         if nd:
             w = F.when(F.col("i") == F.col("j"), 0.0).otherwise(w)
         aggs[variant(suffix=s, nd=nd, power=power, inverse=inv)] = F.sum(F.col(SUFFIXES[s]) * w)
-    return angle_mean(df, aggs)
+    return aggs
 
 
 # ---- marginals ----------------------------------------------------------------------------------
@@ -180,7 +198,7 @@ def sum_mass(p: DataFrame) -> DataFrame:
     return p.groupBy(*KEYS, "angle", (F.col("i") + F.col("j")).cast("double").alias("k")).agg(F.sum("p").alias("p"))
 
 
-def _homogeneity(pv: DataFrame, weight) -> DataFrame:
+def _homogeneity(weight) -> dict[str, Column]:
     k = F.col("k")
     cols = {}
     for s, nd in product(SUFFIXES, (True, False)):
@@ -188,48 +206,32 @@ def _homogeneity(pv: DataFrame, weight) -> DataFrame:
         if nd:
             w = F.when(k == 0, 0.0).otherwise(w)
         cols[variant(suffix=s, nd=nd)] = F.sum(F.col(SUFFIXES[s]) * w)
-    return angle_mean(difference_mass(pv), cols)
-
+    return cols
 
-def homogeneity1(pv: DataFrame) -> DataFrame:
-    return _homogeneity(pv, lambda k: 1.0 / (1.0 + k))
 
+def homogeneity1() -> dict[str, Column]:
+    return _homogeneity(lambda k: 1.0 / (1.0 + k))
 
-def homogeneity2(pv: DataFrame) -> DataFrame:
-    return _homogeneity(pv, lambda k: 1.0 / (1.0 + k * k))
 
+def homogeneity2() -> dict[str, Column]:
+    return _homogeneity(lambda k: 1.0 / (1.0 + k * k))
 
-def dissimilarity(pv: DataFrame) -> DataFrame:
-    return angle_mean(difference_mass(pv), {
-        variant(suffix=s): F.sum(F.col(c) * F.col("k")) for s, c in SUFFIXES.items()})
 
-
-def dmn(pl: DataFrame) -> DataFrame:
-    """Difference moment scaled by the highest level present."""
-    k = F.abs(F.col("i") - F.col("j")).cast("double")
-    cols = {}
-    for s, nd, power, inv in product(SUFFIXES, (True, False), (1, 2), (False, True)):
-        w = F.pow(k, F.lit(float(power))) / F.pow(F.col("ng").cast("double"), F.lit(float(power)))
-        if inv:
-            w = 1.0 / (1.0 + w)
-        if nd:
-            w = F.when(k == 0, 0.0).otherwise(w)
-        cols[variant(suffix=s, nd=nd, power=power, inverse=inv)] = F.sum(F.col(SUFFIXES[s]) * w)
-    return angle_mean(pl, cols)
+def dissimilarity() -> dict[str, Column]:
+    return {variant(suffix=s): F.sum(F.col(c) * F.col("k")) for s, c in SUFFIXES.items()}
 
 
 def _inv(k: Column) -> Column:
     return F.when(k == 0, 0.0).otherwise(1.0 / F.when(k == 0, 1.0).otherwise(k))
 
 
-def _mass_average(m: DataFrame, power: int) -> DataFrame:
+def mass_average(power: int) -> dict[str, Column]:
     p = F.pow(F.col("p"), F.lit(float(power))) if power > 1 else F.col("p")
-    return angle_mean(m, {variant(inverse=False): F.sum(F.col("k") * p),
-                          variant(inverse=True): F.sum(_inv(F.col("k")) * p)})
+    return {variant(inverse=False): F.sum(F.col("k") * p), variant(inverse=True): F.sum(_inv(F.col("k")) * p)}
 
 
-def _mass_entropy(m: DataFrame) -> DataFrame:
-    return angle_mean(m, {"value": -F.sum(plogp(F.col("p")))})
+def mass_entropy() -> dict[str, Column]:
+    return {"value": -F.sum(plogp(F.col("p")))}
 
 
 def _mass_variance(m: DataFrame) -> DataFrame:
@@ -283,41 +285,67 @@ def dense_values(p: DataFrame, levels: DataFrame) -> DataFrame:
     return hist.unionByName(zeros.where("w > 0"))
 
 
-FORMULAS = {
-    # name: (builder, input): pv = cells with variants, pl = the same with level facts
-    "Contrast": (contrast, "pv"),
-    "Homogeneity1": (homogeneity1, "pv"),
-    "Homogeneity2": (homogeneity2, "pv"),
-    "Dissimilarity": (dissimilarity, "pv"),
-    "Dmn": (dmn, "pl"),
-    "Autocorrelation": (autocorrelation, "pv"),
-    **{g: ((lambda pl, g=g: gaussian(pl, g)), "pl") for g in GAUSSIANS},
-    "Cluster": (cluster, "pl"),
-    "Average": (average, "pv"),
-    "Variance": (variance, "pv"),
-    "Correlation": (correlation, "pv"),
-    "SumAverage": (lambda p: _mass_average(sum_mass(p), 1), "p"),
-    "SumEnergy": (lambda p: _mass_average(sum_mass(p), 2), "p"),
-    "SumEntropy": (lambda p: _mass_entropy(sum_mass(p)), "p"),
-    "SumVariance": (lambda p: _mass_variance(sum_mass(p)), "p"),
-    "DifferenceAverage": (lambda pv: _mass_average(difference_mass(pv), 1), "pv"),
-    "DifferenceEnergy": (lambda pv: _mass_average(difference_mass(pv), 2), "pv"),
-    "DifferenceEntropy": (lambda pv: _mass_entropy(difference_mass(pv)), "pv"),
-    "DifferenceVariance": (lambda pv: _mass_variance(difference_mass(pv)), "pv"),
-    "Imc1": (imc1, "p"),
-    "Imc2": (imc2, "p"),
-}
+# per-angle sums over one table: the columns of several features can share an aggregate
+CELL = {"Contrast": contrast, "Average": average, "Autocorrelation": autocorrelation, "Dmn": dmn,
+        **{g: (lambda g=g: gaussian(g)) for g in GAUSSIANS}}
+CLUSTER = {"Cluster": cluster}
+DIFFERENCE = {"Homogeneity1": homogeneity1, "Homogeneity2": homogeneity2, "Dissimilarity": dissimilarity,
+              "DifferenceAverage": lambda: mass_average(1), "DifferenceEnergy": lambda: mass_average(2),
+              "DifferenceEntropy": mass_entropy}
+SUM = {"SumAverage": lambda: mass_average(1), "SumEnergy": lambda: mass_average(2), "SumEntropy": mass_entropy}
+WHOLE = {"Variance": variance, "Correlation": correlation,
+         "DifferenceVariance": lambda pv: _mass_variance(difference_mass(pv)),
+         "SumVariance": lambda pv: _mass_variance(sum_mass(pv)), "Imc1": imc1, "Imc2": imc2}
+FORMULAS = (*CELL, *CLUSTER, *DIFFERENCE, *SUM, *WHOLE)
+BATCH = 60  # expressions per aggregate, clear of the code generator's method limit
+
+
+def _groups(pv: DataFrame, levels: DataFrame | None, names):
+    """(builders, table) for each shared table that the names need."""
+    pick = lambda reg: {n: f for n, f in reg.items() if n in names}
+    cell, clus, diff, add = pick(CELL), pick(CLUSTER), pick(DIFFERENCE), pick(SUM)
+    ranked = with_levels(pv, levels) if levels is not None else None
+    if cell:
+        yield cell, ranked if set(cell) - {"Contrast", "Average", "Autocorrelation"} else pv
+    if clus:
+        yield clus, with_cluster(ranked)
+    if diff:
+        yield diff, difference_mass(pv)
+    if add:
+        yield add, sum_mass(pv)
+
+
+def features(p: DataFrame, levels: DataFrame, names=FORMULAS) -> DataFrame:
+    """Long (keys, feature, variant, value) of the named features over a normalised cell table."""
+    pv, out = with_variants(p), []
+    for builders, table in _groups(pv, levels, names):
+        cols = {f"{n}|{v}": c for n, f in builders.items() for v, c in f().items()}
+        items = list(cols.items())
+        for at in range(0, len(items), BATCH):
+            out.append(angle_mean(table, dict(items[at:at + BATCH])))
+    for n, fn in WHOLE.items():
+        if n in names:
+            w = fn(pv)
+            out.append(w.withColumnsRenamed({c: f"{n}|{c}" for c in w.columns if c not in KEYS}))
+    long = None
+    for w in out:
+        arr = F.array(*[F.struct(F.lit(c.split("|")[0]).alias("feature"), F.lit(c.split("|")[1]).alias("variant"),
+                                 F.col(f"`{c}`").alias("value")) for c in w.columns if c not in KEYS])
+        one = w.select(*KEYS, F.explode(arr).alias("t")).select(*KEYS, "t.*")
+        long = one if long is None else long.unionByName(one)
+    return long
 
 
 def feature(name: str, cells: DataFrame, bin_counts=(8,), distances=(1,), force2d: int | None = None) -> DataFrame:
-    """One co-occurrence feature with all its variants, per case, bin count and distance."""
-    fn, need = FORMULAS[name]
+    """One co-occurrence feature, a column per variant, per case, bin count and distance."""
     p = texture.normalise(texture.glcm_counts(cells, bin_counts, distances, force2d=force2d))
-    if need != "p":
-        p = with_variants(p)
-    if need == "pl":
-        p = with_levels(p, texture.glcm_levels(cells, bin_counts))
-    return fn(p)
+    pv = with_variants(p)
+    if name in WHOLE:
+        return WHOLE[name](pv)
+    plain = name in ("Contrast", "Average", "Autocorrelation") or name in DIFFERENCE or name in SUM
+    levels = None if plain else texture.glcm_levels(cells, bin_counts)
+    (builders, table), = _groups(pv, levels, [name])
+    return angle_mean(table, builders[name]())
 
 
 def dense(cells: DataFrame, bin_counts=(8,), distances=(1,)) -> DataFrame:

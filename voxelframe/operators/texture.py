@@ -36,12 +36,17 @@ def glcm_counts(cells: DataFrame, bin_counts=(8,), distances=(1,), symmetric: bo
         out = fine.withColumn("t", F.explode(arr)).select(
             "case_id", "dist", "angle", "n", "t.bin_count", "t.i", "t.j")
     else:
-        out = _pair_counts(grid.discretise_many(cells, bin_counts), offs, ["case_id", "bin_count"])
-        if not symmetric:
-            return out.select(*KEYS, "angle", "i", "j", "n")
-        out = out.withColumn("t", F.explode(F.array(
-            F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
-        out = out.select("case_id", "bin_count", "dist", "angle", "n", "t.i", "t.j")
+        return glcm_of_levels(grid.discretise_many(cells, bin_counts), distances, symmetric, force2d)
+    return out.groupBy(*KEYS, "angle", "i", "j").agg(F.sum("n").alias("n"))
+
+
+def glcm_of_levels(lev: DataFrame, distances=(1,), symmetric: bool = True, force2d: int | None = None) -> DataFrame:
+    """The same from cells that already carry ``bin_count`` and ``g``; case_id may be any key, a struct too."""
+    out = _pair_counts(lev, grid.offsets(distances, force2d=force2d), ["case_id", "bin_count"])
+    if not symmetric:
+        return out.select(*KEYS, "angle", "i", "j", "n")
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    out = out.withColumn("t", F.explode(both)).select(*KEYS, "angle", "n", "t.i", "t.j")
     return out.groupBy(*KEYS, "angle", "i", "j").agg(F.sum("n").alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_texture", "q_matrices", "q_shape", "q_voxel", "q_sources", "q_tables", "q_models")
+MODULES = ("q_texture", "q_matrices", "q_shape", "q_voxel", "q_sources", "q_tables", "q_models", "q_extract")
 
 
 def load_all() -> None:
