@@ -47,12 +47,6 @@ def contract(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("component contraction did not settle")
 
 
-def cell_id(z="z", y="y", x="x"):
-    """One long per cell: 21 bits an axis."""
-    return (F.shiftleft(F.col(z).cast("long") + F.lit(1048576), 42)
-            + F.shiftleft(F.col(y).cast("long") + F.lit(1048576), 21) + F.col(x).cast("long") + F.lit(1048576))
-
-
 def components(cells: DataFrame, keys=("case_id",), same: str | None = None) -> DataFrame:
     """Cells with ``comp``, the smallest cell id of their 26-neighbour component.
 
@@ -64,9 +58,9 @@ def components(cells: DataFrame, keys=("case_id",), same: str | None = None) ->
     p = grid.neighbour_pairs(cells.select(*keys, "z", "y", "x", *carry), offs, carry=carry, keys=keys)
     if same:
         p = p.where(F.col(same) == F.col(f"{same}2"))
-    edges = p.select(F.struct(*keys).alias("k"), cell_id().alias("u"), cell_id("z2", "y2", "x2").alias("w"))
+    edges = p.select(F.struct(*keys).alias("k"), grid.cell_key().alias("u"), grid.cell_key("z2", "y2", "x2").alias("w"))
     stars = contract(edges)
-    out = cells.withColumn("u", cell_id()).withColumn("k", F.struct(*keys))
+    out = cells.withColumn("u", grid.cell_key()).withColumn("k", F.struct(*keys))
     return out.join(stars, ["k", "u"], "left").withColumn("comp", F.coalesce("w", "u")).drop("k", "u", "w")
 
 

@@ -162,14 +162,17 @@ def correlation(pv: DataFrame) -> DataFrame:
 
 
 def with_cluster(pl: DataFrame) -> DataFrame:
-    """Distance of i + j to the plain means of i*P over rows and j*P over columns."""
-    rows, cols_ = Window.partitionBy(*KEYS, "angle", "j"), Window.partitionBy(*KEYS, "angle", "i")
-    df, g = pl, F.col("ng_present")
-    for s, c in SUFFIXES.items():
-        rm = F.sum(F.col("i") * F.col(c)).over(rows) / g
-        cm = F.sum(F.col("j") * F.col(c)).over(cols_) / g
-        df = df.withColumn(f"w_{s}", F.abs(F.col("i") + F.col("j") - rm - cm))
-    return df
+    """Distance of i + j to the plain means of i*P over rows and j*P over columns.
+
+    Both means are sums over one axis of the matrix, at most levels rows per angle; the cells look
+    them up by hash in the partition they already share.
+    """
+    def side(by: str, other: str, tag: str) -> DataFrame:
+        sums = [(F.sum(F.col(other) * F.col(c)) / F.first("ng_present")).alias(f"{tag}_{s}") for s, c in SUFFIXES.items()]
+        return pl.groupBy(*KEYS, "angle", by).agg(*sums).hint("shuffle_hash")
+
+    df = pl.join(side("j", "i", "rm"), [*KEYS, "angle", "j"]).join(side("i", "j", "cm"), [*KEYS, "angle", "i"])
+    return df.withColumns({f"w_{s}": F.abs(F.col("i") + F.col("j") - F.col(f"rm_{s}") - F.col(f"cm_{s}")) for s in SUFFIXES})
 
 
 def cluster() -> dict[str, Column]:

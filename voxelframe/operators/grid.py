@@ -121,6 +121,25 @@ def offset_array(offs) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, o)]) for o in offs])
 
 
+HALF = 1 << 20  # coordinates lie in [-HALF, HALF); three of them pack into one long
+
+
+def cell_key(z="z", y="y", x="x") -> Column:
+    """One long per cell, 21 bits an axis; adding ``key_step`` moves to the neighbour."""
+    part = [F.col(c).cast("long") + F.lit(HALF) for c in (z, y, x)]
+    return F.shiftleft(part[0], 42) + F.shiftleft(part[1], 21) + part[2]
+
+
+def key_step(dz: int, dy: int, dx: int) -> int:
+    return (dz << 42) + (dy << 21) + dx
+
+
+def key_axes(key: Column) -> tuple[Column, Column, Column]:
+    """The coordinates of a packed cell."""
+    mask = F.lit((1 << 21) - 1)
+    return tuple((F.shiftright(key, s).bitwiseAND(mask) - HALF).cast("int") for s in (42, 21, 0))
+
+
 def neighbour_pairs(cells: DataFrame, offs, carry=("g",), keys=("case_id",), left: bool = False,
                     block_bits: int = BLOCK_BITS) -> DataFrame:
     """Cells joined to their neighbours at the given offsets.
@@ -135,23 +154,22 @@ def neighbour_pairs(cells: DataFrame, offs, carry=("g",), keys=("case_id",), lef
     reach = {a: (min(o[2 + i] for o in offs), max(o[2 + i] for o in offs)) for i, a in enumerate(axes)}
     blocks = [f"b{a}" for a in axes]
     centre = cells
-    halo = cells.select(*keys, *axes, *[F.col(c).alias(f"{c}2") for c in carry])
+    halo = cells.select(*keys, cell_key().alias("cell2"), *axes, *[F.col(c).alias(f"{c}2") for c in carry])
     for a, b in zip(axes, blocks):
         centre = centre.withColumn(b, F.shiftright(a, block_bits))
         lo, hi = reach[a]
         first = F.shiftright(F.col(a) - hi, block_bits)
         last = F.shiftright(F.col(a) - lo, block_bits)
-        if lo == hi == 0:
-            halo = halo.withColumn(b, first)
-        else:
-            halo = halo.withColumn(b, F.explode(F.sequence(first, last)))
+        halo = halo.withColumn(b, first if lo == hi == 0 else F.explode(F.sequence(first, last)))
     place = [*keys, *blocks]
     n = parallelism(cells)
     centre = centre.repartition(n, *place)
-    halo = halo.repartition(n, *place).withColumnsRenamed({"z": "z2", "y": "y2", "x": "x2"})
-    centre = centre.withColumn("o", F.explode(offset_array(offs)))
-    centre = centre.withColumns({n: F.col(f"o.{n}") for n in ("angle", "dist", "dz", "dy", "dx")}).drop("o")
-    for a in axes:
-        centre = centre.withColumn(f"{a}2", (F.col(a) + F.col(f"d{a}")).cast("int"))
+    halo = halo.drop(*axes).repartition(n, *place)
+    step = F.array(*[F.struct(F.lit(o[0]).alias("angle"), F.lit(o[1]).alias("dist"), F.lit(key_step(*o[2:])).alias("step"))
+                     for o in offs])
+    centre = centre.withColumn("o", F.explode(step)).withColumns(
+        {"angle": F.col("o.angle"), "dist": F.col("o.dist"), "cell2": cell_key() + F.col("o.step")}).drop("o")
     # a hash join, not sort-merge: sorting would handle every exploded row
-    return centre.join(halo.hint("shuffle_hash"), [*place, "z2", "y2", "x2"], "left" if left else "inner")
+    out = centre.join(halo.hint("shuffle_hash"), [*place, "cell2"], "left" if left else "inner")
+    z2, y2, x2 = key_axes(F.col("cell2"))
+    return out.withColumns({"z2": z2, "y2": y2, "x2": x2}).drop("cell2")

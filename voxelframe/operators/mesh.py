@@ -241,7 +241,7 @@ def vertices(cells: DataFrame, keys, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     offs = [(k, 1, *o) for k, o in enumerate(((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))]
     p = grid.neighbour_pairs(cells.select(*keys, "z", "y", "x", F.lit(1).alias("hit")), offs, carry=("hit",),
                              keys=keys, left=True).where("hit2 IS NULL")
-    return p.select(*keys, *[((F.col(a) + F.col(f"d{a}") * 0.5) * float(s)).alias(a)
+    return p.select(*keys, *[((F.col(a) + F.col(f"{a}2")) * 0.5 * float(s)).alias(a)
                              for a, s in zip(("z", "y", "x"), spacing)])
 
 

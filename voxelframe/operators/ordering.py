@@ -19,7 +19,10 @@ def running(df: DataFrame, keys, order: str, sums, descending: bool = False, buc
     ``run_<sum>`` includes the row's own value.
     """
     keys = list(keys)
-    g = df.groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
+    ok = F.col(order).isNotNull()
+    for k in keys:  # stated here so that both branches below share one exchange
+        ok = ok & F.col(k).isNotNull()
+    g = df.where(ok).groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
     rng = g.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"),
                                *[F.sum(c).alias(f"tot_{c}") for c in sums])
     span = (F.col("_hi") - F.col("_lo")).cast("double")

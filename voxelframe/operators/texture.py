@@ -35,9 +35,10 @@ def glcm_counts(cells: DataFrame, bin_counts=(8,), distances=(1,), symmetric: bo
         ])
         out = fine.withColumn("t", F.explode(arr)).select(
             "case_id", "dist", "angle", "n", "t.bin_count", "t.i", "t.j")
-    else:
-        return glcm_of_levels(grid.discretise_many(cells, bin_counts), distances, symmetric, force2d)
-    return out.groupBy(*KEYS, "angle", "i", "j").agg(F.sum("n").alias("n"))
+        names = ("bin_count", "dist", "angle", "i", "j")
+        out = out.groupBy("case_id", _pack(names).alias("code")).agg(F.sum("n").alias("n"))
+        return out.select("case_id", *_unpack(names), "n")
+    return glcm_of_levels(grid.discretise_many(cells, bin_counts), distances, symmetric, force2d)
 
 
 def glcm_of_levels(lev: DataFrame, distances=(1,), symmetric: bool = True, force2d: int | None = None) -> DataFrame:
@@ -51,9 +52,29 @@ def glcm_of_levels(lev: DataFrame, distances=(1,), symmetric: bool = True, force
 
 
 def _pair_counts(lev: DataFrame, offs, keys) -> DataFrame:
+    """Counted level pairs; the four small numbers travel as one long."""
     pairs = grid.neighbour_pairs(lev.select(*keys, "z", "y", "x", "g"), offs, keys=keys)
-    return pairs.groupBy(*keys, "dist", "angle", F.col("g").alias("i"), F.col("g2").alias("j")).agg(
-        F.count(F.lit(1)).alias("n"))
+    code = _pack(("dist", "angle", "g", "g2"))
+    out = pairs.groupBy(*keys, code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(*keys, *_unpack(("dist", "angle", "i", "j")), "n")
+
+
+BITS = {"bin_count": 12, "dist": 5, "angle": 12, "g": 16, "g2": 16, "i": 16, "j": 16}
+
+
+def _pack(names) -> Column:
+    out = F.lit(0).cast("long")
+    for c in names:
+        out = F.shiftleft(out, BITS[c]) + F.col(c).cast("long")
+    return out
+
+
+def _unpack(names) -> list[Column]:
+    cols, at = [], 0
+    for c in reversed(names):
+        cols.append(F.shiftright("code", at).bitwiseAND(F.lit((1 << BITS[c]) - 1)).cast("int").alias(c))
+        at += BITS[c]
+    return cols[::-1]
 
 
 def normalise(counts: DataFrame, keys=tuple(KEYS)) -> DataFrame:

@@ -17,7 +17,10 @@ BUCKETS = 4096
 
 
 def collapse(df: DataFrame, keys, value: str = "v") -> DataFrame:
-    return df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("v")).agg(
+    ok = F.col(value).isNotNull() & ~F.isnan(value)
+    for k in keys:  # stated here so that every branch over the result shares one exchange
+        ok = ok & F.col(k).isNotNull()
+    return df.where(ok).groupBy(*keys, F.col(value).alias("v")).agg(
         F.count(F.lit(1)).alias("w"))
 
 
