@@ -119,12 +119,12 @@ def brute_stats(v):
             "RootMeanSquared": math.sqrt((v ** 2).mean()), "L2Norm": math.sqrt((v ** 2).sum())}
 
 
-@pytest.mark.parametrize("buckets", [3, 4096])
-def test_ranked_statistics(spark, buckets, monkeypatch):
+@pytest.mark.parametrize("buckets,fill", [(3, 2), (ordering.BUCKETS, ordering.FILL)])
+def test_ranked_statistics(spark, buckets, fill, monkeypatch):
     rnd = random.Random(3)
     groups = {1: [round(rnd.gauss(0, 2), 1) for _ in range(157)], 2: [5.0] * 4 + [1.0], 3: [rnd.random() ** 6 * 1e6 for _ in range(60)]}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "case_id long, v double")
-    monkeypatch.setattr(weighted.ranked, "__defaults__", (buckets,))
+    monkeypatch.setattr(ordering.running, "__defaults__", (False, buckets, fill, True))
     for r in weighted.block(weighted.collapse(df, ["case_id"]), ["case_id"]).collect():
         for name, want in brute_stats(groups[r["case_id"]]).items():
             assert r[name] == pytest.approx(want, rel=1e-9, abs=1e-9), (r["case_id"], name)
@@ -197,7 +197,7 @@ def test_running_totals(spark):
     rnd = random.Random(1)
     rows = [(c, rnd.choice([0.0, 1.5, 2.25, 1e9]) + rnd.randint(0, 5), 1) for c in "ab" for _ in range(80)]
     df = spark.createDataFrame(rows, "k string, t double, n int")
-    got = {(r["k"], r["t"]): r["run_n"] for r in ordering.running(df, ["k"], "t", ["n"], descending=True).collect()}
+    got = {(r["k"], r["t"]): r["run_n"] for r in ordering.running(df, ["k"], "t", ["n"], True, 4, 2).collect()}
     for (k, t), run in got.items():
         assert run == sum(1 for r in rows if r[0] == k and r[1] >= t)
 

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.operators import grid
 from voxelframe.operators.analyze import distances
 
 
-def _distance(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+def _distance(a: str, b: str):
+    pairs = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v))
 
 
 def knn(queries: DataFrame, train: DataFrame, k: int, pivots: int = 16, x: str = "x", qid: str = "qid",
@@ -37,10 +39,12 @@ def knn(queries: DataFrame, train: DataFrame, k: int, pivots: int = 16, x: str =
     reach = F.array_compact(F.array(*[F.when(
         F.get("_q", F.lit(int(c))) - float(stats[c]["r"]) <= F.col("bound"),
         F.struct(F.lit(int(c)).cast("long").alias("cell"), F.get("_q", F.lit(int(c))).alias("dq"))) for c in cells]))
+    # few small rows mean many distances: keep the task count whatever the bytes
+    q = q.repartition(grid.parallelism(queries), qid)
     q = q.select(qid, F.col(x).alias("_x"), "bound", F.explode(reach).alias("c")).select(
         qid, "_x", "bound", "c.cell", "c.dq")
     j = q.join(t.withColumn("cell", F.col("cell").cast("long")), "cell").where(F.abs(F.col("dq") - F.col("dp")) <= F.col("bound"))
-    j = j.withColumn("distance", _distance(F.col("_x"), F.col(x))).where(F.col("distance") <= F.col("bound"))
+    j = j.withColumn("distance", _distance("_x", x)).where(F.col("distance") <= F.col("bound"))
     rest = [c for c in train.columns if c not in (tid, x)]
     w = Window.partitionBy(qid).orderBy("distance", tid)
     return j.select(qid, tid, "distance", *rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

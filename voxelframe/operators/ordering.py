@@ -1,8 +1,9 @@
 """Running totals and ranks over a whole ordered group without sorting it in one task.
 
 A group (class, label, case) may hold a third of all rows. Rows are first summed per distinct order
-value, cut into equal-width buckets of that value, and the running total is the bucket's start plus a
-window inside the bucket.
+value. A group with many of them is cut into equal-width buckets of that value, and a bucket that still
+holds many (outliers elsewhere) is cut again over its own range. The running total is the start of the
+bucket plus a window inside the inner bucket. Small groups stay in one bucket.
 """
 
 from __future__ import annotations
@@ -10,31 +11,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 4096   # at most, per level
+FILL = 2048      # distinct values a bucket should hold
 
 
-def running(df: DataFrame, keys, order: str, sums, descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def _bucket(order: str, lo: str, hi: str, n: str, buckets: int, fill: int) -> Column:
+    """Bucket number of the value: as many buckets as the count asks for."""
+    span = (F.col(hi) - F.col(lo)).cast("double")
+    parts = F.least(F.ceil(F.col(n) / fill), F.lit(buckets))
+    pos = F.floor((F.col(order) - F.col(lo)) / F.when(span == 0, 1.0).otherwise(span) * parts)
+    return F.least(pos, parts - 1).cast("int")
+
+
+def running(df: DataFrame, keys, order: str, sums, descending: bool = False, buckets: int = BUCKETS,
+            fill: int = FILL, spread: bool = True) -> DataFrame:
     """(keys, order, sums.., run_<sum>.., tot_<sum>..) with one row per distinct order value.
 
-    ``run_<sum>`` includes the row's own value.
+    ``run_<sum>`` includes the row's own value. ``spread`` places the rows by key and value first: a
+    group then lies in many tasks, and the branches below read that one exchange. Leave it out only
+    where the input was just aggregated by key and value.
     """
     keys = list(keys)
+    if spread:
+        df = df.repartition(*keys, order)
     ok = F.col(order).isNotNull()
-    for k in keys:  # stated here so that both branches below share one exchange
+    for k in keys:  # stated here so that the branches below share one exchange
         ok = ok & F.col(k).isNotNull()
     g = df.where(ok).groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
-    rng = g.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"),
-                               *[F.sum(c).alias(f"tot_{c}") for c in sums])
-    span = (F.col("_hi") - F.col("_lo")).cast("double")
-    pos = F.floor((F.col(order) - F.col("_lo")) / F.when(span == 0, 1.0).otherwise(span) * buckets).cast("int")
-    g = g.join(rng, keys).withColumn("_b", pos).drop("_lo", "_hi")
+    ends = [F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n")]
+    rng = g.groupBy(*keys).agg(*ends, *[F.sum(c).alias(f"tot_{c}") for c in sums])
+    g = g.join(rng, keys).withColumn("_b", _bucket(order, "_lo", "_hi", "_n", buckets, fill)).drop("_lo", "_hi", "_n")
+    sub = g.groupBy(*keys, "_b").agg(*ends)  # at most BUCKETS rows a key
+    g = g.join(sub, [*keys, "_b"]).withColumn("_c", _bucket(order, "_lo", "_hi", "_n", buckets, fill)).drop("_lo", "_hi", "_n")
     o = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    tot = g.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])  # at most BUCKETS + 1 rows a key
-    w = Window.partitionBy(*keys).orderBy(o("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{c}").over(w), F.lit(0)).alias(f"_s_{c}") for c in sums])
-    i = Window.partitionBy(*keys, "_b").orderBy(o(order)).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.select("*", *[F.sum(c).over(i).alias(f"_r_{c}") for c in sums]).join(tot, [*keys, "_b"])
-    return g.select(*keys, order, *sums, *[(F.col(f"_r_{c}") + F.col(f"_s_{c}")).alias(f"run_{c}") for c in sums],
+
+    def starts(t: DataFrame, part, by: str, tag: str) -> DataFrame:
+        """Totals of the buckets before each one; a partition has at most BUCKETS rows."""
+        w = Window.partitionBy(*part).orderBy(o(by)).rowsBetween(Window.unboundedPreceding, -1)
+        return t.select(*part, by, *[F.coalesce(F.sum(f"_s_{c}").over(w), F.lit(0)).alias(f"{tag}{c}") for c in sums])
+
+    inner = g.groupBy(*keys, "_b", "_c").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
+    outer = inner.groupBy(*keys, "_b").agg(*[F.sum(f"_s_{c}").alias(f"_s_{c}") for c in sums])
+    start = starts(inner, [*keys, "_b"], "_c", "_i_").join(starts(outer, keys, "_b", "_o_"), [*keys, "_b"])
+    i = Window.partitionBy(*keys, "_b", "_c").orderBy(o(order)).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.select("*", *[F.sum(c).over(i).alias(f"_r_{c}") for c in sums]).join(start, [*keys, "_b", "_c"])
+    return g.select(*keys, order, *sums, *[(F.col(f"_r_{c}") + F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"run_{c}") for c in sums],
                     *[f"tot_{c}" for c in sums])
 
 

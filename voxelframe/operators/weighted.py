@@ -1,19 +1,17 @@
 """Order statistics and moments over (keys, v, w): distinct values with counts.
 
 Works for first-order statistics of a region (a case may hold a third of all cells) and for the
-statistics of dense matrices. Values are ranked without a per-case sort: they are first collapsed to
-distinct values, then cut into equal-width buckets per key; a window inside a bucket plus the running
-bucket totals gives each value its rank interval [c0, c1). Everything after that is a plain aggregate.
+statistics of dense matrices. Values are ranked without a per-case sort (see ``ordering``): each
+distinct value gets its rank interval [c0, c1), and everything after that is a plain aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.numeric import EPS
-
-BUCKETS = 4096
+from voxelframe.operators import ordering
 
 
 def collapse(df: DataFrame, keys, value: str = "v") -> DataFrame:
@@ -24,21 +22,11 @@ def collapse(df: DataFrame, keys, value: str = "v") -> DataFrame:
         F.count(F.lit(1)).alias("w"))
 
 
-def ranked(vw: DataFrame, keys, buckets: int = BUCKETS) -> DataFrame:
-    """Add the rank interval [c0, c1) of each distinct value and the total ``n`` of its key."""
-    keys = list(keys)
-    rng = vw.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"))
-    span = F.col("hi") - F.col("lo")
-    b = vw.join(rng, keys).withColumn(
-        "b", F.when(span == 0, 0).otherwise(
-            F.floor((F.col("v") - F.col("lo")) / F.when(span == 0, 1.0).otherwise(span) * buckets)).cast("int"))
-    tot = b.groupBy(*keys, "b").agg(F.sum("w").alias("bw"))  # at most BUCKETS + 1 rows per key
-    before = F.sum("bw").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    tot = tot.withColumn("before", F.coalesce(before, F.lit(0))).drop("bw")
-    inner = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    out = b.withColumn("c", F.sum("w").over(inner)).join(tot, [*keys, "b"])
-    return out.withColumns({"c1": F.col("before") + F.col("c")}).withColumn(
-        "c0", F.col("c1") - F.col("w")).drop("c", "before", "b")
+def ranked(vw: DataFrame, keys, spread: bool = False) -> DataFrame:
+    """(keys, v, w, n, c0, c1): the rank interval [c0, c1) of each distinct value, the key's total n."""
+    r = ordering.running(vw, keys, "v", ["w"], spread=spread)
+    return r.select(*keys, "v", "w", F.col("tot_w").alias("n"), (F.col("run_w") - F.col("w")).alias("c0"),
+                    F.col("run_w").alias("c1"))
 
 
 def at_rank(r: Column) -> Column:
@@ -144,7 +132,8 @@ def centre(vw: DataFrame, keys, kind: str, small: bool = False) -> DataFrame:
 def deviations(vw: DataFrame, keys, kind: str, small: bool = False) -> DataFrame:
     keys = list(keys)
     d = vw.join(centre(vw, keys, kind, small), keys).withColumn("d", F.abs(F.col("v") - F.col("mid")))
-    return d.groupBy(*keys, F.col("d").alias("v")).agg(F.sum("w").alias("w"))
+    # placed by value, not by key: the join above may have gathered a key in one task
+    return d.select(*keys, F.col("d").alias("v"), "w").repartition(*keys, "v").groupBy(*keys, "v").agg(F.sum("w").alias("w"))
 
 
 def central_moments(vw: DataFrame, keys) -> DataFrame:
@@ -211,7 +200,7 @@ def statistic(vw: DataFrame, keys, name: str, percent=None, small: bool = False)
         return d.groupBy(*keys).agg((_sum(F.col("v")) / _n()).alias("value"))
     if small and name != "TrimmedMean":
         return vw.groupBy(*keys).agg(ordered(name, percent, percentile).alias("value"))
-    return ranked(vw, keys).groupBy(*keys).agg(ordered(name, percent).alias("value"))
+    return ranked(vw, keys, spread=small).groupBy(*keys).agg(ordered(name, percent).alias("value"))
 
 
 def block(vw: DataFrame, keys, trims=(0.025, 0.05, 0.1, 0.25), deciles=tuple(range(10, 100, 10)),
@@ -245,7 +234,8 @@ def block(vw: DataFrame, keys, trims=(0.025, 0.05, 0.1, 0.25), deciles=tuple(ran
         (_sum(F.abs(v - F.col("_mid"))) / _n()).alias("RobustMeanAbsoluteDeviation"))
     out = base.join(two, keys).join(rob, keys)
     for kind, name in (("Mean", "MedianAbsoluteDeviationFromMean"), ("Median", "MedianAbsoluteDeviationFromMedian")):
-        d = e.groupBy(*keys, F.abs(v - F.col(kind)).alias("v")).agg(F.sum("w").alias("w"))
+        d = e.select(*keys, F.abs(v - F.col(kind)).alias("v"), "w").repartition(*keys, "v").groupBy(*keys, "v").agg(
+            F.sum("w").alias("w"))
         out = out.join(ranked(d, keys).groupBy(*keys).agg(quantile(0.5).alias(name)), keys)
     out = out.withColumn("MedianAbsoluteDeviation", F.col("MedianAbsoluteDeviationFromMedian") * 1.4826)
     return out.drop("_a", "_b", "_n", "_mid")

@@ -42,7 +42,7 @@ for _name in co.FORMULAS:
 def stat_query(vw: DataFrame, keys, name: str, small: bool = False) -> DataFrame:
     if name in ("TrimmedMean", "Deciles"):
         direct = small and name == "Deciles"
-        r = vw if direct else weighted.ranked(vw, keys)
+        r = vw if direct else weighted.ranked(vw, keys, spread=small)
         q = weighted.percentile if direct else weighted.quantile
         ps = TRIMS if name == "TrimmedMean" else DECILES
         wide = r.groupBy(*keys).agg(*[weighted.ordered(name, p, q).alias(f"c{k}") for k, p in enumerate(ps)])

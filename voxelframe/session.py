@@ -16,6 +16,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # a hot case is split in a join even where that costs one more exchange afterwards
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
