@@ -161,6 +161,11 @@ def correlation(pv: DataFrame) -> DataFrame:
     return _moments(pv).groupBy(*KEYS).agg(*out)
 
 
+def covariance(pv: DataFrame) -> DataFrame:
+    """The numerator of the correlation: sum P (i - mu)(j - mu) per angle, then the mean."""
+    return _moments(pv).groupBy(*KEYS).agg(*[F.avg(_cov(s)).alias(variant(suffix=s)) for s in SUFFIXES])
+
+
 def with_cluster(pl: DataFrame) -> DataFrame:
     """Distance of i + j to the plain means of i*P over rows and j*P over columns.
 
