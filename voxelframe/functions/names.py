@@ -38,6 +38,10 @@ def rotate(name: Column) -> Column:
     return F.regexp_replace(name, "^([^_]+)_(.*)$", "$2_$1")
 
 
+# fixed value: first part of a feature's group path
+GROUP_ROOT = "radiomics"
+
+
 def group_path(name: Column) -> Column:
-    """radiomics/<part1>/<part2>."""
-    return F.concat_ws("/", F.lit("radiomics"), F.array_join(F.slice(F.split(name, "_"), 1, 2), "/"))
+    """<root>/<part1>/<part2>."""
+    return F.concat_ws("/", F.lit(GROUP_ROOT), F.array_join(F.slice(F.split(name, "_"), 1, 2), "/"))
