@@ -1,0 +1,150 @@
+"""Operators that work row by row: quality, language, personal data, BPE."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from array import array
+
+import duckdb
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from voxelframe.llm import bpe, langid, pii, quality, queries
+
+SF = "/root/testdata/sf0.001"
+TEXTS = [None, "", " \n\t", "a", "x" * 5000, "same text", "same text", "a b c d e f g h i j k a b c d e", "é b \x1c c"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and repeated rows, extra columns that clash with result columns."""
+    rows = [(i, t, "en", True, "s") for i, t in enumerate(TEXTS)] + [(None, "null id", None, None, None), (5, "same text", "en", True, "s")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, kept boolean, spans string")
+
+
+def brute_repeat(words):
+    n = len(words) - 4
+    w = [tuple(words[i:i + 5]) for i in range(max(0, n))]
+    return len({j for i, x in enumerate(w) if w.count(x) > 1 for j in range(i, i + 5)})
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_repeat_words(words):
+    assert quality.repeat_words(words) == brute_repeat(words)
+
+
+def test_quality_sql(spark):
+    got = queries.op4_quality_cascade(spark, SF).toPandas().sort_values("doc_id")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries.ORACLES["op4_quality_cascade"]).df().sort_values("doc_id")[list(got.columns)]
+    assert got.values.tolist() == want.values.tolist()
+
+
+def test_quality_odd(odd):
+    rows = quality.apply(odd, quality.estimate(odd)).collect()
+    assert len(rows) == len(TEXTS) + 2
+    assert all(r.base_failed and not r.kept for r in rows if r.n_words < 10)
+    assert quality.apply(odd.limit(0), list(quality.RULES)).count() == 0
+
+
+def test_cascade_order_keeps_verdict(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a = quality.apply(docs, list(quality.RULES)).select("doc_id", "kept").collect()
+    b = quality.apply(docs, list(quality.RULES)[::-1]).select("doc_id", "kept").collect()
+    assert sorted(a) == sorted(b)
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    got = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert all(r.held_out for r in held) and len(held) > 100
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_odd(odd, spark):
+    model = {"de": langid.letters("der die das und nicht " * 50), "en": langid.letters("the and of that with same text " * 50)}
+    got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 2)] == ["und"] * 3 and got[5].lang_pred == "en"
+    assert {r.lang_pred for r in langid.predict(odd, {}).collect()} == {"und"}
+    from pyspark.sql import functions as F
+    assert langid.fit(odd.limit(0), F.lit(True)) == {}
+    assert set(langid.fit(odd, F.lit(True))) == {"en"}
+    assert langid.decide([5, 5], ["a", "b"], 0.01) == ("a", 0.0, True)
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), kind, m.end()))
+    return sorted(out, key=lambda s: (s[0], list(BASE).index(s[1])))
+
+
+PARTS = ["a", "b@", "@", ".", "c.d", "+", "1", "12", "4111 1111 1111 1111", "4111-1111", "10.0.0.1", "256", "(", ")", " ", "-", "é", "x", "٣",
+         "http://", "token = \"abcdef0123\"", "IBAN DE89370400440532013000", "\n", "%", "_"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=25).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_pii_base(text):
+    assert [s for s in pii.find(text) if s[1] in pii.BASE] == brute_spans(text)
+
+
+def test_pii_more():
+    kinds = [k for _, k, _ in pii.find('see https://x.org/a. token = "abcdef0123" IBAN: DE89370400440532013000 SSN 123-45-6789')]
+    assert kinds == ["url", "secret", "iban", "card", "ssn"] or kinds == ["url", "secret", "iban", "ssn"]
+    assert pii.mask("mail a@b.co now", pii.find("mail a@b.co now")) == "mail [EMAIL] now"
+    assert pii.mask("no", []) == "no"
+
+
+def test_pii_odd(odd):
+    rows = pii.scan(odd).collect()
+    assert len(rows) == len(TEXTS) + 2
+    null = next(r for r in rows if r.doc_id == 0)
+    assert null.spans == "" and null.masked is None and null.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+PATH = public_tokenizers.path(bpe.VOCABULARY)
+ORACLE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load(PATH), special_tokens={})
+
+
+@given(st.one_of(st.text(max_size=200), st.lists(st.sampled_from(["the", " ing", "\x1c", " ", "\n ", "'s", "é", "日本", "  ", "123", "aa", "ab", "!!", "​", "\x85"]), max_size=40).map("".join)))
+@settings(max_examples=600, deadline=None)
+def test_bpe(text):
+    c = bpe.codec(PATH, public_tokenizers.PATTERN)
+    ids = c.encode(text)
+    assert list(array("I", ids)) == ORACLE.encode_ordinary(text) and c.decode(ids) == text.encode()
+
+
+def test_bpe_long_piece():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdeinrst") for _ in range(20_000)) + "a" * 3000
+    assert list(array("I", bpe.codec(PATH, public_tokenizers.PATTERN).encode(text))) == ORACLE.encode_ordinary(text)
+
+
+def test_bpe_odd(odd):
+    rows = {r.doc_id: r for r in bpe.digests(odd).collect()}
+    assert rows[0].n_tokens == rows[1].n_tokens == 0 and rows[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    raw = bpe.encode(odd).collect()
+    assert len(raw) == len(TEXTS) + 2 and all(bytes(r.decoded) == (TEXTS[r.doc_id] or "").encode() for r in raw if r.doc_id is not None)
+    assert base64 and bpe.digests(odd.limit(0)).count() == 0
