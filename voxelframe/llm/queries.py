@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, langid, pii, quality
+from voxelframe.llm import bpe, langid, packing, pii, ppm, quality, warc
 from voxelframe.llm.common import crc_mod, read
+from voxelframe.session import scratch_path
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 10) == 0, F.lit(True))
+    return ppm.score(read(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
 
 
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +38,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_cascade, op5_language_id, op7_pii_spans, op8_byte_bpe)}
+def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))).drop("url")
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_ppm_score, op4_quality_cascade, op5_language_id, op7_pii_spans,
+                                   op8_byte_bpe, op9_warc_archives)}
 WORD = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {"op4_quality_cascade": rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
@@ -49,4 +64,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR word_chars NOT BETWEEN 2 * n_words AND 25 * n_words OR 10 * n_symbols > 3 * n_words
             OR 10 * n_dup_lines > 3 * n_lines OR 2 * len(regexp_extract_all(t, '\p{{L}}')) < word_chars
             OR 2 * len(regexp_extract_all(t, '[A-Z]')) > word_chars OR 10 * top > 4 * n_words OR 10 * n_ellipsis > 3 * n_lines) AS kept
-FROM b"""}
+FROM b""", "op9_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages),
+x AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS s, f FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+         ((CAST('0x' || substr(s, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM x"""}
