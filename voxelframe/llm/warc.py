@@ -35,7 +35,7 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 @dataclass(frozen=True)
 class Settings:
     archive_bytes: int = 256 << 20   # of records before compression; a new archive begins beyond
-    sample_bytes: int = 1 << 20      # records that an archive's dictionary is built from
+    sample_bytes: int = 1 << 20      # records that an archive's dictionary is built from; one gives a 16th of it at most
     dictionary_bytes: int = 1 << 15
     level: int = 3
 
@@ -87,13 +87,13 @@ class Writer:
         self.path, self.settings = f"{folder}/{uuid.uuid4().hex}.warc.zst", settings
         self.waiting: list[bytes] = []
         self.tool: zstandard.ZstdCompressor | None = None
-        self.raw = self.records = 0
+        self.raw = self.records = self.sampled = 0
         where, path = fs.FileSystem.from_uri(self.path)
         where.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out = where.open_output_stream(path)
 
     def start(self) -> None:
-        d = dictionary(self.waiting, self.settings.dictionary_bytes)
+        d = dictionary([x[:self.settings.sample_bytes // 16] for x in self.waiting], self.settings.dictionary_bytes)
         if d is not None:
             content = d.as_bytes()
             self.out.write(struct.pack("<II", SKIPPABLE, len(content)) + content)
@@ -110,7 +110,8 @@ class Writer:
             self.out.write(self.tool.compress(data))
             return
         self.waiting.append(data)
-        if self.raw >= self.settings.sample_bytes:
+        self.sampled += min(len(data), self.settings.sample_bytes // 16)
+        if self.sampled >= self.settings.sample_bytes or self.raw >= 16 * self.settings.sample_bytes:
             self.start()
 
     def close(self) -> tuple[str, int, int]:
