@@ -90,7 +90,7 @@ class Writer:
         self.raw = self.records = self.sampled = 0
         where, path = fs.FileSystem.from_uri(self.path)
         where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.out = where.open_output_stream(path)
+        self.out = where.open_output_stream(path, compression=None)  # else pyarrow compresses by the name
 
     def start(self) -> None:
         d = dictionary([x[:self.settings.sample_bytes // 16] for x in self.waiting], self.settings.dictionary_bytes)
@@ -125,7 +125,7 @@ class Writer:
 def read_archive(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive one by one."""
     where, name = fs.FileSystem.from_uri(path)
-    with where.open_input_stream(name) as f:
+    with where.open_input_stream(name, compression=None) as f:
         head = f.read(8)
         d, left = None, head
         if len(head) == 8 and struct.unpack("<I", head[:4])[0] == SKIPPABLE:
