@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +25,30 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings (dots as two underscores) for the jobs inside; restored afterwards."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The shuffle files behind it go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(id_col: Column, modulus: int) -> Column:
@@ -55,3 +77,44 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dic
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
 
     return df.mapInArrow(run, schema)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes), those met last remembered up to a bound."""
+
+    REMEMBERED, SHORT = 600_000, 48
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.SHORT:
+            if len(self) >= self.REMEMBERED:
+                self.clear()
+            self[word] = h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+HASHES = WordHashes()  # per worker
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Finalizer: every bit of the result depends on every bit of h."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def windows(h: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hash of every window of `width` hashes: a polynomial modulo 2^64 with an odd base chosen by the seed, finalized."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    base, out = np.uint64(xxhash.xxh3_64_intdigest(b"base", seed) | 1), np.zeros(n, np.uint64)
+    for k in range(width):
+        out = out * base + h[k:k + n]
+    return mixed(out)
+
+
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, byte by byte

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, langid, packing, pii, ppm, quality, warc
+from voxelframe.llm import bpe, jaccard, langid, packing, pii, ppm, quality, warc
 from voxelframe.llm.common import crc_mod, read
 from voxelframe.session import scratch_path
 
@@ -42,8 +42,12 @@ def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))).drop("url")
 
 
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_ppm_score, op4_quality_cascade, op5_language_id, op7_pii_spans,
-                                   op8_byte_bpe, op9_warc_archives)}
+                                   op8_byte_bpe, op9_warc_archives, op10_jaccard_components)}
 WORD = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {"op4_quality_cascade": rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
