@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, jaccard, langid, packing, pii, ppm, quality, warc
+from voxelframe.llm import bpe, jaccard, langid, packing, pii, ppm, quality, substrings, warc
 from voxelframe.llm.common import crc_mod, read
 from voxelframe.session import scratch_path
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_ppm_score, op4_quality_cascade, op5_language_id, op7_pii_spans,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_ppm_score, op4_quality_cascade, op5_language_id, op7_pii_spans,
                                    op8_byte_bpe, op9_warc_archives, op10_jaccard_components)}
 WORD = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {"op4_quality_cascade": rf"""
