@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, jaccard, langid, packing, pii, ppm, quality, substrings, warc
+from voxelframe.llm import bpe, jaccard, langid, packing, pii, ppm, quality, sketches, substrings, warc
 from voxelframe.llm.common import crc_mod, read
 from voxelframe.session import scratch_path
 
@@ -35,6 +35,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, ~held_out)).withColumn("held_out", held_out)
 
 
+def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_versions(read(spark, sf_dir, "documents"))
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents")).drop("masked")
 
@@ -51,7 +55,7 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_ppm_score, op4_quality_cascade, op5_language_id, op7_pii_spans,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_ppm_score, op4_quality_cascade, op5_language_id, op6_iblt_fingerprints, op7_pii_spans,
                                    op8_byte_bpe, op9_warc_archives, op10_jaccard_components)}
 WORD = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {"op4_quality_cascade": rf"""
