@@ -91,8 +91,7 @@ def signatures(docs: DataFrame, by: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(
                 (n, lo, hi, first, light), list(SETS)[2:], strict=True))], schema=SETS)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return staged(rows.mapInArrow(run, "row long, doc_id long, n long, lo long, hi long, first array<long>, light array<long>"), "sets")
+    return staged(docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, lo long, hi long, first array<long>, light array<long>"), "sets")
 
 
 def boundary(counts: dict[int, int], by: Settings) -> int:
@@ -149,22 +148,22 @@ def survivors(sets: DataFrame, x: int, by: Settings) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, by: Settings) -> DataFrame:
-    """(row, n, elements) of the wanted sets (row, doc_id, lo, hi), from their texts."""
+    """(row, n, elements) of the wanted sets (row, lo, hi), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             rows = []
             for row, lo, hi, u in zip(*(batch.column(k).to_pylist() for k in range(3)), shingles(batch.column(3).to_pylist(), by.width),
                                       strict=True):
-                if identity(u) == (lo, hi):  # another text may have the same id
-                    rows.append((row, len(u), u.view(np.int64)))
+                if identity(u) != (lo, hi):
+                    raise ValueError("the documents do not read alike each time")
+                rows.append((row, len(u), u.view(np.int64)))
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)],
                                              names=["row", "n", "elements"])
 
-    w = wanted.withColumnRenamed("doc_id", "id")
-    texts = docs.join(w, docs["doc_id"].eqNullSafe(w["id"])).select("row", "lo", "hi", "text")
-    return staged(texts.mapInArrow(run, "row long, n long, elements array<long>").dropDuplicates(["row"]), "whole-sets")
+    texts = docs.select("row", "text").join(wanted, "row").select("row", "lo", "hi", "text")
+    return staged(texts.mapInArrow(run, "row long, n long, elements array<long>"), "whole-sets")
 
 
 def shared_parts(whole: DataFrame, by: Settings) -> DataFrame:
@@ -214,29 +213,44 @@ def heavy_links(parts: DataFrame, known: DataFrame, by: Settings) -> DataFrame:
     return links.unionByName(verified(rest, parts, by))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each input row.
-
-    Null texts and texts without words have an empty set, linked with nothing (their component is their own id). Repeated
-    rows are equal sets. Rows with a null id take part; a component whose ids are all null has a null component_id. Other
-    columns are ignored.
-    """
-    docs = id_text(docs, id_col, text_col)
+def grouped(docs: DataFrame, by: Settings) -> DataFrame:
+    """(row, doc_id, n, root): rows of one component have one root; sets without elements are components of their own."""
     sets = signatures(docs, by)
-    # row: any one of the class; id: the smallest of its documents
-    classes = staged(sets.where("n > 0").groupBy("lo", "hi", "n").agg(
-        F.min(F.struct("row", "doc_id", "light")).alias("r"), F.min("doc_id").alias("id")).select(
-        "lo", "hi", "n", "r.row", "r.doc_id", "r.light", "id"), "classes")
+    # row: any one of the class
+    classes = staged(sets.where("n > 0").groupBy("lo", "hi", "n").agg(F.min(F.struct("row", "light")).alias("r"))
+                     .select("lo", "hi", "n", "r.*"), "classes")
     counts = {r["s"]: r["c"] for r in classes.groupBy(F.least("n", F.lit(LIGHT_MOST + 1)).alias("s")).agg(F.count("*").alias("c")).collect()}
     x = boundary(counts, by)
-    wanted = classes.join(survivors(sets, x, by), "row", "left_semi").select("row", "doc_id", "lo", "hi")
+    wanted = classes.join(survivors(sets, x, by), "row", "left_semi").select("row", "lo", "hi")
     parts = shared_parts(whole_sets(docs, wanted, by), by)
     links = staged(heavy_links(parts, light_links(classes, x, by), by), "all-links")
     of = contract(links.select(F.lit(0).alias("k"), "u", "w")).select(F.col("u").alias("row"), F.col("w").alias("root"))
-    linked = of.unionByName(of.select(F.col("root").alias("row"), "root").distinct())
-    inside = classes.select("row", "id").join(linked, "row")
-    smallest = inside.groupBy("root").agg(F.min("id").alias("component"))
-    final = classes.select("lo", "hi", "row", "id").join(inside.select("row", "root").join(smallest, "root"), "row", "left") \
-        .select("lo", "hi", F.coalesce("component", "id").alias("component_id"))
-    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return sets.where("n > 0").join(final, ["lo", "hi"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    roots = classes.join(of, "row", "left").select("lo", "hi", F.coalesce("root", "row").alias("root"))
+    one = sets.select("row", "doc_id", "n", "lo", "hi")
+    return one.where("n > 0").join(roots, ["lo", "hi"]).select("row", "doc_id", "n", "root") \
+        .unionByName(one.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("root")))
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Settings = Settings()) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each input row.
+
+    Null texts and texts without words have an empty set, linked with nothing (their component is their own id). Repeated
+    rows are equal sets. Rows with a null id take part; a component whose ids are all null has a null component_id. Other
+    columns are ignored. Rows are known by their number, so docs must be a table or another input that reads alike each time.
+    """
+    rows = staged(grouped(numbered(docs, id_col, text_col), by), "grouped")
+    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return rows.join(smallest, "root", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Settings = Settings()) -> DataFrame:
+    """The rows of docs, unchanged, that come first in their component: by id, null ids last, then as read."""
+    rows = grouped(numbered(docs, id_col, text_col), by)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("r"))
+    keep = staged(first.select(F.col("r.row").alias("__row")), "representatives")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(keep, "__row", "left_semi").drop("__row")

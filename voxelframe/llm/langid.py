@@ -6,6 +6,7 @@ fewest bytes, and is rejected when the runner-up is nearly as good.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import arrow_map, id_text
+from voxelframe.llm.common import arrow_map, id_text, slices
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -93,6 +94,27 @@ def decide(size: list[int], names: list[str], margin: float) -> tuple[str, float
     return names[best], saving, saving < margin
 
 
+def judge(text: str | None, encoders: list[Encoder], names: list[str], margin: float) -> tuple[str, float, bool]:
+    if not names or text is None or not LETTER.search(text):
+        return UNKNOWN, 0.0, True
+    data = letters(text)
+    return decide([e.size(data) for e in encoders], names, margin)
+
+
+def judging(docs: DataFrame, model: dict[str, bytes], settings: Settings) -> Callable[[pa.Array], list[tuple[str, float, bool]]]:
+    """A function for the executors that judges a column of texts."""
+    names = sorted(model)
+    shared = docs.sparkSession.sparkContext.broadcast({n: model[n] for n in names})  # languages x dictionary_bytes at most
+    made: list[list[Encoder]] = []
+
+    def of(texts: pa.Array) -> list[tuple[str, float, bool]]:
+        if not made:
+            made.append([Encoder(shared.value[n], settings) for n in names])
+        return [judge(t, made[0], names, settings.margin) for t in texts.to_pylist()]
+
+    return of
+
+
 def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text",
             settings: Settings = Settings()) -> DataFrame:
     """(doc_id, lang_pred, score, rejected), one row per input row.
@@ -100,19 +122,21 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
     A null text, a text without a letter, or an empty model gives ``und``, score 0, rejected. The whole text counts.
     Repeated rows and null ids give a row each; other columns are ignored.
     """
-    names = sorted(model)
-    shared = docs.sparkSession.sparkContext.broadcast({n: model[n] for n in names})  # languages x dictionary_bytes at most
-    made: list = []
-
-    def judge(data: bytes) -> tuple[str, float, bool]:
-        return decide([e.size(data) for e in made[0]], names, settings.margin)
+    judged = judging(docs, model, settings)
 
     def of(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append([Encoder(shared.value[n], settings) for n in names])
-        out = [(UNKNOWN, 0.0, True) if not names or t is None or not LETTER.search(t)
-               else judge(letters(t)) for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "lang_pred": [o[0] for o in out], "score": [o[1] for o in out],
-                "rejected": [o[2] for o in out]}
+        lang, score, rejected = zip(*judged(batch.column(1)), strict=True)
+        return {"doc_id": batch.column(0), "lang_pred": lang, "score": score, "rejected": rejected}
 
     return arrow_map(id_text(docs, id_col, text_col), of, SCHEMA)
+
+
+def accepted(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """The rows of docs, unchanged, whose text is not rejected."""
+    judged, at = judging(docs, model, settings), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not rejected for _, _, rejected in judged(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

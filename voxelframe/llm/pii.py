@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxelframe.llm.common import arrow_map, id_text
+from voxelframe.llm.common import arrow_map, id_text, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "ssn", "secret")
@@ -158,3 +159,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 "masked": [t if not f else mask(t, f) for t, f in zip(texts, found, strict=True)]}
 
     return arrow_map(id_text(docs, id_col, text_col), of, SCHEMA)
+
+
+def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs with every span of their texts masked; null texts and all other columns stay as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            columns = batch.columns
+            columns[at] = pa.array([mask(t, find(t)) if t else t for t in columns[at].to_pylist()], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -232,6 +232,28 @@ def checks(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(found, "row").select("row", "doc_id", "text", "known", "maybe").mapInArrow(run, CHECKS)
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """(row, gone) for (row, doc_id, text): where the windows that also start earlier begin, in documents that have some."""
+    placed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    rows = staged(named(placed), "named")
+    found = staged(repeats(rows), "repeats")
+    checked = staged(checks(placed, found), "windows")
+    one = checked.select("row", "doc_id", F.explode(F.arrays_zip("at", "w1", "w2")).alias("w")).select("row", "doc_id", "w.*")
+    first = one.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    later = one.join(first, ["w1", "w2"]).where("doc_id > first").groupBy("row").agg(F.collect_list("at").alias("later"))
+    known = checked.where(F.size("known") > 0).select("row", "known")
+    none = F.array().cast("array<int>")
+    return staged(known.join(later, "row", "full").select("row", F.concat(F.coalesce("known", none), F.coalesce("later", none)).alias("gone")), "gone")
+
+
+def without(words: list[bytes], starts: np.ndarray) -> list[bytes]:
+    """The words that no window beginning at one of the starts covers."""
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + WIDTH, -1)
+    return [words[k] for k in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, n_words, n_removed, kept), a row for each input row; kept are the words left, joined by one space.
 
@@ -241,36 +263,38 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     their number (monotonically_increasing_id), so docs must be a table or another input that reads alike each time.
     """
     docs = id_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    placed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    rows = staged(named(placed), "named")
-    found = staged(repeats(rows), "repeats")
-    checked = staged(checks(placed, found), "windows")
-    one = checked.select("row", "doc_id", F.explode(F.arrays_zip("at", "w1", "w2")).alias("w")).select("row", "doc_id", "w.*")
-    first = one.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = one.join(first, ["w1", "w2"]).where("doc_id > first").groupBy("row").agg(F.collect_list("at").alias("later"))
-    known = checked.where(F.size("known") > 0).select("row", "known")
-    gone = staged(known.join(later, "row", "full").select("row", F.concat(F.coalesce("known", F.array().cast("array<int>")),
-                                                                         F.coalesce("later", F.array().cast("array<int>"))).alias("gone")), "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
             n_words, n_removed, kept = [], [], []
             for text, starts in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = (text or "").encode().split()
+                left = without(words, starts.values.to_numpy()) if starts.is_valid else words
                 n_words.append(len(words))
-                if starts.is_valid:
-                    change = np.zeros(len(words) + 1, np.int64)
-                    at = starts.values.to_numpy()
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + WIDTH, -1)
-                    stay = np.flatnonzero(np.cumsum(change[:-1]) == 0)
-                    n_removed.append(len(words) - len(stay))
-                    words = [words[k] for k in stay]
-                else:
-                    n_removed.append(0)
-                kept.append(b" ".join(words).decode())
+                n_removed.append(len(words) - len(left))
+                kept.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                                               pa.array(kept, pa.string())], names=["row", "doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(gone, "row", "left").select("row", "doc_id", "text", "gone") \
+    return docs.join(repeated(docs), "row", "left").select("row", "doc_id", "text", "gone") \
         .mapInArrow(cut, "row long, doc_id long, n_words long, n_removed long, kept string")
+
+
+def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with the repeated words taken out of their texts; texts without any stay as they are, to the letter.
+
+    See dedup(). All other columns are kept as they are.
+    """
+    schema, numbered = docs.schema, docs.withColumn("__row", F.monotonically_increasing_id())
+    gone = repeated(numbered.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    at = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SLICE):
+            columns = batch.columns[:-1]
+            columns[at] = pa.array([t if not s.is_valid else b" ".join(without(t.encode().split(), s.values.to_numpy())).decode()
+                                    for t, s in zip(columns[at].to_pylist(), batch.column(len(columns)), strict=True)], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    both = numbered.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
+    return both.select(*[numbered[f"`{c}`"] for c in docs.columns], F.col("gone").alias("__gone")).mapInArrow(cut, schema)
