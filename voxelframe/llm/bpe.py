@@ -37,48 +37,41 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the leftmost pair of lowest rank merges until no neighbouring pair is a token."""
     if piece in ranks:
         return [ranks[piece]]
-    n = len(piece)
+    n, rank = len(piece), ranks.get
     size = 1 << (n - 1).bit_length()
-    tree = [NONE] * (2 * size)
-    token = [piece[i:i + 1] for i in range(n)]  # of the live symbol that starts here
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    for i in range(n - 1):
-        tree[size + i] = ranks.get(piece[i:i + 2], NONE)
+    # leaf i is the rank of the live symbols that start at byte i and at the next live byte
+    tree = [NONE] * size + [rank(piece[i:i + 2], NONE) for i in range(n - 1)] + [NONE] * (size - n + 1)
     for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def update(i: int, rank: int) -> None:
-        k = size + i
-        tree[k] = rank
-        while k > 1:
-            k >>= 1
-            low = tree[2 * k]
-            if tree[2 * k + 1] < low:
-                low = tree[2 * k + 1]
-            if tree[k] == low:
-                return
-            tree[k] = low
-
-    def pair(i: int) -> int:
-        return ranks.get(token[i] + token[after[i]], NONE) if after[i] < n else NONE
-
-    while tree[1] < NONE:
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a <= b else b
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+    while (low := tree[1]) < NONE:
         k = 1
         while k < size:
-            k = 2 * k if tree[2 * k] == tree[k] else 2 * k + 1
+            k *= 2
+            if tree[k] != low:
+                k += 1
         i = k - size
-        gone = after[i]
-        token[i] += token[gone]
-        after[i] = after[gone]
-        if after[gone] < n:
-            before[after[gone]] = i
-        update(gone, NONE)
-        update(i, pair(i))
-        if before[i] >= 0:
-            update(before[i], pair(before[i]))
+        gone, left = after[i], before[i]
+        end = after[i] = after[gone]
+        before[end] = i
+        changed = [(gone, NONE), (i, rank(piece[i:after[end]], NONE) if end < n else NONE)]
+        if left >= 0:
+            changed.append((left, rank(piece[left:end], NONE)))
+        for leaf, value in changed:
+            k = size + leaf
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    break
+                tree[k] = value
     out, i = [], 0
     while i < n:
-        out.append(ranks[token[i]])
+        out.append(ranks[piece[i:after[i]]])
         i = after[i]
     return out
 
@@ -86,7 +79,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec(dict):
     """Maps a piece to its ids as little-endian 32-bit integers; short pieces are remembered, up to a bound."""
 
-    REMEMBERED, SHORT = 400_000, 48
+    REMEMBERED, SHORT = 1_000_000, 48
 
     def __init__(self, path: str, pattern: str) -> None:
         super().__init__()
