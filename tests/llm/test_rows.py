@@ -39,6 +39,16 @@ def test_repeat_words(words):
     assert quality.repeat_words(words) == brute_repeat(words)
 
 
+def test_repeat_words_of_long_texts(monkeypatch):
+    rng = random.Random(7)
+    for alphabet in (2, 30, 10_000):
+        words = [b"%d" % rng.randrange(alphabet) for _ in range(2000)]
+        want = quality.repeat_words(words)
+        monkeypatch.setattr(quality, "LONG", 10)
+        assert quality.repeat_words(words) == want
+        monkeypatch.undo()
+
+
 def test_quality_sql(spark):
     got = queries.op4_quality_cascade(spark, SF).toPandas().sort_values("doc_id")
     con = duckdb.connect()

@@ -12,16 +12,19 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelframe.llm import common
 from voxelframe.llm.common import arrow_map, id_text, slices
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "base_failed boolean, kept boolean")
 WINDOW = 5
+LONG = 100_000  # words from which a text's windows are compared by hash, to bound memory
 
 
 @dataclass(frozen=True)
@@ -44,6 +47,14 @@ def repeat_words(words: Sequence[bytes], width: int = WINDOW) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
+    if n > LONG:  # 64-bit hashes instead of tuples
+        h = common.windows(common.HASHES.of(words), width, 4)
+        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+        change = np.zeros(len(words) + 1, np.int64)
+        at = np.flatnonzero(times[back] > 1)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + width, -1)
+        return int((np.cumsum(change) > 0).sum())
     windows = list(zip(*(words[i:] for i in range(width)), strict=False))
     counts = Counter(windows)
     if len(counts) == n:
