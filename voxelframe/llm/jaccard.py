@@ -139,12 +139,16 @@ def light_links(classes: DataFrame, x: int, by: Settings) -> DataFrame:
 
 
 def survivors(sets: DataFrame, x: int, by: Settings) -> DataFrame:
-    """Rows of sets that may have a heavy partner: enough of their first elements are also first elements of other sets."""
+    """Rows of sets that may have a heavy partner: enough of their first elements are also first elements of other sets.
+
+    What is shared is staged first, so that the join can split the rows of a very common element over many tasks.
+    """
     rows = sets.where((F.col("n") > 0) & (F.col("n") >= by.least(x + 1)))
     one = rows.select("row", "n", "lo", F.explode("first").alias("h"))
-    shared = one.groupBy("h").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").select("h")
+    shared = staged(one.groupBy("h").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").select("h"), "shared")
     least = F.greatest(F.lit(1), F.expr(f"(({by.percent} * n + 99) div 100) div 20"))
-    return one.select("row", "n", "h").join(shared, "h").groupBy("row", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("row")
+    return staged(one.select("row", "n", "h").join(shared, "h").groupBy("row", "n").agg(F.count("*").alias("c"))
+                  .where(F.col("c") >= least).select("row"), "survivors")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, by: Settings) -> DataFrame:
@@ -169,7 +173,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, by: Settings) -> DataFrame:
 def shared_parts(whole: DataFrame, by: Settings) -> DataFrame:
     """(row, n, m, shared): the m elements that another of these sets has too, rare ones first, where they are enough."""
     one = whole.select("row", "n", F.explode("elements").alias("h"))
-    df = one.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    df = staged(one.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     parts = one.join(df, "h").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
     return staged(parts.select("row", "n", F.size("shared").cast("long").alias("m"), F.col("shared.h").alias("shared"))
                   .where(F.col("m") * 100 >= F.col("n") * by.percent), "shared-parts")
@@ -194,21 +198,25 @@ def heavy_links(parts: DataFrame, known: DataFrame, by: Settings) -> DataFrame:
     lists = parts.select("row", "n", "m", F.posexplode(F.slice("shared", F.lit(1), take.cast("int"))).alias("at", "h"))
     lists = staged(lists.select("row", "n", "m", "h", F.col("at").cast("long").alias("at")), "lists")
     typical = F.min(F.struct((F.col("n") - F.col("m")).alias("k"), "row", "n", "m")).alias("p")
-    pivots = lists.groupBy("h").agg(typical, F.count("*").alias("c")).where("c > 1").select("h", "p")
+    pivots = staged(lists.groupBy("h").agg(typical, F.count("*").alias("c")).where("c > 1").select("h", "p"), "pivots")
     star = lists.join(pivots, "h").where((F.col("row") != F.col("p.row")) & possible(by, F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"))) \
         .select(F.col("row").alias("u"), F.col("p.row").alias("w")).distinct()
     links = staged(known.unionByName(verified(star, parts, by)), "links")
     of = contract(links.select(F.lit(0).alias("k"), "u", "w")).select(F.col("u").alias("row"), F.col("w").alias("c"))
     left = staged(lists.join(of, "row", "left").withColumn("c", F.coalesce("c", "row")), "lists-left")
     mixed = left.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("n").alias("low")).where("a <> b").select("h", "low")
+    mixed = staged(mixed, "mixed")
     # a set goes on if the smallest size it can meet in the list leaves room for an overlap
     least = F.greatest("low", F.expr(f"({by.percent} * n + 99) div 100"))
     left = left.join(mixed, "h").where(F.col("m") * (100 + by.percent) >= (F.col("n") + least) * by.percent).drop("low")
+    left = staged(left.join(parts.select("row", F.slice("shared", F.lit(1), take.cast("int")).alias("prefix")), "row"), "lists-mixed")
     a, b = left.alias("a"), left.alias("b")
     bound = F.least("a.at", "b.at") + F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at"))
     rest = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.c") != F.col("b.c"))
                   & possible(by, F.col("a.n"), F.col("a.m"), F.col("b.n"), F.col("b.m"))
-                  & (bound * (100 + by.percent) >= (F.col("a.n") + F.col("b.n")) * by.percent)) \
+                  & (bound * (100 + by.percent) >= (F.col("a.n") + F.col("b.n")) * by.percent)
+                  # a pair meets once, in the list of the first element that both prefixes have
+                  & (F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.h"))) \
         .select(F.col("a.row").alias("u"), F.col("b.row").alias("w")).distinct()
     return links.unionByName(verified(rest, parts, by))
 
