@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, by: Settings) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 4 << 20):
             rows = []
             for u in shingles(batch.column(2).to_pylist(), by.width):
                 n = len(u)
@@ -155,7 +155,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, by: Settings) -> DataFrame:
     """(row, n, elements) of the wanted sets (row, lo, hi), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 4 << 20):
             rows = []
             for row, lo, hi, u in zip(*(batch.column(k).to_pylist() for k in range(3)), shingles(batch.column(3).to_pylist(), by.width),
                                       strict=True):
@@ -251,7 +251,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored. Rows are known by their number, so docs must be a table or another input that reads alike each time.
     """
     rows = staged(grouped(numbered(docs, id_col, text_col), by), "grouped")
-    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
+    smallest = staged(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c"), "smallest")
     return rows.join(smallest, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -113,14 +113,14 @@ class Symbols:
 
 
 def anchors(symbols: Symbols, words: Words) -> tuple[np.ndarray, ...]:
-    """(key, doc, first window, windows): runs of windows of a document that have one anchor.
+    """(key, doc, first window, windows, anchors): runs of windows of a document whose anchors are alike, and how many those are.
 
     A window sees the symbols whose naming depends on its words alone, and takes the one of smallest key, the first of equal
     ones; equal windows take equal anchors at equal places. One that sees none is its own anchor.
     """
     at = np.flatnonzero(np.arange(len(words.hashes)) + WIDTH <= words.ends[words.doc])
     if not len(at):
-        return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+        return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 4)
     keys = words.stretch(np.maximum(symbols.low, 0), np.minimum(symbols.high, len(words.hashes)))
     first = np.searchsorted(symbols.low, at, "left")        # low and high never fall from a symbol to the next
     stop = np.searchsorted(symbols.high, at + WIDTH, "right")
@@ -131,12 +131,16 @@ def anchors(symbols: Symbols, words: Words) -> tuple[np.ndarray, ...]:
         better = keys[other] < keys[best[open_]]
         best[open_[better]] = other[better]
     own = count <= 0
+    key = keys[np.minimum(best, len(keys) - 1)]
+    key[own] = words.stretch(at[own], at[own] + WIDTH)
     best[own] = -1 - at[own]
-    new = np.ones(len(at), bool)
-    new[1:] = (best[1:] != best[:-1]) | (at[1:] != at[:-1] + 1)
+    near = at[1:] == at[:-1] + 1
+    new, other = np.ones(len(at), bool), np.ones(len(at), bool)
+    new[1:] = (key[1:] != key[:-1]) | ~near  # in periodic text neighbouring windows have different anchors that are alike
+    other[1:] = (best[1:] != best[:-1]) | ~near
     lead = np.flatnonzero(new)
-    key = np.where(own[lead], words.stretch(at[lead], at[lead] + WIDTH), keys[np.maximum(best[lead], 0)])
-    return key, words.doc[at[lead]], at[lead], np.diff(np.append(lead, len(at)))
+    times = np.diff(np.append(np.cumsum(other)[lead], other.sum() + 1))
+    return key[lead], words.doc[at[lead]], at[lead], np.diff(np.append(lead, len(at))), times
 
 
 def spans(symbols: Symbols, words: Words) -> tuple[np.ndarray, ...]:
@@ -153,12 +157,13 @@ def spans(symbols: Symbols, words: Words) -> tuple[np.ndarray, ...]:
     return words.stretch(a, b), words.stretch(a, b, 1) | np.uint64(1), symbols.doc[some], a, count[some]
 
 
-ROWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+ROWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
+                  ("times", pa.int32())])
 LAST = (1 << 63) - 1  # place of a null id in the order of documents
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """(k1, k2, row, doc_id, at, n): the anchors (k2 = 0) and high symbols of all documents, each with its n windows from at on."""
+    """(k1, k2, row, doc_id, at, n, times): the anchors (k2 = 0) and high symbols of all documents, with their n windows from at on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
@@ -169,7 +174,7 @@ def named(docs: DataFrame) -> DataFrame:
             symbols = Symbols.of(words)
             for k in range(LOW):
                 symbols = symbols.round(words, k)
-            key, doc, at, n = anchors(symbols, words)
+            key, doc, at, n, times = anchors(symbols, words)
             for k in range(LOW, HIGH):
                 symbols = symbols.round(words, k)
             k1, k2, doc2, at2, n2 = spans(symbols, words)
@@ -177,15 +182,19 @@ def named(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([key, k1]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(key), np.int64), k2.view(np.int64)])),
                  pa.array(row[doc]), pa.array(doc_id[doc]), pa.array((at - words.starts[doc]).astype(np.int32)),
-                 pa.array(np.concatenate([n, n2]).astype(np.int32))], schema=ROWS)
+                 pa.array(np.concatenate([n, n2]).astype(np.int32)),
+                 pa.array(np.concatenate([times, np.ones(len(n2), np.int64)]).astype(np.int32))], schema=ROWS)
 
-    return docs.mapInArrow(run, "k1 long, k2 long, row long, doc_id long, at int, n int")
+    return docs.mapInArrow(run, "k1 long, k2 long, row long, doc_id long, at int, n int, times int")
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """(row, known, maybe): windows that an earlier document has, and those whose anchor occurs again, as [at, n] ranges."""
-    again = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    hits = rows.join(again, ["k1", "k2"]).where("k2 = 0 OR doc_id > first")
+    """(row, known, maybe): windows that an earlier document has, and those whose anchor occurs again, as [at, n] ranges.
+
+    What occurs again is staged first: a join of two tables can split the rows of a very common symbol over many tasks.
+    """
+    again = staged(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.sum("times").alias("c")).where("c > 1").drop("c"), "again")
+    hits = rows.drop("times").join(again, ["k1", "k2"]).where("k2 = 0 OR doc_id > first")
     pair = F.struct("at", "n")
     return hits.groupBy("row").agg(F.collect_list(F.when(F.col("k2") != 0, pair)).alias("known"),
                                    F.collect_list(F.when(F.col("k2") == 0, pair)).alias("maybe"))
@@ -239,7 +248,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = staged(repeats(rows), "repeats")
     checked = staged(checks(placed, found), "windows")
     one = checked.select("row", "doc_id", F.explode(F.arrays_zip("at", "w1", "w2")).alias("w")).select("row", "doc_id", "w.*")
-    first = one.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = staged(one.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
     later = one.join(first, ["w1", "w2"]).where("doc_id > first").groupBy("row").agg(F.collect_list("at").alias("later"))
     known = checked.where(F.size("known") > 0).select("row", "known")
     none = F.array().cast("array<int>")
