@@ -28,8 +28,11 @@ def paragraphs(text: Column) -> Column:
 
 
 def keyed(digests: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """(by, columns): the arrays of digests as sets of keys; a key is a digest with how often it occurs. Empty ones are kept."""
-    one = digests.select(by, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("d")) for k, c in enumerate(columns)])).alias("v")) \
+    """(by, columns): the arrays of digests as sets of keys; a key is a digest with how often it occurs. Empty ones are kept.
+
+    Rows are dealt before they are exploded, so the aggregates that follow need no further exchange.
+    """
+    one = digests.repartition(by).select(by, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("d")) for k, c in enumerate(columns)])).alias("v")) \
         .select(by, "v.k", F.explode_outer("v.d").alias("d"))
     keys = one.groupBy(by, "k", "d").agg(F.count("*").alias("n")) \
         .withColumn("key", F.when(F.col("d").isNotNull(), F.xxhash64("d", "n")))
@@ -54,6 +57,7 @@ def tables(signed: DataFrame, by: Sequence[str], cells: int) -> DataFrame:
 
 def fingerprints(sets: DataFrame, by: str, columns: Sequence[str], cells: int = CELLS) -> DataFrame:
     """(by, columns): each set of keys as the base64 text of its table (size, then cell, count, keys, 32 check bits each)."""
+    sets = sets.repartition(by)  # once, before the cells are made
     one = sets.select(by, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("s")) for k, c in enumerate(columns)])).alias("v")) \
         .select(by, "v.k", F.explode("v.s").alias("key"), F.lit(1).alias("sign"))
     wide = lambda c, digits: F.right(F.lpad(F.hex(c), 16, "0"), F.lit(digits))
@@ -141,9 +145,10 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     links = staged(following(docs), "next")
-    texts = docs.select("row", "text")
-    heads = texts.withColumnRenamed("row", "next_row").join(links, "next_row") \
-        .select("row", "doc_id", "next_row", "need", F.expr("substring(text, 1, need)").alias("head"))
+    texts = docs.select("row", "text").repartition("row")  # both joins read this one exchange
+    t, k = texts.alias("t"), links.alias("k")
+    heads = t.join(k, F.col("t.row") == F.col("k.next_row")).select(
+        "k.row", "k.doc_id", "k.next_row", "k.need", F.expr("substring(t.text, 1, k.need)").alias("head"))
     both = texts.join(heads, "row").withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - need)"), F.col("head")))
     found = staged(both.select("row", "doc_id", "next_row", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                                paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("b")), "versions")
