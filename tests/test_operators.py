@@ -119,12 +119,12 @@ def brute_stats(v):
             "RootMeanSquared": math.sqrt((v ** 2).mean()), "L2Norm": math.sqrt((v ** 2).sum())}
 
 
-@pytest.mark.parametrize("buckets,fill", [(3, 2), (ordering.BUCKETS, ordering.FILL)])
-def test_ranked_statistics(spark, buckets, fill, monkeypatch):
+@pytest.mark.parametrize("fill", [2, ordering.FILL])
+def test_ranked_statistics(spark, fill, monkeypatch):
     rnd = random.Random(3)
     groups = {1: [round(rnd.gauss(0, 2), 1) for _ in range(157)], 2: [5.0] * 4 + [1.0], 3: [rnd.random() ** 6 * 1e6 for _ in range(60)]}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "case_id long, v double")
-    monkeypatch.setattr(ordering.running, "__defaults__", (False, buckets, fill, True))
+    monkeypatch.setattr(ordering.running, "__defaults__", (False, fill, True))
     for r in weighted.block(weighted.collapse(df, ["case_id"]), ["case_id"]).collect():
         for name, want in brute_stats(groups[r["case_id"]]).items():
             assert r[name] == pytest.approx(want, rel=1e-9, abs=1e-9), (r["case_id"], name)
@@ -237,7 +237,7 @@ def test_knn_is_exact(spark):
     q = df.where("id % 7 = 0").select(F.col("id").alias("qid"), "x")
     t = df.where("id % 7 <> 0").select(F.col("id").alias("tid"), "x", "label")
     got = defaultdict(set)
-    for r in nearest.knn(q, t, 4, pivots=5).collect():
+    for r in nearest.knn(q, t, 4).collect():
         got[r["qid"]].add(r["tid"])
     train = [i for i in range(180) if i % 7]
     for i in range(0, 180, 7):

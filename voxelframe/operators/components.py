@@ -33,18 +33,20 @@ def _fingerprint(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("k", "u", "w")), F.lit(0))).first()
 
 
-def contract(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(k, u, w): every non-minimal vertex u with the smallest vertex w of its component."""
+def contract(edges: DataFrame) -> DataFrame:
+    """(k, u, w): every non-minimal vertex u with the smallest vertex w of its component.
+
+    Rounds go on until one changes nothing: the labels only fall, so that is reached whatever the graph.
+    """
     cur = cut_lineage(edges.select("k", F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w"))
                       .where("u <> w").distinct())
     last = None
-    for _ in range(max_rounds):
+    while True:
         cur = cut_lineage(_star(_star(cur, True), False))
         now = _fingerprint(cur)
         if now == last:
             return cur
         last = now
-    raise RuntimeError("component contraction did not settle")
 
 
 def components(cells: DataFrame, keys=("case_id",), same: str | None = None) -> DataFrame:

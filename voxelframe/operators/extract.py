@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelframe.functions import names, registry
 from voxelframe.operators import cooccurrence as co
 from voxelframe.operators import emphasis, filters, grid, mesh, texture, weighted
-from voxelframe.session import scratch_path
+from voxelframe.session import stage
 
 # fixed values: the full parameter grid
 BIN_COUNTS = (2, 4, 8, 32, 64)
@@ -18,18 +20,14 @@ DISTANCES = (1, 2, 3)
 SHAPE_BIN_COUNTS = (1, *BIN_COUNTS)
 CLASSES = ("firstorder", "shape", "glcm", "glrlm")
 ALL_CLASSES = (*CLASSES, "gldm", "ngtdm")
+# an image type is a function of the voxel table; one that gives several images names them in a column image_type
 IMAGE_TYPES = {"original": lambda v: v, "square": filters.square, "squareroot": filters.square_root,
-               "logarithm": filters.logarithm, "exponential": filters.exponential, "gradient": filters.gradient}
+               "logarithm": filters.logarithm, "exponential": filters.exponential, "gradient": filters.gradient,
+               **{f"log-sigma-{s}": (lambda v, s=s: filters.log_sigma(v, float(s))) for s in (1, 2, 3)},
+               "wavelet": filters.wavelet}
 MIN_CELLS = 10
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that many branches read to the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def usable(vox: DataFrame, label: int = 1, min_cells: int = MIN_CELLS, min_dims: int = 2) -> DataFrame:
     """Region cells of cases whose region is large enough and spans enough axes."""
     cells = grid.roi(vox, label)
@@ -101,19 +99,7 @@ def segment(vox: DataFrame, classes=CLASSES, bin_counts=BIN_COUNTS, distances=DI
             min_cells: int = MIN_CELLS, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     """(case_id, feature, value) of every usable case for the wanted classes."""
     cells = stage(usable(vox, label, min_cells), "cells")
-    build = {
-        "firstorder": lambda: first_order(cells),
-        "shape": lambda: shape(cells, (1, *bin_counts), spacing),
-        "glcm": lambda: glcm(cells, bin_counts, distances),
-        "glrlm": lambda: run_length(cells, bin_counts),
-        "gldm": lambda: dependence(cells, bin_counts),
-        "ngtdm": lambda: neighbourhood(cells, bin_counts),
-    }
-    out = None
-    for c in classes:
-        one = build[c]()
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _features(cells, Settings(classes=tuple(classes), bin_counts=tuple(bin_counts), distances=tuple(distances), spacing=spacing), classes)
 
 
 def wide(long: DataFrame, cases: DataFrame, features) -> DataFrame:
@@ -126,12 +112,101 @@ def image_types(vox: DataFrame, wanted=tuple(IMAGE_TYPES)) -> DataFrame:
     """Derived images side by side: the case key becomes (case_id, image_type)."""
     out = None
     for t in wanted:
-        fn = IMAGE_TYPES.get(t) or registry.FILTERS[t]
-        one = fn(vox).withColumn("case_id", F.struct("case_id", F.lit(t).alias("image_type")))
+        one = (IMAGE_TYPES.get(t) or registry.FILTERS[t])(vox)
+        if "image_type" not in one.columns:
+            one = one.withColumn("image_type", F.lit(t))
+        one = one.withColumn("case_id", F.struct("case_id", "image_type")).drop("image_type")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What an extraction does, in the order it does it."""
+
+    label: int = 1
+    normalise: float | None = None                      # scale of the normalised image
+    clip: float | None = None                           # in standard deviations
+    spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    new_spacing: tuple[float, float, float] | None = None
+    min_cells: int = MIN_CELLS
+    resegment: tuple[float, float | None, str] | None = None   # low, high, mode
+    resegment_shape: bool = False                       # shape of the resegmented region
+    image_types: tuple[str, ...] = ("original",)
+    classes: tuple[str, ...] = CLASSES
+    bin_counts: tuple[int, ...] = BIN_COUNTS
+    distances: tuple[int, ...] = DISTANCES
+    plugins: bool = True                                # registered features too
+    names: dict[str, tuple[str, ...]] = field(default_factory=dict)   # class -> wanted features; all where missing
+
+
+def _features(cells: DataFrame, s: Settings, classes) -> DataFrame | None:
+    build = {
+        "firstorder": lambda: first_order(cells),
+        "shape": lambda: shape(cells, (1, *s.bin_counts), s.new_spacing or s.spacing),
+        "glcm": lambda: glcm(cells, s.bin_counts, s.distances),
+        "glrlm": lambda: run_length(cells, s.bin_counts),
+        "gldm": lambda: dependence(cells, s.bin_counts),
+        "ngtdm": lambda: neighbourhood(cells, s.bin_counts),
+    }
+    parts = []
+    for c in classes:
+        one = build[c]()
+        if c in s.names:
+            wanted = [F.col("feature").rlike(f"^{c}_{n}(_|$)") for n in s.names[c]]
+            one = one.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+        parts.append(one)
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def provenance(image: DataFrame, region: DataFrame) -> DataFrame:
+    """(case_id, image_type, feature, value): what the features were taken from."""
+    whole = image.groupBy("case_id").agg(F.avg("v").alias("Image_Mean"), F.min("v").alias("Image_Minimum"), F.max("v").alias("Image_Maximum"))
+    own = region.groupBy("case_id").agg(F.count(F.lit(1)).cast("double").alias("Mask_VoxelNum"), F.avg("v").alias("Mask_Mean"),
+                                        F.min("v").alias("Mask_Minimum"), F.max("v").alias("Mask_Maximum"))
+    both = own.join(whole, "case_id")
+    return both.unpivot("case_id", [c for c in both.columns if c != "case_id"], "feature", "value").select(
+        "case_id", F.lit("diagnostics").alias("image_type"), "feature", "value")
+
+
+def compose(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(case_id, image_type, feature, value): the whole chain from voxels to features.
+
+    Normalise the image, resample image (linear) and mask (nearest) to the new spacing, drop unusable regions, take shape,
+    resegment, derive the image types from the whole image and take the other classes and the registered features of each.
+    """
+    if s.normalise is not None:
+        vox = filters.normalise(vox, s.normalise, s.clip)
+    if s.new_spacing is not None:
+        geo = grid.bounding_box(vox).select("case_id", *[(F.col(f"{a}1") - F.col(f"{a}0") + 1).alias(f"n{a}") for a in filters.AXES],
+                                            *[F.lit(float(x)).alias(f"d{a}") for a, x in zip(filters.AXES, s.spacing)])
+        mask = filters.resample(vox, geo, s.new_spacing, "nearest").drop("v")
+        vox = filters.resample(vox, geo, s.new_spacing).join(mask, ["case_id", *filters.AXES])
+    vox = stage(vox, "image")
+    region = stage(usable(vox, s.label, s.min_cells), "region")
+    kept = region if s.resegment is None else stage(filters.resegment(region, *s.resegment, label=s.label), "resegmented")
+    out = []
+    if "shape" in s.classes:
+        part = _features(kept if s.resegment_shape else region, s, ["shape"])
+        out.append(part.select("case_id", F.lit("original").alias("image_type"), "feature", "value"))
+    place = kept.select("case_id", *filters.AXES)
+    images = image_types(vox.join(place.select("case_id").distinct(), "case_id", "left_semi"), s.image_types)
+    cells = images.join(place.select(F.col("case_id").alias("of"), *filters.AXES),
+                        (F.col("case_id.case_id") == F.col("of")) & reduce(lambda a, b: a & b, [images[c] == place[c] for c in filters.AXES]), "left_semi")
+    cells = stage(cells.withColumn("m", F.lit(1)), "images")
+    rest = _features(cells, s, [c for c in s.classes if c != "shape"])
+    if rest is not None:
+        out.append(rest.select("case_id.case_id", "case_id.image_type", "feature", "value"))
+    own = registry.enabled("roi")
+    if s.plugins and own:
+        wide_ = registry.apply(cells, ["case_id"])
+        long = wide_.select("case_id", *[F.col(f.name).cast("double").alias(f.name) for f in own]).unpivot(
+            "case_id", [f.name for f in own], "feature", "value")
+        out.append(long.select("case_id.case_id", "case_id.image_type", F.concat(F.lit("plugin_"), "feature").alias("feature"), "value"))
+    out.append(provenance(vox.join(place.select("case_id").distinct(), "case_id", "left_semi"), kept))
+    return reduce(DataFrame.unionByName, out)
+
+
 def kernels(cells: DataFrame, radius: int = 1, carry=("v",)) -> DataFrame:
     """Each region cell's neighbourhood as a case of its own: case_id becomes (case_id, z, y, x) of the centre."""
     span = range(-radius, radius + 1)

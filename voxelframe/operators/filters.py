@@ -107,18 +107,24 @@ def _image_box(vox, keys):
     return vox.groupBy(*keys).agg(*[f(a).alias(f"{a}{s}") for a in AXES for f, s in ((F.min, "_lo"), (F.max, "_hi"))])
 
 
+def _boxed(vox: DataFrame, keys) -> DataFrame:
+    """Cells that carry the first and last coordinate of each axis of their volume."""
+    return vox.join(_image_box(vox, list(keys)), list(keys))
+
+
 def convolve(vox: DataFrame, axis: str, taps, border: str = "edge", keys=("case_id",)) -> DataFrame:
     """Sum of taps (offset, weight, [name]) times the cell at that offset along one axis.
 
     Cells are placed by line (never longer than the axis) and each sends its weighted value to the
     cells it reaches after that exchange, so one axis costs one shuffle of the plain cells. Targets
     past the border wrap or repeat the edge. Several outputs (bands) can be produced at once: a tap
-    (offset, (w0, w1, ..)) fills columns v0, v1, ..
+    (offset, (w0, w1, ..)) fills columns v0, v1, .. A volume that carries its box (see _boxed) is not
+    measured again.
     """
     keys = list(keys)
     line = [*keys, *[a for a in AXES if a != axis]]
-    vox = vox.repartition(grid.parallelism(vox), *line)
-    j = vox.join(_image_box(vox, keys).select(*keys, f"{axis}_lo", f"{axis}_hi"), keys)
+    placed = vox.repartition(grid.parallelism(vox), *line)
+    j = placed if f"{axis}_lo" in vox.columns else placed.join(_image_box(vox, keys).select(*keys, f"{axis}_lo", f"{axis}_hi"), keys)
     lo, hi = F.col(f"{axis}_lo"), F.col(f"{axis}_hi")
     n = hi - lo + 1
     bands = len(taps[0][1])
@@ -181,11 +187,10 @@ def log_sigma(vox: DataFrame, sigma: float, spacing=(1.0, 1.0, 1.0), keys=("case
     Cases whose axes are shorter than 4 cells or than ceil(sigma / spacing) + 1 are left out.
     """
     keys = list(keys)
-    box = _image_box(vox, keys)
     ok = F.lit(True)
     for a, s in zip(AXES, spacing):
         ok = ok & (F.col(f"{a}_hi") - F.col(f"{a}_lo") + 1 >= max(4, math.ceil(sigma / s) + 1))
-    df = vox.join(box.where(ok).select(*keys), keys, "left_semi")
+    df = _boxed(vox, keys).where(ok)
     df = df.withColumn("k", F.lit(""))  # which axes were differentiated so far
     for a, s in zip(AXES, spacing):
         g, h = gaussian_taps(sigma, s), dict(gaussian_taps(sigma, s, 2))
@@ -216,10 +221,20 @@ def wavelet(vox: DataFrame, low=COIF1, axes=("x", "y", "z"), keys=("case_id",),
             start_level: int = 0) -> DataFrame:
     """Stationary transform: every combination of low and high pass, one axis at a time.
 
-    The result has a ``band`` column (one letter per axis, first axis first) and, beyond level 1, the
-    approximation is transformed again.
+    The result has an ``image_type`` column (one letter per axis, first axis first) and, beyond level 1, the
+    approximation is transformed again. An odd axis is lengthened once, before the first level, by its wrapped first
+    cell, which goes on through the levels and is left out of the results.
     """
-    cur, out = vox, None
+    cur, out = _boxed(vox, keys), None
+    for a in axes:
+        cur = cur.withColumn(f"{a}_odd", (F.col(f"{a}_hi") - F.col(f"{a}_lo")) % 2 == 0)
+        odd = F.col(f"{a}_odd")
+        cur = cur.withColumn(a, F.explode(F.when(odd & (F.col(a) == F.col(f"{a}_lo")), F.array(F.col(a), F.col(f"{a}_hi") + 1))
+                                          .otherwise(F.array(a))))
+        cur = cur.withColumn(f"{a}_hi", F.col(f"{a}_hi") + odd.cast("int"))
+    inside = F.lit(True)
+    for a in axes:
+        inside = inside & ((F.col(a) < F.col(f"{a}_hi")) | ~F.col(f"{a}_odd"))
     for lv in range(start_level + level):
         df = cur.withColumn("band", F.lit(""))
         for a in axes:
@@ -235,7 +250,7 @@ def wavelet(vox: DataFrame, low=COIF1, axes=("x", "y", "z"), keys=("case_id",),
         last = lv == start_level + level - 1
         tag = "wavelet" if lv == start_level else f"wavelet{lv - start_level + 1}"
         part = df if last else df.where(F.col("band") != approx)
-        part = part.withColumn("image_type", F.concat(F.lit(f"{tag}-"), "band")).drop("band")
+        part = part.where(inside).select(*vox.columns, F.concat(F.lit(f"{tag}-"), "band").alias("image_type"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -297,8 +312,8 @@ def resample(vox: DataFrame, geo: DataFrame, new_spacing, how: str = "linear", k
     if how == "nearest":
         src = t.select(*keys, *[f"t{a}" for a in AXES],
                        *[F.floor(F.col(f"p{a}") + 0.5).cast("int").alias(a) for a in AXES])
-        out = src.join(vox, [*keys, *AXES])
-        return out.select(*keys, *[F.col(f"t{a}").alias(a) for a in AXES], "v", "m")
+        out = src.join(vox, [*keys, *AXES], "left")  # a cell that a sparse table does not hold is 0
+        return out.select(*keys, *[F.col(f"t{a}").alias(a) for a in AXES], F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("m", F.lit(0)).alias("m"))
     corner = F.array(*[F.struct(*[F.lit(b).alias(a) for a, b in zip(AXES, bits)]) for bits in product((0, 1), repeat=3)])
     e = t.withColumn("c", F.explode(corner))
     w = F.lit(1.0)

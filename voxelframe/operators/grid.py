@@ -7,6 +7,7 @@ are plain aggregates (combined map-side) joined back, and cells are placed by *b
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -121,13 +122,18 @@ def offset_array(offs) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, o)]) for o in offs])
 
 
-HALF = 1 << 20  # coordinates lie in [-HALF, HALF); three of them pack into one long
+HALF = 1 << 20  # three coordinates pack into one long
+MARGIN = 64     # kept free at both ends, so that a step to a neighbour cannot leave the range
 
 
 def cell_key(z="z", y="y", x="x") -> Column:
-    """One long per cell, 21 bits an axis; adding ``key_step`` moves to the neighbour."""
-    part = [F.col(c).cast("long") + F.lit(HALF) for c in (z, y, x)]
-    return F.shiftleft(part[0], 42) + F.shiftleft(part[1], 21) + part[2]
+    """One long per cell, 21 bits an axis; adding ``key_step`` moves to the neighbour. Cells too far out raise."""
+    axes = [F.col(c).cast("long") for c in (z, y, x)]
+    inside = reduce(lambda a, b: a & b, [F.abs(c) < HALF - MARGIN for c in axes])
+    part = [c + F.lit(HALF) for c in axes]
+    key = F.shiftleft(part[0], 42) + F.shiftleft(part[1], 21) + part[2]
+    where = F.concat_ws(", ", *[c.cast("string") for c in axes])
+    return F.when(inside, key).otherwise(F.raise_error(F.concat(F.lit("cell outside the range of its key: "), where)).cast("long"))
 
 
 def key_step(dz: int, dy: int, dx: int) -> int:
@@ -151,6 +157,8 @@ def neighbour_pairs(cells: DataFrame, offs, carry=("g",), keys=("case_id",), lef
     """
     keys = list(keys)
     axes = ("z", "y", "x")
+    if max(abs(c) for o in offs for c in o[2:]) > MARGIN:
+        raise ValueError(f"offsets reach at most {MARGIN} cells")
     reach = {a: (min(o[2 + i] for o in offs), max(o[2 + i] for o in offs)) for i, a in enumerate(axes)}
     blocks = [f"b{a}" for a in axes]
     centre = cells

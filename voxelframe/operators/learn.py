@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.operators import ordering, select
-from voxelframe.session import cut_lineage
+from voxelframe.operators import nearest, ordering, select, tabular
+from voxelframe.session import cut_lineage, stage
 
 # fixed values: accepted model names
 MODELS = ("svc", "nusvc", "bayesgaussian", "bayesbernoulli", "knn", "logistic", "decision", "random", "xgboost",
@@ -43,16 +43,19 @@ def estimator(name: str, features: int, classes: int, **params):
     return est if classes <= 2 else c.OneVsRest(classifier=est, parallelism=4)
 
 
-def fourier_features(df: DataFrame, features, gamma: float, dims: int = 64, seed: int = 42) -> DataFrame:
-    """Random Fourier map of an rbf kernel: cos(w.x + b) columns for a linear margin model."""
+def fourier_features(df: DataFrame, features, gamma: float, dims: int = 256, seed: int = 42) -> DataFrame:
+    """Random Fourier map of an rbf kernel: cos(w.x + b) columns for a linear margin model, a matrix product a batch."""
     rng = np.random.default_rng(seed)
-    w = rng.normal(scale=math.sqrt(2 * gamma), size=(dims, len(features)))
+    w = rng.normal(scale=math.sqrt(2 * gamma), size=(len(features), dims))
     b = rng.uniform(0, 2 * math.pi, dims)
-    x = F.array(*[F.col(c) for c in features])
-    dot = lambda k: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in w[k]]), lambda a, c: a * c),
-                                F.lit(float(b[k])), lambda a, c: a + c)
+
+    @F.pandas_udf("array<double>")
+    def mapped(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.cos(np.vstack(x.to_numpy()) @ w + b) * math.sqrt(2.0 / dims)))
+
     rest = [c for c in df.columns if c not in features]
-    return df.select(*rest, *[(F.cos(dot(k)) * math.sqrt(2.0 / dims)).alias(f"rf{k}") for k in range(dims)])
+    out = df.withColumn("_rf", mapped(F.array(*[F.col(c).cast("double") for c in features])))
+    return out.select(*rest, *[F.get("_rf", F.lit(k)).alias(f"rf{k}") for k in range(dims)])
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, features, classes: int, label: str = "label", **params):
@@ -115,8 +118,8 @@ def most_likely(scores: DataFrame) -> DataFrame:
 # ---- discriminants, boosting --------------------------------------------------------------------------
 
 def discriminant(train: DataFrame, test: DataFrame, features, label: str = "label", quadratic: bool = False,
-                 ridge: float = 1e-9) -> DataFrame:
-    """Test rows with ``predict``; class means and p x p covariances come from one Gram pass."""
+                 ridge: float = 1e-9, scores: bool = False) -> DataFrame:
+    """Test rows with ``predict``, or the scores per class; class means and p x p covariances come from one Gram pass."""
     features = list(features)
     sums = select.gram(train, features, label)
     labels = sorted(sums)
@@ -135,51 +138,155 @@ def discriminant(train: DataFrame, test: DataFrame, features, label: str = "labe
         inv = [np.linalg.inv(sum(cov) / max(total - len(labels), 1) + ridge * np.eye(p))] * len(labels)
     const = [pr + 0.5 * np.linalg.slogdet(i)[1] for pr, i in zip(prior, inv)]
 
-    @F.pandas_udf("long")
-    def classify(x: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def measure(x: pd.Series) -> pd.Series:
         z = np.vstack(x.to_numpy())
-        s = np.stack([k - 0.5 * np.einsum("ij,jk,ik->i", z - m, i, z - m) for k, m, i in zip(const, mu, inv)], axis=1)
-        return pd.Series(np.array(labels)[s.argmax(axis=1)])
+        return pd.Series(list(np.stack([k - 0.5 * np.einsum("ij,jk,ik->i", z - m, i, z - m) for k, m, i in zip(const, mu, inv)], axis=1)))
 
-    return test.withColumn("predict", classify(F.array(*features)))
+    out = test.withColumn("scores", measure(F.array(*[F.col(c).cast("double") for c in features])))
+    if scores:
+        return out
+    names = F.array(*[F.lit(c) for c in labels])
+    return out.withColumn("predict", F.get(names, (F.array_position("scores", F.array_max("scores")) - 1).cast("int")).cast("long")).drop("scores")
 
 
-def adaboost(train: DataFrame, test: DataFrame, features, label: str = "label", rounds: int = 200,
-             classes: int = 2, row_id: str = "case_id") -> DataFrame:
-    """Stage-wise boosting of stumps by sample weights; weights are cut from their lineage every few rounds."""
+def stump(train: DataFrame, weight: str = "w") -> tuple[int, float, int, int]:
+    """(feature, threshold, class at or below, class above) of the best weighted split of one level; feature -1 for none."""
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    tr = select.assemble(train, features).withColumn("label", F.col(label).cast("double")).withColumn("w", F.lit(1.0))
-    votes = select.assemble(test, features)
-    total = F.lit(0.0)
-    score = [F.lit(0.0)] * classes
+    root = DecisionTreeClassifier(maxDepth=1, weightCol=weight, seed=42).fit(train)._java_obj.rootNode()
+    if root.subtreeDepth() == 0:
+        c = int(root.prediction())
+        return -1, 0.0, c, c
+    split = root.split()
+    return split.featureIndex(), float(split.threshold()), int(root.leftChild().prediction()), int(root.rightChild().prediction())
+
+
+def boost(train: DataFrame, features, label: str = "label", rounds: int = 200, classes: int = 2) -> list[tuple[int, float, int, int, float]]:
+    """Stage-wise boosting of stumps by sample weights: (feature, threshold, low class, high class, vote) per round.
+
+    A stump is five numbers, so the training rows only carry their weight; it is cut from its lineage every few rounds.
+    """
+    features = list(features)
+    tr = select.assemble(train.select(F.col(label).cast("double").alias("label"), *features), features).withColumn("w", F.lit(1.0))
+    out = []
     for k in range(rounds):
-        m = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=42, predictionCol="_h", rawPredictionCol="_r",
-                                   probabilityCol="_p").fit(tr)
-        tr = m.transform(tr)
-        wrong = F.when(F.col("_h") != F.col("label"), 1.0).otherwise(0.0)
+        f, at, low, high = stump(tr)
+        guess = F.lit(low) if f < 0 else F.when(F.col(features[f]) <= at, low).otherwise(high)
+        wrong = F.when(guess != F.col("label"), 1.0).otherwise(0.0)
         r = tr.agg(F.sum(F.col("w") * wrong).alias("e"), F.sum("w").alias("t")).first()
         err = r["e"] / r["t"]
         if err >= 1 - 1.0 / classes:
             break
-        a = math.log((1 - err) / max(err, 1e-12)) + math.log(classes - 1)
-        tr = tr.withColumn("w", F.col("w") * F.exp(a * wrong) / F.lit(r["t"])).drop("_h", "_r", "_p")
-        if k % 10 == 9:
-            tr = cut_lineage(tr)
-        votes = m.transform(votes).withColumn(f"_v{k}", F.col("_h").cast("int")).drop("_h", "_r", "_p")
-        score = [s + F.when(F.col(f"_v{k}") == c, a).otherwise(0.0) for c, s in enumerate(score)]
+        vote = math.log((1 - err) / max(err, 1e-12)) + math.log(classes - 1)
+        out.append((f, at, low, high, vote))
         if err == 0:
             break
-    best = F.array(*score)
-    out = votes.withColumn("predict", (F.array_position(best, F.array_max(best)) - 1).cast("long"))
-    return out.drop("features", *[c for c in out.columns if c.startswith("_v")])
+        tr = tr.withColumn("w", F.col("w") * F.exp(vote * wrong) / F.lit(r["t"]))
+        if k % 5 == 4:
+            tr = cut_lineage(tr)
+    return out
+
+
+def boosted_scores(test: DataFrame, features, stumps, classes: int, out: str = "scores") -> DataFrame:
+    """Test rows with the share of the votes of each class."""
+    f, at, low, high, vote = (np.array(c) for c in zip(*stumps)) if stumps else (np.zeros(0, int),) * 5
+    total = vote.sum() or 1.0
+
+    @F.pandas_udf("array<double>")
+    def votes(x: pd.Series) -> pd.Series:
+        m = np.vstack(x.to_numpy())
+        s = np.zeros((len(m), classes))
+        rows = np.arange(len(m))
+        for k in range(len(f)):
+            s[rows, np.where((f[k] < 0) | (m[:, f[k]] <= at[k]), low[k], high[k])] += vote[k]
+        return pd.Series(list(s / total))
+
+    return test.withColumn(out, votes(F.array(*[F.col(c).cast("double") for c in features])))
+
+
+def adaboost(train: DataFrame, test: DataFrame, features, label: str = "label", rounds: int = 200, classes: int = 2) -> DataFrame:
+    """Test rows with ``predict``."""
+    scored = boosted_scores(test, features, boost(train, features, label, rounds, classes), classes, "_s")
+    return scored.withColumn("predict", (F.array_position("_s", F.array_max("_s")) - 1).cast("long")).drop("_s")
+
+
+# ---- one entry for every model ----------------------------------------------------------------------------
+
+def softmax(scores: Column) -> Column:
+    top = F.array_max(scores)
+    e = F.transform(scores, lambda v: F.exp(v - top))
+    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, c: a + c))
+
+
+def _long(df: DataFrame, features, row_id: str, label: str | None = None) -> DataFrame:
+    keys = [F.col(row_id).alias("case_id"), *([F.col(label).alias("label")] if label else [])]
+    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(
+        ["case_id", *(["label"] if label else [])], list(features), "feature", "value")
+
+
+def train_score(name: str, train: DataFrame, test: DataFrame, features, label: str = "label", row_id: str = "case_id",
+                classes=None, **params) -> DataFrame:
+    """(row_id, label, predict, scores): any accepted model, fitted on train; scores are per class in ascending order, sum 1.
+
+    Classes are those of the training rows unless given. Test rows keep their order of columns out: only id and label stay.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    if name not in MODELS:
+        raise ValueError(f"no model {name}; known are {', '.join(MODELS)}")
+    features = list(features)
+    classes = list(classes) if classes is not None else tabular.classes(train, label)
+    place = F.create_map(*[v for k, c in enumerate(classes) for v in (F.lit(c), F.lit(k))])
+    tr = train.withColumn("_y", F.element_at(place, F.col(label)))
+    n = len(classes)
+    if name in ("bayesgaussian", "bayesbernoulli"):
+        fit = gaussian_nb if name == "bayesgaussian" else bernoulli_nb
+        logs = fit(_long(tr, features, row_id, "_y"), _long(test, features, row_id))
+        one = logs.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "logp"))).alias("m"))  # a row a class
+        scores = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("int")), F.lit(-1e300)))
+        out = test.join(one, test[row_id] == one["case_id"]).select(test[row_id], test[label], softmax(scores).alias("scores"))
+    elif name == "knn":
+        x = F.array(*[F.col(c).cast("double") for c in features])
+        k = params.get("n_neighbors", 20)
+        near = nearest.knn(test.select(F.col(row_id).alias("qid"), x.alias("x")), tr.select(F.col(row_id).alias("tid"), x.alias("x"), F.col("_y").alias("y")), k)
+        w = F.lit(1.0) if params.get("weights", "uniform") == "uniform" else F.coalesce(F.try_divide(F.lit(1.0), F.col("distance")), F.lit(1e300))
+        sums = near.groupBy("qid").agg(F.sum(w).alias("_t"), *[F.sum(F.when(F.col("y") == c, w).otherwise(0.0)).alias(f"_{c}") for c in range(n)])
+        out = test.join(sums, test[row_id] == sums["qid"]).select(row_id, label, F.array(*[F.col(f"_{c}") / F.col("_t") for c in range(n)]).alias("scores"))
+    elif name in ("lineardiscriminant", "quadraticdiscriminant"):
+        d = discriminant(tr, test, features, "_y", name[0] == "q", scores=True, **params)
+        out = d.select(row_id, label, softmax(F.col("scores")).alias("scores"))
+    elif name == "adaboost":
+        stumps = boost(tr, features, "_y", params.get("rounds", 200), n)
+        out = boosted_scores(test, features, stumps, n).select(row_id, label, "scores")
+    else:
+        cols, te = features, test
+        if name in ("svc", "nusvc") and params.pop("kernel", "rbf") == "rbf":
+            gamma, dims = params.pop("gamma", 1.0 / len(features)), params.pop("dims", 256)
+            tr, te = (fourier_features(x.select(row_id, *([label, "_y"] if "_y" in x.columns else [label]), *features), features, gamma, dims)
+                      for x in (tr, test))
+            cols = [c for c in tr.columns if c.startswith("rf")]
+        m, pred = fit_predict(name, tr.drop(label) if label == "label" else tr, te, cols, n, "_y", **params)
+        raw = vector_to_array("probability") if "probability" in pred.columns else softmax(vector_to_array("rawPrediction"))
+        out = pred.select(row_id, F.col(label).alias(label), raw.alias("scores"))
+    names = F.array(*[F.lit(c) for c in classes])
+    return out.select(row_id, F.col(label).cast("long").alias("label"),
+                      F.get(names, F.array_position("scores", F.array_max("scores")).cast("int") - 1).cast("long").alias("predict"), "scores")
+
+
+def class_rows(scored: DataFrame, classes, keys) -> DataFrame:
+    """(keys, class, score, hit): one row per sample and class, as the ROC and AUC functions take them."""
+    names = F.array(*[F.lit(str(c)) for c in classes])
+    t = scored.select(*keys, "label", F.posexplode("scores").alias("k", "score"))
+    return t.select(*keys, F.get(names, F.col("k")).alias("class"), "score",
+                    (F.get(names, F.col("k")) == F.col("label").cast("string")).cast("int").alias("hit"))
 
 
 # ---- folds ---------------------------------------------------------------------------------------------
 
 def cross_validate(name: str, df: DataFrame, features, classes: int, folds: int = 5, row_id: str = "case_id", **params):
     """(models, predictions): each fold fits on the others; both parts are scored (fold, part, label, predict)."""
-    data = ordering.stratified_folds(df, "label", row_id, folds)
+    data = stage(ordering.stratified_folds(df, "label", row_id, folds), "folds")
     models, out = [], None
     for f in range(folds):
         m, pred = fit_predict(name, data.where(F.col("fold") != f), data, features, classes, **params)
@@ -191,6 +298,17 @@ def cross_validate(name: str, df: DataFrame, features, classes: int, folds: int
     return models, out
 
 
+def cross_scores(name: str, df: DataFrame, features, folds: int = 5, label: str = "label", row_id: str = "case_id", **params) -> DataFrame:
+    """(fold, part, row_id, label, predict, scores) of any accepted model: each fold is fitted on the others, both parts scored."""
+    data = stage(ordering.stratified_folds(df, label, row_id, folds), "folds")
+    classes, out = tabular.classes(data, label), None
+    for f in range(folds):
+        one = train_score(name, data.where(F.col("fold") != f), data, features, label, row_id, classes, **params)
+        one = one.join(data.select(row_id, F.when(F.col("fold") == f, "valid").otherwise("train").alias("part")), row_id).withColumn("fold", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def best_fold(accuracy_by_fold: DataFrame) -> DataFrame:
     """The fold with the highest accuracy, the last one on ties."""
     return accuracy_by_fold.agg(F.max_by("fold", F.struct("accuracy", "fold")).alias("fold"))

@@ -1,9 +1,10 @@
 """Running totals and ranks over a whole ordered group without sorting it in one task.
 
 A group (class, label, case) may hold a third of all rows. Rows are first summed per distinct order
-value. A group with many of them is cut into equal-width buckets of that value, and a bucket that still
-holds many (outliers elsewhere) is cut again over its own range. The running total is the start of the
-bucket plus a window inside the inner bucket. Small groups stay in one bucket.
+value. A group with many of them is cut at its approximate quantiles, and a part that still holds many
+is cut again at its own, so parts are even whatever the distribution: 4,096 of them at most, each with
+about 1/4096 of the group's distinct values once that is more than FILL. The running total is the start
+of the part plus a window inside it. Small groups stay in one part.
 """
 
 from __future__ import annotations
@@ -11,20 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096   # at most, per level
-FILL = 2048      # distinct values a bucket should hold
+PARTS = 64       # per level; two levels
+FILL = 2048      # distinct values from which a part is cut
 
 
-def _bucket(order: str, lo: str, hi: str, n: str, buckets: int, fill: int) -> Column:
-    """Bucket number of the value: as many buckets as the count asks for."""
-    span = (F.col(hi) - F.col(lo)).cast("double")
-    parts = F.least(F.ceil(F.col(n) / fill), F.lit(buckets))
-    pos = F.floor((F.col(order) - F.col(lo)) / F.when(span == 0, 1.0).otherwise(span) * parts)
-    return F.least(pos, parts - 1).cast("int")
+def _cuts(order: str) -> Column:
+    return F.percentile_approx(order, [k / PARTS for k in range(1, PARTS)], 10_000)
 
 
-def running(df: DataFrame, keys, order: str, sums, descending: bool = False, buckets: int = BUCKETS,
-            fill: int = FILL, spread: bool = True) -> DataFrame:
+def _part(order: str, cuts: str) -> Column:
+    """How many of the cuts lie below the value; 0 where there are none."""
+    return F.coalesce(F.size(F.filter(F.col(cuts), lambda c: c < F.col(order))), F.lit(0))
+
+
+def running(df: DataFrame, keys, order: str, sums, descending: bool = False, fill: int = FILL, spread: bool = True) -> DataFrame:
     """(keys, order, sums.., run_<sum>.., tot_<sum>..) with one row per distinct order value.
 
     ``run_<sum>`` includes the row's own value. ``spread`` places the rows by key and value first: a
@@ -38,15 +39,17 @@ def running(df: DataFrame, keys, order: str, sums, descending: bool = False, buc
     for k in keys:  # stated here so that the branches below share one exchange
         ok = ok & F.col(k).isNotNull()
     g = df.where(ok).groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
-    ends = [F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n")]
-    rng = g.groupBy(*keys).agg(*ends, *[F.sum(c).alias(f"tot_{c}") for c in sums])
-    g = g.join(rng, keys).withColumn("_b", _bucket(order, "_lo", "_hi", "_n", buckets, fill)).drop("_lo", "_hi", "_n")
-    sub = g.groupBy(*keys, "_b").agg(*ends)  # at most BUCKETS rows a key
-    g = g.join(sub, [*keys, "_b"]).withColumn("_c", _bucket(order, "_lo", "_hi", "_n", buckets, fill)).drop("_lo", "_hi", "_n")
+    rng = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"tot_{c}") for c in sums])
+    g = g.join(rng, keys)
+    first = g.where(F.col("_n") > fill).groupBy(*keys).agg(_cuts(order).alias("_cuts"))  # large groups only
+    g = g.join(first, keys, "left").withColumn("_b", _part(order, "_cuts")).drop("_cuts")
+    second = g.where(F.col("_n") > fill).groupBy(*keys, "_b").agg(_cuts(order).alias("_cuts"), F.count(F.lit(1)).alias("_m")) \
+        .where(F.col("_m") > fill).drop("_m")
+    g = g.join(second, [*keys, "_b"], "left").withColumn("_c", _part(order, "_cuts")).drop("_cuts", "_n")
     o = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
 
     def starts(t: DataFrame, part, by: str, tag: str) -> DataFrame:
-        """Totals of the buckets before each one; a partition has at most BUCKETS rows."""
+        """Totals of the parts before each one; a partition has at most PARTS rows."""
         w = Window.partitionBy(*part).orderBy(o(by)).rowsBetween(Window.unboundedPreceding, -1)
         return t.select(*part, by, *[F.coalesce(F.sum(f"_s_{c}").over(w), F.lit(0)).alias(f"{tag}{c}") for c in sums])
 

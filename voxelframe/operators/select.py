@@ -150,8 +150,33 @@ def _fold_sums(df, features, target_cols, label, row_id, folds):
     return gram(f, [*features, *target_cols], "fold")
 
 
+def _chains(spark, jobs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Coefficients [alpha, feature] of warm-started chains of strengths, each chain (G, c, alphas) in a task of its own."""
+    shared = spark.sparkContext.broadcast(jobs)  # a p x p matrix for each chain
+
+    def solve(batches):
+        for batch in batches:
+            for name in batch["name"]:
+                g, c, alphas = shared.value[name]
+                b = np.zeros(len(c))
+                rows = []
+                for a in alphas:
+                    b = _lasso_solve(g, c, a, b)
+                    rows.append(b.copy())
+                yield pd.DataFrame({"name": name, "k": range(len(rows)), "coef": [r.tolist() for r in rows]})
+
+    names = spark.createDataFrame([(n,) for n in jobs], "name string").repartition(len(jobs), "name")
+    out = {n: np.zeros((len(j[2]), len(j[1]))) for n, j in jobs.items()}
+    for r in names.mapInPandas(solve, "name string, k int, coef array<double>").collect():  # chains x alphas x p numbers
+        out[r["name"]][r["k"]] = r["coef"]
+    return out
+
+
 def lasso_cv(df: DataFrame, features, y: str, label: str, row_id: str, folds: int = 5, n_alphas: int = 100):
-    """dict(alpha, coef, alphas, mse[alpha, fold], path_alphas, path[alpha, feature])."""
+    """dict(alpha, coef, alphas, mse[alpha, fold], path_alphas, path[alpha, feature]).
+
+    Rows are read once for fold-wise Gram sums; the chain of each fold, and that of all rows, is solved in its own task.
+    """
     features = list(features)
     p = len(features)
     parts = _fold_sums(df, features, [y], label, row_id, folds)
@@ -159,26 +184,21 @@ def lasso_cv(df: DataFrame, features, y: str, label: str, row_id: str, folds: in
     n, _, _, xx, xy, _ = _centred(total, p)
     top = np.abs(xy[:, 0]).max() / n
     alphas = np.logspace(math.log10(top), math.log10(top * 1e-3), n_alphas)
-    mse = np.zeros((n_alphas, folds))
+    jobs, means = {"all": (xx / n, xy[:, 0] / n, alphas)}, {}
     for f in range(folds):
-        test = parts[f]
-        m, mu, yb, gx, gy, _ = _centred(total - test, p)
-        b = np.zeros(p)
-        for k, a in enumerate(alphas):
-            b = _lasso_solve(gx / m, gy[:, 0] / m, a, b)
-            full = np.concatenate([[yb[0] - mu @ b], b, [-1.0]])  # residual = z . full
-            mse[k, f] = full @ test @ full / test[0, 0]
+        m, mu, yb, gx, gy, _ = _centred(total - parts[f], p)
+        jobs[f"fold{f}"], means[f] = (gx / m, gy[:, 0] / m, alphas), (mu, yb[0])
+    found = _chains(df.sparkSession, jobs)
+    mse = np.zeros((n_alphas, folds))
+    for f, (mu, yb) in means.items():
+        for k, b in enumerate(found[f"fold{f}"]):
+            full = np.concatenate([[yb - mu @ b], b, [-1.0]])  # residual = z . full
+            mse[k, f] = full @ parts[f] @ full / parts[f][0, 0]
     best = int(mse.mean(axis=1).argmin())
-    b = np.zeros(p)
-    for a in alphas[:best + 1]:
-        b = _lasso_solve(xx / n, xy[:, 0] / n, a, b)
     raw_g, raw_c = total[1:p + 1, 1:p + 1] / n, total[1:p + 1, p + 1] / n
     path_alphas = np.linspace(alphas[best], 0.5, 100)[::-1]
-    path, c = np.zeros((100, p)), np.zeros(p)
-    for k, a in enumerate(path_alphas):
-        c = _lasso_solve(raw_g, raw_c, a, c)
-        path[k] = c
-    return {"alpha": alphas[best], "coef": b, "alphas": alphas, "mse": mse, "path_alphas": path_alphas, "path": path}
+    path = _chains(df.sparkSession, {"path": (raw_g, raw_c, path_alphas)})["path"]
+    return {"alpha": alphas[best], "coef": found["all"][best], "alphas": alphas, "mse": mse, "path_alphas": path_alphas, "path": path}
 
 
 def ridge_cv(df: DataFrame, features, y: str, label: str, row_id: str, alphas=(0.1, 1.0, 10.0), folds: int = 5):

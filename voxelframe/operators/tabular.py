@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.session import stage
+
 # fixed values: key columns of a feature table; every other column is a feature
 KEYWORDS = ("mask", "image", "label", "dataset", "pid", "Mask", "Image", "Set1", "Set2", "Set3", "Set4", "Set5")
 # fixed values: feature classes, of the external and of the built-in path
@@ -54,7 +56,20 @@ def prepare(features: DataFrame, targets: DataFrame, tags: DataFrame | None = No
 # ---- long-form preparation: (key, feature, value) ---------------------------------------------------
 
 def _fitted(long: DataFrame, stats: DataFrame) -> DataFrame:
-    return long.join(stats, "feature")  # one row per feature; broadcast by size when it is small
+    """Values with the statistics of their feature; a feature without any raises instead of vanishing."""
+    known = stats.withColumn("_known", F.lit(True))  # one row per feature; broadcast by size when it is small
+    unknown = F.raise_error(F.concat(F.lit("feature that was not fitted: "), F.coalesce("feature", F.lit("null"))))
+    return long.join(known, "feature", "left").withColumn(
+        "feature", F.when(F.col("_known"), F.col("feature")).otherwise(unknown.cast("string"))).drop("_known")
+
+
+def check_fitted(long: DataFrame, stats: DataFrame) -> None:
+    """Raise unless the values have exactly the fitted features (as many rows as there are features are compared)."""
+    a, b = long.select("feature").distinct(), stats.select("feature").distinct()
+    odd = a.join(b, "feature", "left_anti").withColumn("why", F.lit("not fitted")).unionByName(
+        b.join(a, "feature", "left_anti").withColumn("why", F.lit("missing"))).orderBy("feature").limit(5).collect()
+    if odd:
+        raise ValueError("features differ from the fitted ones: " + ", ".join(f"{r['feature']} ({r['why']})" for r in odd))
 
 
 def impute(long: DataFrame) -> DataFrame:
@@ -69,6 +84,7 @@ def fit_zscore(long: DataFrame) -> DataFrame:
 
 
 def apply_zscore(long: DataFrame, stats: DataFrame) -> DataFrame:
+    """Values scaled by saved statistics; unknown features raise, see check_fitted for missing ones."""
     sd = F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
     return _fitted(long, stats).withColumn("value", (F.col("value") - F.col("mu")) / sd).drop("mu", "sd")
 
@@ -84,10 +100,18 @@ def minmax(long: DataFrame, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """(value, code): sorted distinct values numbered from 0. One row per class."""
-    d = df.select(F.coalesce(F.col(col), F.lit("NA")).alias("value")).distinct()
-    all_ = d.groupBy().agg(F.array_sort(F.collect_list("value")).alias("vs"))
-    return all_.select(F.posexplode("vs").alias("code", "value"))
+    """(value, code): distinct values numbered from 0 in ascending order.
+
+    Values are dealt by ranges and numbered within; a range adds the counts of those before it, so any number of distinct
+    values is handled.
+    """
+    d = df.select(F.coalesce(F.col(col), F.lit("NA")).alias("value")).distinct().repartitionByRange("value")
+    d = stage(d.withColumn("part", F.spark_partition_id()), "codes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = d.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    return d.withColumn("inside", inside).join(F.broadcast(starts), "part").select(
+        (F.col("start") + F.col("inside")).cast("int").alias("code"), "value")
 
 
 def label_encode(df: DataFrame, col: str, out: str = "code") -> DataFrame:
@@ -95,6 +119,19 @@ def label_encode(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     return df.join(codes, F.coalesce(F.col(col), F.lit("NA")) == codes["value"]).drop("value")
 
 
+def classes(df: DataFrame, col: str, most: int = 10_000) -> list:
+    """The distinct values of a class column in ascending order; more than `most` raise."""
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} classes")
+    return sorted(found)
+
+
+def binarize(df: DataFrame, col: str, keys, prefix: str = "c") -> DataFrame:
+    """One 0/1 column for each class that the data has."""
+    return df.select(*keys, *[F.when(F.col(col) == c, 1).otherwise(0).alias(f"{prefix}{c}") for c in classes(df, col)])
+
+
 def all_true(df: DataFrame, flags) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, [F.col(c) == 1 for c in flags]), F.lit(False))
 

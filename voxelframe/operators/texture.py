@@ -35,9 +35,7 @@ def glcm_counts(cells: DataFrame, bin_counts=(8,), distances=(1,), symmetric: bo
         ])
         out = fine.withColumn("t", F.explode(arr)).select(
             "case_id", "dist", "angle", "n", "t.bin_count", "t.i", "t.j")
-        names = ("bin_count", "dist", "angle", "i", "j")
-        out = out.groupBy("case_id", _pack(names).alias("code")).agg(F.sum("n").alias("n"))
-        return out.select("case_id", *_unpack(names), "n")
+        return out.groupBy(*KEYS, "angle", "i", "j").agg(F.sum("n").alias("n"))
     return glcm_of_levels(grid.discretise_many(cells, bin_counts), distances, symmetric, force2d)
 
 
@@ -52,29 +50,9 @@ def glcm_of_levels(lev: DataFrame, distances=(1,), symmetric: bool = True, force
 
 
 def _pair_counts(lev: DataFrame, offs, keys) -> DataFrame:
-    """Counted level pairs; the four small numbers travel as one long."""
+    """Counted level pairs."""
     pairs = grid.neighbour_pairs(lev.select(*keys, "z", "y", "x", "g"), offs, keys=keys)
-    code = _pack(("dist", "angle", "g", "g2"))
-    out = pairs.groupBy(*keys, code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select(*keys, *_unpack(("dist", "angle", "i", "j")), "n")
-
-
-BITS = {"bin_count": 12, "dist": 5, "angle": 12, "g": 16, "g2": 16, "i": 16, "j": 16}
-
-
-def _pack(names) -> Column:
-    out = F.lit(0).cast("long")
-    for c in names:
-        out = F.shiftleft(out, BITS[c]) + F.col(c).cast("long")
-    return out
-
-
-def _unpack(names) -> list[Column]:
-    cols, at = [], 0
-    for c in reversed(names):
-        cols.append(F.shiftright("code", at).bitwiseAND(F.lit((1 << BITS[c]) - 1)).cast("int").alias(c))
-        at += BITS[c]
-    return cols[::-1]
+    return pairs.groupBy(*keys, "dist", "angle", F.col("g").alias("i"), F.col("g2").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def normalise(counts: DataFrame, keys=tuple(KEYS)) -> DataFrame:
@@ -160,6 +138,14 @@ def glrlm_counts(lev: DataFrame, keys=("case_id", "bin_count")) -> DataFrame:
     return c.withColumn("keep", keep).where("keep").select(*keys, "angle", "g", "len", "n")
 
 
+def glrlm_weighted(counts: DataFrame, norm: str, spacing=(1.0, 1.0, 1.0), keys=("case_id", "bin_count")) -> DataFrame:
+    """Run-length angles collapsed into one matrix, each weighed by its physical length: angle is 0, n a double."""
+    offs = counts.sparkSession.createDataFrame(grid.offsets((1,)), "angle int, dist int, dz int, dy int, dx int")
+    w = offs.select("angle", angle_weight(norm, F.col("dz"), F.col("dy"), F.col("dx"), spacing, decay=False).alias("w"))
+    out = counts.join(F.broadcast(w), "angle")  # a fixed table of 13 offsets
+    return out.groupBy(*keys, "g", "len").agg(F.sum(F.col("n") * F.col("w")).alias("n")).withColumn("angle", F.lit(0))
+
+
 # ---- dependence and neighbourhood difference ----------------------------------------------------
 
 def neighbour_summary(lev: DataFrame, alpha: int = 0, keys=("case_id", "bin_count"), distances=(1,)) -> DataFrame:

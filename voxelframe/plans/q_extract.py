@@ -8,7 +8,7 @@ from voxelframe.functions import registry
 from voxelframe.operators import cooccurrence as co
 from voxelframe.operators import extract, filters, grid, texture
 from voxelframe.plans import sql
-from voxelframe.plans.catalog import r6, register
+from voxelframe.plans.catalog import ORACLES, r6, register
 from voxelframe.plans.q_matrices import K2, RUNS
 from voxelframe.plans.q_shape import mesh_cte
 from voxelframe.plans.q_texture import rounded
@@ -118,7 +118,7 @@ def _voxel_maps(spark, d):
     return rounded(spark.read.parquet(path))
 
 
-register("sink_voxel_maps", _voxel_maps)
+register("sink_voxel_maps", _voxel_maps, ORACLES["ex_voxel_map"])
 
 
 def _image_grid(spark, d):
@@ -132,6 +132,17 @@ def _image_grid(spark, d):
 
 register("ex_image_type_grid", _image_grid)
 
+
+
+def _composed(spark, d):
+    """Every step of the chain, on all image types."""
+    s = extract.Settings(normalise=100.0, clip=3.0, spacing=(2.0, 1.0, 1.0), new_spacing=(1.0, 1.0, 1.0), resegment=(-250.0, None, "absolute"),
+                         image_types=tuple(extract.IMAGE_TYPES), classes=("firstorder", "shape", "glrlm"), bin_counts=(8,))
+    return rounded(extract.compose(T.voxels3d_roi(spark, d), s))
+
+
+register("ex_composed", _composed)
+
 # ---- plug-ins -----------------------------------------------------------------------------------------
 
 

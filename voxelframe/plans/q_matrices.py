@@ -12,7 +12,7 @@ from voxelframe.plans.catalog import r6, register
 from voxelframe.plans.q_texture import rounded
 from voxelframe.sources import tables as T
 
-BINS = (2, 4, 8)
+BINS = (2, 4, 8, 32, 64)   # fixed values: the full grid
 KEYS = ["case_id", "bin_count"]
 K2 = "case_id, bin_count"
 ROI = T.SQL_VOX_ROI
@@ -42,6 +42,15 @@ register("tx_glrlm_counts", lambda spark, d: texture.glrlm_counts(levels(spark,
          f"WITH {RUNS} SELECT * FROM rl")
 
 
+SPACING = (2.0, 1.0, 1.0)
+for _norm, _tag, _len in (("infinity", "inf", "greatest(2.0 * abs(dz), abs(dy), abs(dx))"),
+                          ("euclidean", "euc", "sqrt(4.0 * dz * dz + dy * dy + dx * dx)"),
+                          ("manhattan", "man", "(2.0 * abs(dz) + abs(dy) + abs(dx))"), ("no_weighting", "none", "1.0")):
+    register(f"agg_run_weight_{_tag}",
+             lambda spark, d, n=_norm: rounded(texture.glrlm_weighted(texture.glrlm_counts(levels(spark, d)), n, SPACING).select(*KEYS, "g", "len", "n")),
+             f"WITH {RUNS} SELECT {K2}, g, len, {r6(f'sum(n * {_len})')} AS n FROM rl JOIN off USING (angle) GROUP BY {K2}, g, len")
+
+
 def _rl_marginals(spark, d):
     c = texture.glrlm_counts(levels(spark, d))
     t = c.withColumn("t", F.explode(F.array(
@@ -199,8 +208,8 @@ def _short_id(col):
     return z * 10000 + y * 100 + x
 
 
-register("tx_glszm_zones", lambda spark, d: cc.zone_counts(levels(spark, d, (4, 8))),
-         f"WITH RECURSIVE {closure_cte((4, 8), ROI, True)}, zs AS (SELECT {K2}, comp, g, CAST(count(*) AS INT) AS size FROM cm "
+register("tx_glszm_zones", lambda spark, d: cc.zone_counts(levels(spark, d)),
+         f"WITH RECURSIVE {closure_cte(BINS, ROI, True)}, zs AS (SELECT {K2}, comp, g, CAST(count(*) AS INT) AS size FROM cm "
          f"GROUP BY ALL) SELECT {K2}, g, size, count(*) AS n FROM zs GROUP BY ALL")
 
 

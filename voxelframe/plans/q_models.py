@@ -15,7 +15,6 @@ from voxelframe.session import scratch_path
 from voxelframe.sources import tables as T
 
 NAMES = T.feature_names()
-SHORT = NAMES[:16]
 LONG = T.SQL_LONG
 
 
@@ -40,7 +39,7 @@ register("pp_label_encode",
          """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS seg FROM customer)
 SELECT c_custkey, seg, CAST(dense_rank() OVER (ORDER BY coalesce(seg, 'NA')) - 1 AS INT) AS code FROM c""")
 register("pp_label_binarize",
-         lambda spark, d: T.targets(spark, d).select("case_id", *[F.when(F.col("label") == c, 1).otherwise(0).alias(f"c{c}") for c in range(10)]),
+         lambda spark, d: tabular.binarize(T.targets(spark, d), "label", ["case_id"]),
          "SELECT vec_id AS case_id, " + ", ".join(f"CASE WHEN label = {c} THEN 1 ELSE 0 END AS c{c}" for c in range(10)) + " FROM embeddings")
 register("pp_zscore", lambda spark, d: rounded(tabular.zscore(tabular.impute(_gaps(spark, d))).select("case_id", "feature", "value")),
          f"""WITH {_GAPS}, s AS (SELECT feature, avg(value) AS mu, stddev_pop(value) AS sd FROM im GROUP BY 1)
@@ -92,7 +91,7 @@ kb AS (SELECT feature FROM af ORDER BY f DESC, feature LIMIT 10)
 SELECT feature, CAST(variance > {THRESHOLD} AS INT) AS variance, CAST(feature IN (SELECT feature FROM kb) AS INT) AS k_best FROM va""")
 
 
-def frame(spark, d, names=SHORT, binary=True):
+def frame(spark, d, names=NAMES, binary=True):
     """Wide features with a label: binary is label < 5."""
     f = T.features(spark, d).select("case_id", *names).join(T.targets(spark, d), "case_id")
     return f.withColumn("label", (F.col("label") < 5).cast("long")) if binary else f
@@ -100,13 +99,13 @@ def frame(spark, d, names=SHORT, binary=True):
 
 def _lasso(spark, d):
     df = frame(spark, d).withColumn("y", F.col("label") * 1.0)
-    return df, select.lasso_cv(df, SHORT, "y", "label", "case_id")
+    return df, select.lasso_cv(df, NAMES, "y", "label", "case_id")
 
 
 register("sel_lasso", lambda spark, d: (lambda df, r: rounded(select.coefficient_table(
-    spark, SHORT, r["coef"], r["coef"] != 0).withColumn("alpha", F.lit(float(r["alpha"])))))(*_lasso(spark, d)))
+    spark, NAMES, r["coef"], r["coef"] != 0).withColumn("alpha", F.lit(float(r["alpha"])))))(*_lasso(spark, d)))
 register("sel_lasso_path", lambda spark, d: (lambda df, r: rounded(spark.createDataFrame(
-    [(float(a), f, float(r["path"][k, j])) for k, a in enumerate(r["path_alphas"]) for j, f in enumerate(SHORT)],
+    [(float(a), f, float(r["path"][k, j])) for k, a in enumerate(r["path_alphas"]) for j, f in enumerate(NAMES)],
     "alpha double, feature string, coef double")))(*_lasso(spark, d)))
 register("sel_lasso_mse", lambda spark, d: (lambda df, r: rounded(spark.createDataFrame(
     [(float(a), f, float(r["mse"][k, f])) for k, a in enumerate(r["alphas"]) for f in range(r["mse"].shape[1])],
@@ -115,13 +114,13 @@ register("sel_lasso_mse", lambda spark, d: (lambda df, r: rounded(spark.createDa
 
 def _ridge(spark, d):
     df = frame(spark, d).withColumn("y", F.col("label") * 2.0 - 1.0)
-    a, coef = select.ridge_cv(df, SHORT, "y", "label", "case_id")
-    return rounded(select.coefficient_table(spark, SHORT, coef, abs(coef) > 0.10).withColumn("alpha", F.lit(float(a))))
+    a, coef = select.ridge_cv(df, NAMES, "y", "label", "case_id")
+    return rounded(select.coefficient_table(spark, NAMES, coef, abs(coef) > 0.10).withColumn("alpha", F.lit(float(a))))
 
 
 register("sel_ridge", _ridge)
-register("sel_l1_logistic", lambda spark, d: rounded(select.l1_logistic(frame(spark, d), SHORT, "label", "case_id")))
-register("sel_tree_importance", lambda spark, d: rounded(select.tree_importance(frame(spark, d), SHORT, "label", rounds=5)))
+register("sel_l1_logistic", lambda spark, d: rounded(select.l1_logistic(frame(spark, d), NAMES, "label", "case_id")))
+register("sel_tree_importance", lambda spark, d: rounded(select.tree_importance(frame(spark, d), NAMES, "label")))
 
 # ---- analysis ------------------------------------------------------------------------------------------------
 
@@ -225,32 +224,44 @@ def _train_test(spark, d, binary=True):
     return df.where("case_id % 5 <> 0"), df.where("case_id % 5 = 0")
 
 
-def _fitted(name, binary=True, **params):
+def _scored(name, **params):
     def run(spark, d):
-        tr, te = _train_test(spark, d, binary)
-        _, p = learn.fit_predict(name, tr, te, SHORT, 2 if binary else 10, **params)
-        return p.select("case_id", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predict"))
+        return learn.train_score(name, *_train_test(spark, d, False), NAMES, **params)
     return run
 
 
-register("clf_logistic", _fitted("logistic", binary=False, regParam=0.01))
-register("clf_decision_tree", _fitted("decision", binary=False))
-register("clf_random_forest", _fitted("random", binary=False, numTrees=20, maxDepth=10))
-register("clf_gbt", _fitted("xgboost", maxIter=5, maxDepth=4))
-register("clf_mlp", _fitted("mlp", binary=False, hidden=(20,), maxIter=50))
-register("clf_sgd", _fitted("sgd", maxIter=20))
-register("clf_bagging", _fitted("bagging", binary=False, maxDepth=8))
-register("clf_nusvc", _fitted("nusvc", maxIter=20, nu=0.5))
-register("ml_one_vs_rest", _fitted("svc", binary=False, maxIter=5))
+def _fitted(name, **params):
+    return lambda spark, d: _scored(name, **params)(spark, d).select("case_id", "label", "predict")
+
+
+register("clf_logistic", _fitted("logistic", regParam=0.01))
+register("clf_decision_tree", _fitted("decision"))
+register("clf_random_forest", _fitted("random"))
+register("clf_mlp", _fitted("mlp", maxIter=500))
+register("clf_sgd", _fitted("sgd"))
+register("clf_bagging", _fitted("bagging"))
+register("clf_nusvc", _fitted("nusvc", nu=0.5))
+register("ml_one_vs_rest", _fitted("svc", kernel="linear"))
+register("clf_lda", _fitted("lineardiscriminant"))
+register("clf_qda", _fitted("quadraticdiscriminant"))
+register("clf_adaboost", _fitted("adaboost"))
+
+
+def _gbt(spark, d):
+    """Two classes: beyond that there would be one boosted model for each class."""
+    return learn.train_score("xgboost", *_train_test(spark, d), NAMES).select("case_id", "label", "predict")
+
+
+register("clf_gbt", _gbt)
 
 
 def _svc(spark, d):
     """rbf margin through random Fourier features, probabilities by a logistic fit on the margin."""
     from pyspark.ml.functions import vector_to_array
 
-    tr, te = (learn.fourier_features(x, SHORT, 1.0, 32) for x in _train_test(spark, d))
+    tr, te = (learn.fourier_features(x, NAMES, 1.0 / len(NAMES)) for x in _train_test(spark, d))
     cols = [c for c in tr.columns if c.startswith("rf")]
-    m, pred = learn.fit_predict("svc", tr, te, cols, 2, maxIter=20)
+    m, pred = learn.fit_predict("svc", tr, te, cols, 2)
     margin = vector_to_array("rawPrediction")[1].alias("margin")
     a = m.transform(tr).select("case_id", "label", margin)
     b = pred.select("case_id", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predict"), margin)
@@ -258,24 +269,21 @@ def _svc(spark, d):
 
 
 register("clf_svc", _svc)
-register("clf_lda", lambda spark, d: learn.discriminant(*_train_test(spark, d), SHORT).select("case_id", "label", "predict"))
-register("clf_qda", lambda spark, d: learn.discriminant(*_train_test(spark, d), SHORT, quadratic=True).select("case_id", "label", "predict"))
-register("clf_adaboost", lambda spark, d: learn.adaboost(*_train_test(spark, d), SHORT, rounds=4).select("case_id", "label", "predict"))
 
 
-def _cv(spark, d, folds=3):
-    return learn.cross_validate("logistic", frame(spark, d), SHORT, 2, folds, regParam=0.01)
+def _cv(spark, d, folds=5):
+    return learn.cross_validate("logistic", frame(spark, d), NAMES, 2, folds, regParam=0.01)
 
 
 register("ml_cross_validate", lambda spark, d: _cv(spark, d)[1])
 
 
-def _param_search(spark, d, folds=3):
+def _param_search(spark, d, folds=5):
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    data = select.assemble(ordering.stratified_folds(frame(spark, d), "label", "case_id", folds), SHORT)
-    est = learn.estimator("logistic", len(SHORT), 2)
+    data = select.assemble(ordering.stratified_folds(frame(spark, d), "label", "case_id", folds), NAMES)
+    est = learn.estimator("logistic", len(NAMES), 2)
     grid = ParamGridBuilder().addGrid(est.regParam, [0.001, 0.1]).addGrid(est.elasticNetParam, [0.0, 1.0]).build()
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=4,
                         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"))
@@ -291,7 +299,7 @@ def _importance(spark, d):
     models, _ = _cv(spark, d)
     out = None
     for f, m in enumerate(models):
-        one = learn.importance(m.stages[-1], SHORT, spark).withColumn("fold", F.lit(f))
+        one = learn.importance(m.stages[-1], NAMES, spark).withColumn("fold", F.lit(f))
         out = one if out is None else out.unionByName(one)
     return rounded(out)
 
@@ -301,7 +309,7 @@ register("ml_feature_importance", _importance)
 
 def _best_fold(spark, d):
     tr, te = _train_test(spark, d)
-    models, pred = learn.cross_validate("logistic", tr, SHORT, 2, 3, regParam=0.01)
+    models, pred = learn.cross_validate("logistic", tr, NAMES, 2, 5, regParam=0.01)
     acc = ev.accuracy(pred.where("part = 'valid'"), ["fold"])
     f = learn.best_fold(acc).first()["fold"]
     p = models[f].transform(te).select(F.lit(f).alias("fold"), F.col("label").cast("long").alias("label"),
@@ -314,7 +322,7 @@ register("ml_test_best_fold", _best_fold)
 
 def _infer(spark, d):
     tr, te = _train_test(spark, d)
-    return learn.probability_map(learn.fit_predict("logistic", tr, te, SHORT, 2, regParam=0.01)[1], (0, 1))
+    return learn.probability_map(learn.fit_predict("logistic", tr, te, NAMES, 2, regParam=0.01)[1], (0, 1))
 
 
 register("ml_infer_map", lambda spark, d: _infer(spark, d).select("case_id", "probabilities"))
@@ -325,7 +333,7 @@ def _infer_batch(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     tr, te = _train_test(spark, d)
-    models, _ = learn.cross_validate("logistic", tr, SHORT, 2, 3, regParam=0.01)
+    models, _ = learn.cross_validate("logistic", tr, NAMES, 2, 5, regParam=0.01)
     out = None
     for f, m in enumerate(models):
         p = vector_to_array("probability")
@@ -341,7 +349,7 @@ def _roundtrip(spark, d):
     from pyspark.ml import PipelineModel
 
     tr, te = _train_test(spark, d)
-    m, _ = learn.fit_predict("logistic", tr, te, SHORT, 2, regParam=0.01)
+    m, _ = learn.fit_predict("logistic", tr, te, NAMES, 2, regParam=0.01)
     path = scratch_path(spark, "model")
     m.write().overwrite().save(path)
     p = PipelineModel.load(path).transform(te)

@@ -11,7 +11,7 @@ from voxelframe.plans.catalog import r6, register
 from voxelframe.plans.q_texture import rounded
 from voxelframe.sources import tables as T
 
-BINS = (1, 2, 4, 8)
+BINS = (1, 2, 4, 8, 32, 64)   # fixed values: the full grid
 SPACING = (2.0, 1.0, 1.0)
 KG = "case_id, bin_count, g"
 PI = "3.141592653589793"

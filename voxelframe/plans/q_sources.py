@@ -75,7 +75,7 @@ def _json_docs(spark, d):
     return path
 
 
-register("src_json_table", lambda spark, d: readers.json_table(spark, _json_docs(spark, d)).drop("doc"),
+register("src_json_table", lambda spark, d: readers.json_table(spark, _json_docs(spark, d), lines=True).drop("doc"),
          """WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS INT) AS row FROM customer)
 SELECT row, 'key' AS name, 'clinical' AS grp, 'number' AS type, 'in' AS intent, CAST(c_custkey AS VARCHAR) AS value FROM r
 UNION ALL SELECT row, 'name', 'clinical', 'object', 'in', c_name FROM r

@@ -230,8 +230,9 @@ def _label_names(spark, d):
     items = T.table(spark, d, "customer").join(T.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", F.col("n_regionkey").cast("string").alias("labelSetId"), F.col("n_nationkey").cast("string").alias("labelId"))
     j = items.join(defs, ["labelSetId", "labelId"])
-    sets = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    return j.groupBy("c_custkey").pivot("set_name", sets).agg(F.first("label_name")).withColumnRenamed("MIDDLE EAST", "MIDDLE_EAST")
+    sets = tabular.classes(defs, "set_name")
+    wide = j.groupBy("c_custkey").pivot("set_name", sets).agg(F.first("label_name"))
+    return wide.withColumnsRenamed({s: s.replace(" ", "_") for s in sets})
 
 
 register("jn_label_names", _label_names,
@@ -427,9 +428,10 @@ register("set_intersect",
 
 
 def _transpose(spark, d):
-    c = T.table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count()
-    long = c.unpivot("o_orderpriority", ["F", "O", "P"], "status", "n")
-    pri = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    orders = T.table(spark, d, "orders")
+    status, pri = tabular.classes(orders, "o_orderstatus"), tabular.classes(orders, "o_orderpriority")
+    c = orders.groupBy("o_orderpriority").pivot("o_orderstatus", status).count()
+    long = c.unpivot("o_orderpriority", status, "status", "n")
     out = long.groupBy("status").pivot("o_orderpriority", pri).agg(F.first("n"))
     return out.select("status", *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias(f"p{p[0]}") for p in pri])
 

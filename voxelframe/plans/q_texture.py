@@ -15,9 +15,9 @@ from voxelframe.plans import sql
 from voxelframe.plans.catalog import r6, register
 from voxelframe.sources import tables as T
 
-BINS, DISTS = (8, 32), (1, 2)
-ALL_BINS, ALL_DISTS = (2, 4, 8, 32, 64), (1, 2, 3)   # fixed values: the full parameter grid
-DENSE_BINS, DENSE_DISTS = (4, 8), (1,)
+BINS, DISTS = ALL_BINS, ALL_DISTS = (2, 4, 8, 32, 64), (1, 2, 3)   # fixed values: the full parameter grid
+DENSE_BINS, DENSE_DISTS = (2, 4, 8), ALL_DISTS
+TABLE_BINS, TABLE_DISTS = (2, 4, 8), (1,)   # of the queries that return whole matrices, cell by cell
 TRIMS = (0.025, 0.05, 0.1, 0.25)
 DECILES = tuple(range(10, 100, 10))
 
@@ -121,22 +121,22 @@ box AS (SELECT case_id, max(z) - min(z) AS ez, max(y) - min(y) AS ey, max(x) - m
 SELECT case_id, angle, dist, dz, dy, dx FROM box JOIN off ON abs(dz) <= ez AND abs(dy) <= ey AND abs(dx) <= ex""")
 
 register("tx_glcm_counts",
-         lambda spark, d: texture.glcm_counts(_region(spark, d), ALL_BINS, (1,), symmetric=False),
-         f"WITH {sql.glcm_cte(ALL_BINS, (1,))} SELECT {sql.K3}, angle, i, j, n FROM cnt")
+         lambda spark, d: texture.glcm_counts(_region(spark, d), ALL_BINS, TABLE_DISTS, symmetric=False),
+         f"WITH {sql.glcm_cte(ALL_BINS, TABLE_DISTS)} SELECT {sql.K3}, angle, i, j, n FROM cnt")
 
 register("tx_glcm_prob",
-         lambda spark, d: rounded(texture.normalise(texture.glcm_counts(_region(spark, d), DENSE_BINS, DENSE_DISTS)), 9),
-         f"WITH {sql.glcm_cte(DENSE_BINS, DENSE_DISTS)} SELECT {sql.K3}, angle, i, j, n, {r6('p', 9)} AS p FROM p")
+         lambda spark, d: rounded(texture.normalise(texture.glcm_counts(_region(spark, d), TABLE_BINS, TABLE_DISTS)), 9),
+         f"WITH {sql.glcm_cte(TABLE_BINS, TABLE_DISTS)} SELECT {sql.K3}, angle, i, j, n, {r6('p', 9)} AS p FROM p")
 
 register("tx_glcm_variants",
          lambda spark, d: rounded(co.with_variants(texture.normalise(
-             texture.glcm_counts(_region(spark, d), DENSE_BINS, DENSE_DISTS))), 9).drop("n"),
-         f"WITH {sql.glcm_cte(DENSE_BINS, DENSE_DISTS)} SELECT {sql.K3}, angle, i, j, {r6('p', 9)} AS p, {r6('p_sq', 9)} AS p_sq, "
+             texture.glcm_counts(_region(spark, d), TABLE_BINS, TABLE_DISTS))), 9).drop("n"),
+         f"WITH {sql.glcm_cte(TABLE_BINS, TABLE_DISTS)} SELECT {sql.K3}, angle, i, j, {r6('p', 9)} AS p, {r6('p_sq', 9)} AS p_sq, "
          f"{r6('p_en', 9)} AS p_en FROM pv")
 
 
 def _marginals(spark, d):
-    p = texture.normalise(texture.glcm_counts(_region(spark, d), (8,), (1,)))
+    p = texture.normalise(texture.glcm_counts(_region(spark, d), TABLE_BINS, TABLE_DISTS))
     i, j = F.col("i"), F.col("j")
     kinds = F.array(*[F.struct(F.lit(n).alias("kind"), k.cast("int").alias("k"), x.cast("double").alias("w"))
                       for n, k, x in (("px", i, F.lit(1)), ("py", j, F.lit(1)), ("add", i + j, F.lit(1)),
@@ -148,7 +148,7 @@ def _marginals(spark, d):
 
 
 register("tx_glcm_marginals", _marginals,
-         f"""WITH {sql.glcm_cte((8,), (1,))}, u AS (
+         f"""WITH {sql.glcm_cte(TABLE_BINS, TABLE_DISTS)}, u AS (
 SELECT {sql.K3}, angle, 'px' AS kind, i AS k, sum(p) AS value FROM p GROUP BY ALL
 UNION ALL SELECT {sql.K3}, angle, 'py', j, sum(p) FROM p GROUP BY ALL
 UNION ALL SELECT {sql.K3}, angle, 'add', i + j, sum(p) FROM p GROUP BY ALL
@@ -166,7 +166,7 @@ for _norm, _tag in (("infinity", "inf"), ("euclidean", "euc"), ("manhattan", "ma
     _w = f"exp(-pow({_len}, 2))" if _len else "1.0"
     register(f"agg_angle_weight_{_tag}",
              lambda spark, d, n=_norm: rounded(texture.glcm_weighted(
-                 texture.glcm_counts(_region(spark, d), (8,), (1, 2)), n, (1, 2), SPACING).select(*co.KEYS, "i", "j", "p"), 9),
-             f"""WITH {sql.glcm_cte((8,), (1, 2))},
+                 texture.glcm_counts(_region(spark, d), ALL_BINS, ALL_DISTS), n, ALL_DISTS, SPACING).select(*co.KEYS, "i", "j", "p"), 9),
+             f"""WITH {sql.glcm_cte(ALL_BINS, ALL_DISTS)},
 cw AS (SELECT {sql.K3}, i, j, sum(n * {_w}) AS w FROM sym JOIN off USING (dist, angle) GROUP BY {sql.K3}, i, j)
 SELECT {sql.K3}, i, j, {r6(f'w / sum(w) OVER (PARTITION BY {sql.K3})', 9)} AS p FROM cw""")

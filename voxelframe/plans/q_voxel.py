@@ -47,11 +47,13 @@ SELECT * FROM b WHERE (nz > 1)::INT + (ny > 1)::INT + (nx > 1)::INT >= 2 AND siz
 
 def _in_image(spark, d):
     """The region's physical box inside the image's, tolerance 1e-3; masks of some cases are shifted."""
-    box = grid.bounding_box(grid.roi(hot(spark, d)))
+    ends = [f"{a}{k}" for a in "zyx" for k in (0, 1)]
+    image = grid.bounding_box(hot(spark, d)).select("case_id", *[F.col(c).alias(f"image_{c}") for c in ends])
+    box = grid.bounding_box(grid.roi(hot(spark, d))).join(image, "case_id")
     shift = F.pmod("case_id", F.lit(3)) * 0.5
     inside = F.lit(True)
     for a in "zyx":
-        inside = inside & (F.col(f"{a}0") + shift >= -0.001) & (F.col(f"{a}1") + shift <= 3.001)
+        inside = inside & (F.col(f"{a}0") + shift >= F.col(f"image_{a}0") - 0.001) & (F.col(f"{a}1") + shift <= F.col(f"image_{a}1") + 0.001)
     return box.select("case_id", inside.alias("inside"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 # fixed values: metadata keys that are kept
 METADATA_KEYS = ("age", "modality", "patientId", "seriesId", "sex", "studyId")
@@ -13,8 +14,21 @@ LABEL_DEFS = "ARRAY<STRUCT<labelSetId: STRING, name: STRING, labels: ARRAY<STRUC
 REGIONS = "ARRAY<STRUCT<regionId: STRING, data: ARRAY<STRUCT<index: INT, path: ARRAY<ARRAY<DOUBLE>>>>>>"
 
 
+def by_name(spark: SparkSession, path: str, required, optional=(), **options) -> DataFrame:
+    """A CSV file with a header as text columns: the required ones first, then the optional ones (null where the file has
+    none), then all others as they stand. Columns are found by name; a required one that is missing raises."""
+    df = spark.read.csv(path, header=True, **options)
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(df.columns)}")
+    rest = [c for c in df.columns if c not in (*required, *optional)]
+    have = [F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in (*required, *optional)]
+    return df.select(*have, *[F.col(f"`{c}`") for c in rest])
+
+
 def cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("image STRING, mask STRING").csv(path, header=True)
+    """image, mask and whatever else the list has."""
+    return by_name(spark, path, ("image", "mask"))
 
 
 def _resolve(path: Column, base: str) -> Column:
@@ -23,13 +37,12 @@ def _resolve(path: Column, base: str) -> Column:
 
 def batch_cases(spark: SparkSession, path: str, base: str | None = None, legacy: bool = False,
                 default_label: int = 1) -> DataFrame:
-    """Rows with both paths; relative paths belong to the list's folder.
+    """Rows with both paths; relative paths belong to the list's folder. Other columns pass through.
 
     The legacy list treats an empty string as missing and takes only all-digit labels.
     """
     base = base or path.rstrip("/").rsplit("/", 1)[0]
-    df = spark.read.schema("Image STRING, Mask STRING, Label STRING, Label_channel STRING").csv(
-        path, header=True, emptyValue="")
+    df = by_name(spark, path, ("Image", "Mask"), ("Label", "Label_channel"), emptyValue="")
     have = F.col("Image").isNotNull() & F.col("Mask").isNotNull()
     have = have & (F.trim("Image") != "") & (F.trim("Mask") != "")
     if legacy:
@@ -38,16 +51,24 @@ def batch_cases(spark: SparkSession, path: str, base: str | None = None, legacy:
         label = F.expr("try_cast(Label AS INT)")
     return df.where(have).select(
         _resolve(F.col("Image"), base).alias("Image"), _resolve(F.col("Mask"), base).alias("Mask"),
-        label.alias("Label"), F.expr("try_cast(Label_channel AS INT)").alias("Label_channel"))
+        label.alias("Label"), F.expr("try_cast(Label_channel AS INT)").alias("Label_channel"),
+        *[F.col(f"`{c}`") for c in df.columns[4:]])
 
 
 def feature_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    """The columns of the schema, found by name and cast; a value that does not fit its type raises. Other columns of the
+    file follow as text."""
+    types = {f.name: f.dataType for f in _parse_datatype_string(schema).fields}
+    df = by_name(spark, path, tuple(types))
+    return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
 
 
-def json_table(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, row, name, value): cells of {columns, data} documents."""
-    df = spark.read.schema(CLINICAL).json(path).withColumn("doc", F.xxhash64(F.to_json("data")))
+def json_table(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(doc, row, name, value): cells of {columns, data} documents.
+
+    A file is one document however it is laid out, or with ``lines`` one document a line. Anything else raises.
+    """
+    df = spark.read.schema(CLINICAL).json(path, multiLine=not lines, mode="FAILFAST").withColumn("doc", F.xxhash64(F.to_json("data")))
     rows = df.select("doc", "columns", F.posexplode("data").alias("row", "cells"))
     cells = rows.select("doc", "row", "columns", F.posexplode("cells").alias("k", "value"))
     col = F.get("columns", F.col("k"))
