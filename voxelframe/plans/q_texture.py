@@ -166,7 +166,7 @@ for _norm, _tag in (("infinity", "inf"), ("euclidean", "euc"), ("manhattan", "ma
     _w = f"exp(-pow({_len}, 2))" if _len else "1.0"
     register(f"agg_angle_weight_{_tag}",
              lambda spark, d, n=_norm: rounded(texture.glcm_weighted(
-                 texture.glcm_counts(_region(spark, d), ALL_BINS, ALL_DISTS), n, ALL_DISTS, SPACING).select(*co.KEYS, "i", "j", "p"), 9),
-             f"""WITH {sql.glcm_cte(ALL_BINS, ALL_DISTS)},
+                 texture.glcm_counts(_region(spark, d), TABLE_BINS, ALL_DISTS), n, ALL_DISTS, SPACING).select(*co.KEYS, "i", "j", "p"), 9),
+             f"""WITH {sql.glcm_cte(TABLE_BINS, ALL_DISTS)},
 cw AS (SELECT {sql.K3}, i, j, sum(n * {_w}) AS w FROM sym JOIN off USING (dist, angle) GROUP BY {sql.K3}, i, j)
 SELECT {sql.K3}, i, j, {r6(f'w / sum(w) OVER (PARTITION BY {sql.K3})', 9)} AS p FROM cw""")
