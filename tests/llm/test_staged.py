@@ -68,7 +68,7 @@ def test_plan(lengths):
     assert check_packing(rows, 24) == greedy(lengths, 24)
 
 
-@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["The", " ", "\n", "\t", "é", "é", "İ", "ΣΑΣ", "'s", "12", "<|endoftext|>", "!", "\x1c", "\xa0"]), max_size=30).map("".join)))
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["The", " ", "\n", "\t", "é", "é", "İ", "ΣΑΣ", "'s", "a.", "É,", ".", "...", "it's.", "\u0301.", "\u0958.", "İ,", "<|END", "x;;", "12", "<|endoftext|>", "!", "\x1c", "\xa0"]), max_size=30).map("".join)))
 @settings(max_examples=500, deadline=None)
 def test_tokens(text):
     words = packing.WORDS.setdefault("test", packing.Words(public_tokenizers.path(packing.VOCABULARY)))

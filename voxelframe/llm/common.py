@@ -42,11 +42,12 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    The shuffle files behind it go as soon as it is written.
+    The shuffle files behind it go as soon as it is written. Arrow batches are small, to spare the Python workers' memory.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
+                  spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,7 +83,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dic
 class WordHashes(dict):
     """64-bit hashes of words (bytes), those met last remembered up to a bound."""
 
-    REMEMBERED, SHORT = 400_000, 48
+    REMEMBERED, SHORT = 250_000, 48
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)

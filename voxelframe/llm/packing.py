@@ -14,13 +14,14 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from math import isqrt
 from typing import NamedTuple
+from unicodedata import normalize
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import id_text, slices, staged
+from voxelframe.llm.common import LOWER, id_text, slices, staged
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -29,13 +30,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Words(dict):
-    """Maps a stretch of text without blanks or line ends to its ids (32-bit, little-endian).
+    """Maps a stretch of text without blanks or line ends, A-Z in lower case, to its ids (32-bit, little-endian).
 
-    The tokenizer splits at white space and normalises within words, so the ids of a text are those of its stretches in a row.
-    Short ones are remembered, up to a bound.
+    The tokenizer ignores case, splits at white space and normalises within words, so the ids of a text are those of its
+    stretches in a row. Short ones are remembered: those met lately, and those met in the generation before.
     """
 
-    REMEMBERED, SHORT = 400_000, 48
+    GENERATION, SHORT = 250_000, 48
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,24 +44,38 @@ class Words(dict):
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
-        self[""] = b""
+        self.before: dict[str, bytes] = {"": b""}
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.tool.encode(word, add_special_tokens=False).ids).tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            bare = word.rstrip(".,;:!?")
+            if bare != word and normalize("NFC", bare[-1:]).lower()[-1:].isalpha():  # the tokenizer splits marks from letters before
+                ids = self[bare] + self[word[len(bare):]]
+            else:
+                ids = array("I", self.tool.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= self.SHORT:
-            if len(self) >= self.REMEMBERED:
+            if len(self) >= self.GENERATION:
+                self.before = dict(self)
                 self.clear()
-                self[""] = b""
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        low = text.encode().translate(LOWER).decode()
+        return b"".join(map(self.__getitem__, low.replace("\n", " ").split(" ")))
 
 
 WORDS: dict[str, Words] = {}  # per worker
 
 
+def words_of(path: str) -> Words:
+    """The worker's own memory, whatever task asks: a name that a closure uses itself would be copied into each task."""
+    if path not in WORDS:
+        WORDS[path] = Words(path)
+    return WORDS[path]
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
            path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each whole text and a final 0, cut only beyond the capacity.
@@ -71,9 +86,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     end = array("I", [END_ID]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in WORDS:
-            WORDS[path] = Words(path)
-        words = WORDS[path]
+        words = words_of(path)
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
