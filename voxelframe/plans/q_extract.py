@@ -121,9 +121,12 @@ def _voxel_maps(spark, d):
 register("sink_voxel_maps", _voxel_maps, ORACLES["ex_voxel_map"])
 
 
+POINTWISE = ("original", "square", "squareroot", "logarithm", "exponential", "gradient")
+
+
 def _image_grid(spark, d):
     """Image types x texture classes, one plan; the derived images share one case key."""
-    vox = extract.image_types(T.voxels3d(spark, d))
+    vox = extract.image_types(T.voxels3d(spark, d), POINTWISE)
     cells = grid.roi(vox)
     con = extract.glcm(cells, (8,), (1,), wanted=("Contrast", "Imc1"), dense=False)
     out = con.unionByName(extract.run_length(cells, (8,))).unionByName(extract.dependence(cells, (8,)))
@@ -135,9 +138,9 @@ register("ex_image_type_grid", _image_grid)
 
 
 def _composed(spark, d):
-    """Every step of the chain, on all image types."""
+    """Every step of the chain, on three image types (LoG and wavelet have queries of their own)."""
     s = extract.Settings(normalise=100.0, clip=3.0, spacing=(2.0, 1.0, 1.0), new_spacing=(1.0, 1.0, 1.0), resegment=(-250.0, None, "absolute"),
-                         image_types=tuple(extract.IMAGE_TYPES), classes=("firstorder", "shape", "glrlm"), bin_counts=(8,))
+                         image_types=("original", "square", "gradient"), classes=("firstorder", "glrlm"), bin_counts=(8,))
     return rounded(extract.compose(T.voxels3d_roi(spark, d), s))
 
 
