@@ -83,7 +83,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dic
 class WordHashes(dict):
     """64-bit hashes of words (bytes), those met last remembered up to a bound."""
 
-    REMEMBERED, SHORT = 250_000, 48
+    REMEMBERED, SHORT = 60_000, 48
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
