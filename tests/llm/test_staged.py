@@ -162,6 +162,19 @@ def test_ppm_odd(spark):
     assert abs(none[2].score + log10(256)) < 1e-9 and none[2].base_score == 0
 
 
+def test_ppm_keeps_rare_contexts(spark):
+    """More than 2^20 training bytes: contexts seen once count as in the plain form."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), rng.integers(2, 9))) for _ in range(400)) for _ in range(700)]
+    train, held = texts[:-40], texts[-40:]
+    assert sum(len(t.encode()) for t in train) > 1 << 20
+    docs = spark.createDataFrame([*enumerate(train), *((10_000 + i, t) for i, t in enumerate(held))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.score(docs, F.col("doc_id") < 10_000).collect()}
+    assert len(got) == len(texts)
+    for i, want in zip([*range(20), *range(10_000, 10_040)], brute_ppm(train, train[:20] + held), strict=True):
+        assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
 def test_thresholds_keep_probabilities():
     rng = np.random.default_rng(1)
     data = [rng.choice(list(b"abcde "), 3000, p=[.4, .2, .1, .1, .1, .1]).astype(np.uint8).tobytes() for _ in range(5)]

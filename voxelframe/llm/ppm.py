@@ -4,8 +4,8 @@ A trie over byte contexts (orders 0 to 4) is counted on all training documents.
 longest known context and escapes to shorter ones (method C: as many escapes as distinct symbols), leaving out the symbols
 that the longer context had. Beside it, a unigram base score over words.
 
-Bounds: a trie node is kept if at least one in 2^20 of the training bytes passes through it, so an order has 2^20 nodes at
-most whatever the corpus; likewise words of a share of 2^-20 are looked up in the task, all others by a join.
+Nothing counted is dropped. Grams (a byte with the four before it) of a share of 2^-20 of the training bytes, 2^20 at most,
+are looked up in the task; all others are staged as counts per document and join their values. So are words.
 """
 
 from __future__ import annotations
@@ -15,21 +15,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from voxelframe.llm.common import slices, staged
 
 ORDER = 4
 END = 0xFF                     # ends a text and stands before its first byte; no byte of UTF-8
-NODE_SHARE = 2.0 ** -20
+SHORT = 2                      # orders up to this one are held whole: three bytes of UTF-8 at most
+CHUNK = 1 << 18                # grams valued at a time, more than the 2^16 with the same bytes 1 to 3
+GRAM_SHARE = 2.0 ** -20
 HEAD_SHARE = 2.0 ** -20
 HEAD_WORD_BYTES = 64
 SLICE = 2 << 20
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END_TOKEN = b"\n"              # cannot be a word
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
-RARE = "row long, word binary, tf long"
+PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, gram long, tf long"
 
 
 def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -54,20 +58,33 @@ class Model:
 
     def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.keys, self.n, self.contexts, self.total, self.kinds, self.inherited = [], [], [], [], [], []
-        for order, (keys, n) in enumerate(nodes):
-            at = np.argsort(keys, kind="stable")
-            keys, n = keys[at].astype(np.uint64), n[at].astype(np.float64)
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-            add = lambda v, first=first: np.add.reduceat(v, first) if len(first) else v
-            shorter = np.zeros(len(keys))
-            if order and len(keys):  # what this context's symbols count in the context one byte shorter
-                shorter = self.n[-1][np.searchsorted(self.keys[-1], keys & self.mask(order - 1))]
-            self.keys.append(keys)
-            self.n.append(n)
-            self.contexts.append(contexts)
-            self.total.append(add(n))
-            self.kinds.append(add(np.ones(len(keys))))
-            self.inherited.append(add(shorter))
+        for keys, n in nodes:
+            self.add(keys, n)
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """The nodes of the next order."""
+        at, order = np.argsort(keys, kind="stable"), len(self.keys)
+        keys, n = keys[at].astype(np.uint64), n[at].astype(np.float64)
+        contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
+        add = lambda v: np.add.reduceat(v, first) if len(first) else v
+        shorter = np.zeros(len(keys))
+        if order and len(keys):  # what this context's symbols count in the context one byte shorter
+            shorter = self.n[-1][np.searchsorted(self.keys[-1], keys & self.mask(order - 1))]
+        self.keys.append(keys)
+        self.n.append(n)
+        self.contexts.append(contexts)
+        self.total.append(add(n))
+        self.kinds.append(add(np.ones(len(keys))))
+        self.inherited.append(add(shorter))
+
+    def longer(self, nodes: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        """With further orders; the arrays of those that are there are shared."""
+        out = Model([])
+        for name, arrays in vars(self).items():
+            setattr(out, name, list(arrays))
+        for keys, n in nodes:
+            out.add(keys, n)
+        return out
 
     @staticmethod
     def mask(order: int) -> np.uint64:
@@ -103,34 +120,29 @@ class Model:
         return out
 
 
-class Scorer:
-    """Model with a direct-mapped table of the grams met last, as most grams of a text are common ones."""
+class Head:
+    """Values of the commonest grams: sorted arrays behind a direct-mapped table."""
 
     BITS = 21
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.known = np.full(1 << self.BITS, ~np.uint64(0))
-        self.value = np.zeros(1 << self.BITS)
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        at = np.argsort(keys)
+        self.keys, self.values = keys[at].astype(np.uint64), values[at]
+        self.slots = np.full(1 << self.BITS, -1, np.int32)
+        self.slots[self.slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
 
-    def log10(self, wanted: np.ndarray) -> np.ndarray:
-        slot = ((wanted * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-        out, miss = self.value[slot], self.known[slot] != wanted
-        if miss.any():
-            fresh, back = np.unique(wanted[miss], return_inverse=True)
-            values = self.model.log10(fresh)
-            out[miss] = values[back]
-            at = ((fresh * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-            self.value[at], self.known[at] = values, fresh
-            same = self.known[at] == fresh  # of grams that share a slot the last stays, with its own value
-            self.value[at[same]] = values[same]
-        return out
+    def slot(self, wanted: np.ndarray) -> np.ndarray:
+        return ((wanted * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        total = np.zeros(len(texts))
-        for packed, owner in grams(texts):
-            total += np.bincount(owner, self.log10(packed), len(texts))
-        return total
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found)."""
+        if not len(self.keys):
+            return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+        at = self.slots[self.slot(wanted)]
+        found = (at >= 0) & (self.keys[at] == wanted)
+        miss = np.flatnonzero(~found & (at >= 0))  # of grams that share a slot one has it
+        at[miss], found[miss] = Model.find(self.keys, wanted[miss])
+        return np.where(found, self.values[at], 0.0), found
 
 
 def count(docs: DataFrame, train: Column) -> DataFrame:
@@ -157,16 +169,62 @@ def count(docs: DataFrame, train: Column) -> DataFrame:
     return texts.mapInArrow(run, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
-def trie(counts: DataFrame) -> Model:
-    """The kept nodes of all orders, at most 2^20 each (256 for order 0)."""
-    rows = counts.where("gram IS NOT NULL")
+def short_orders(counts: DataFrame) -> Model:
+    """All nodes of the orders up to SHORT."""
+    mask = int(Model.mask(SHORT))
+    rows = counts.where("gram IS NOT NULL").groupBy(F.col("gram").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    key, n = rows.column("key").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+    return Model([folded(key, n, k) for k in range(SHORT + 1)])
+
+
+def folded(grams_: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(grams_ & Model.mask(order), return_inverse=True)
+    return keys, np.bincount(back, n, len(keys))
+
+
+def head_of(counts: DataFrame) -> Head:
+    """Grams of a share of GRAM_SHARE of the training bytes; they code at their longest context."""
+    rows = counts.where("gram IS NOT NULL").select("gram", "n")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    per_order = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key"))
-                                    for k in range(ORDER + 1)])).alias("o")
-    kept = rows.select(per_order, "n").groupBy("o.order", "o.key").agg(F.sum("n").alias("n")) \
-        .where((F.col("order") == 0) | (F.col("n") >= total * NODE_SHARE)).toArrow()
-    order, key, n = (kept.column(c).to_numpy() for c in ("order", "key", "n"))
-    return Model([(key[order == k].astype(np.uint64), n[order == k]) for k in range(ORDER + 1)])
+    context = Window.partitionBy(F.shiftright("gram", 8))
+    top = rows.withColumn("whole", F.sum("n").over(context) + F.count("*").over(context)).where(F.col("n") >= total * GRAM_SHARE) \
+        .select("gram", F.log10(F.col("n") / F.col("whole")).alias("value")).toArrow()
+    return Head(top.column("gram").to_numpy(), top.column("value").to_numpy())
+
+
+def valued(counts: DataFrame, wanted: DataFrame, short: Broadcast) -> DataFrame:
+    """(gram, value): log10 probability of each distinct wanted gram.
+
+    Counted and wanted grams with the same bytes 1 to 3 lie together: the nodes of their longest orders are whole there.
+    """
+    both = counts.where("gram IS NOT NULL").select("gram", "n", F.lit(False).alias("wanted")) \
+        .unionByName(wanted.select("gram", F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted")))
+    place = F.shiftright("gram", 8).bitwiseAND((1 << 24) - 1).alias("place")
+    dealt = both.groupBy("gram").agg(F.sum("n").alias("n"), F.max("wanted").alias("wanted")).select(place, "gram", "n", "wanted") \
+        .repartition("place").sortWithinPartitions("place")
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        gram, n = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+        ask = gram[rows.column("wanted").to_numpy()]
+        there = n > 0
+        model = short.value.longer([folded(gram[there], n[there], k) for k in range(SHORT + 1, ORDER + 1)])
+        return pa.RecordBatch.from_arrays([pa.array(ask.astype(np.int64)), pa.array(model.log10(ask))], names=["gram", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK:
+                rows = pa.Table.from_batches(held)
+                places = rows.column("place").to_numpy()
+                cut = int(np.searchsorted(places, places[-1]))
+                yield of(rows.slice(0, cut))
+                held, size = rows.slice(cut).to_batches(), size - cut
+        if size:
+            yield of(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "gram long, value double")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +232,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     `train` is a condition on doc_id and text, the names that the id and text columns get. Null texts count as empty (the
     end token alone); null conditions as false; repeated rows and null ids give a row each. Without training documents all
-    bytes are equally likely. Words of a share of 2^-20 or more are counted in the task, the others join the counts.
+    bytes are equally likely. Rows are numbered once, in what is staged.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -184,47 +242,58 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     tokens, kinds = got["n"] or 0, got["v"]
     top = words.where((F.col("c") >= tokens * HEAD_SHARE) & (F.octet_length("word") <= HEAD_WORD_BYTES)).toArrow()  # <= 2^20 rows
     head = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
-    model = spark.sparkContext.broadcast(trie(counts))
+    head_grams = spark.sparkContext.broadcast(head_of(counts))
     per_token = tokens + 0.1 * (kinds + 1)
 
-    def found(text: str | None) -> Counter:
-        out = Counter((text or "").encode().translate(LOWER).split())
-        out[END_TOKEN] += 1
-        return out
+    def parts(**columns: pa.Array) -> pa.RecordBatch:
+        size = len(columns["row"])
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in types], schema=types)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, common = Scorer(model.value), head.value
+    types = to_arrow_schema(_parse_datatype_string(PARTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, grams_ = head.value, head_grams.value
         logs = {c: float(np.log10((c + 0.1) / per_token)) for c in set(common.values())}
         for batch in slices(batches, 4 * SLICE):
-            texts, n, known, base = batch.column(2).to_pylist(), [], [], []
-            for t in texts:
-                words = found(t)
-                got = [(common[w], k) for w, k in words.items() if w in common]
-                n.append(words.total())
+            rows, n, known, base = batch.column(0).to_numpy(), [], [], []
+            data = [(t or "").encode().translate(LOWER) for t in batch.column(2).to_pylist()]
+            rare: tuple[list, list, list] = ([], [], [])
+            for row, text in zip(rows.tolist(), data, strict=True):
+                found = Counter(text.split())
+                found[END_TOKEN] += 1
+                got = [(common[w], k) for w, k in found.items() if w in common]
+                n.append(found.total())
                 known.append(sum(k for _, k in got))
                 base.append(sum(k * logs[c] for c, k in got))
-            score = scorer.texts([(t or "").encode().translate(LOWER) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                                              pa.array(base, pa.float64()), pa.array(score)],
-                                             names=["row", "doc_id", "n_tokens", "n_known", "base", "score"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = head.value
-        for batch in slices(batches, 4 * SLICE):
-            out: tuple[list, list, list] = ([], [], [])
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for w, k in found(text).items():
+                for w, k in found.items():
                     if w not in common:
-                        out[0].append(row)
-                        out[1].append(w)
-                        out[2].append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())],
-                                             names=["row", "word", "tf"])
+                        rare[0].append(row)
+                        rare[1].append(w)
+                        rare[2].append(k)
+            score = np.zeros(len(data))
+            for packed, owner in grams(data):
+                values, there = grams_.find(packed)
+                score += np.bincount(owner, values, len(data))
+                pairs, tf = np.unique((owner[~there].astype(np.uint64) << np.uint64(40)) | packed[~there], return_counts=True)
+                yield parts(row=pa.array(rows[(pairs >> np.uint64(40)).astype(np.int64)]),
+                            gram=pa.array((pairs & Model.mask(ORDER)).astype(np.int64)), tf=pa.array(tf))
+            yield parts(row=pa.array(rare[0], pa.int64()), word=pa.array(rare[1], pa.binary()), tf=pa.array(rare[2], pa.int64()))
+            yield parts(row=batch.column(0), doc_id=batch.column(1), n_tokens=pa.array(n), n_known=pa.array(known),
+                        base=pa.array(base, pa.float64()), score=pa.array(score))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    found = staged(rows.mapInArrow(run, PARTS), "ppm-found")
+    rare_grams = found.where("gram IS NOT NULL").select("row", "gram", "tf")
+    short = spark.sparkContext.broadcast(short_orders(counts))
+    values = staged(valued(counts, rare_grams, short), "ppm-values")
+    none = {c: F.lit(None).cast("long" if c in ("doc_id", "n_tokens", "n_known") else "double").alias(c)
+            for c in ("doc_id", "n_tokens", "n_known", "base", "score")}
     c = F.coalesce("c", F.lit(0))
-    others = rows.mapInArrow(rare, RARE).join(words, "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("tf"))).alias("more_known"), F.sum(F.col("tf") * F.log10((c + 0.1) / F.lit(per_token))).alias("more"))
-    return rows.mapInArrow(scored, SCORED).join(others, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    by_word = found.where("word IS NOT NULL").select("row", "word", "tf").join(words, "word", "left").select(
+        "row", none["doc_id"], none["n_tokens"], F.when(c > 0, F.col("tf")).alias("n_known"),
+        (F.col("tf") * F.log10((c + 0.1) / F.lit(per_token))).alias("base"), none["score"])
+    by_gram = rare_grams.join(values, "gram").select(
+        "row", none["doc_id"], none["n_tokens"], none["n_known"], none["base"], (F.col("tf") * F.col("value")).alias("score"))
+    return found.where("n_tokens IS NOT NULL").select("row", *none).unionByName(by_word).unionByName(by_gram).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row")
