@@ -158,3 +158,21 @@ def test_bpe_odd(odd):
     raw = bpe.encode(odd).collect()
     assert len(raw) == len(TEXTS) + 2 and all(bytes(r.decoded) == (TEXTS[r.doc_id] or "").encode() for r in raw if r.doc_id is not None)
     assert base64 and bpe.digests(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lead, value, kind", [
+    ("Social Security Number: ", "123-45-6789", "ssn"), ("social security number: ", "123-45-6789", "ssn"),
+    ("SSN number ", "123-45-6789", "ssn"), ("Ssn no. ", "123-45-6789", "ssn"), ("SSN is: ", "123-45-6789", "ssn"),
+    ("API key: ", "abcdef0123456789", "secret"), ("Api Key = ", "abcdef0123456789", "secret"), ("PassWord: ", "hunter2hunter2", "secret"),
+    ("secret_key = ", "abcdef0123456789", "secret"), ("IBAN number: ", "DE89370400440532013000", "iban"),
+    ("iBaN Nr. ", "DE89 3704 0044 0532 0130 00", "iban"), ("pay to ", "DE89 3704 0044 0532 0130 00", "iban"), ("\u0130 \u0130 ", "GB82WEST12345698765432", "iban")])
+def test_pii_common_forms(lead, value, kind):
+    text = f"\u0130x {lead}{value}, then more"
+    at = text.index(value)
+    assert (at, kind, at + len(value)) in pii.find(text)
+    assert value not in pii.mask(text, pii.find(text))
+
+
+def test_pii_no_bare_iban():
+    for text in ("DE89370400440532013001", "XDE89370400440532013000", "DE893704004405320130001", "ZZ89370400440532013000"):
+        assert not [s for s in pii.find(text) if s[1] == "iban"]

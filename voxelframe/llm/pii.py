@@ -23,7 +23,8 @@ SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
           "masked string")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = {"iban": ("iban",), "ssn": ("ssn", "social security"),
-        "secret": ("token", "api_key", "api key", "apikey", "password", "passwd", "secret", "access_key", "private_key")}
+        "secret": ("token", "api_key", "api key", "apikey", "password", "passwd", "secret", "access_key", "access key", "access-key", "api-key",
+                   "private_key", "private key", "private-key")}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,9 +32,17 @@ QUAD = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`]*[^\s<>\"'`.,;:!?()\[\]{}]")
-IBAN = re.compile(r"[\s:=#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-SSN = re.compile(r"[\s:=#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-SECRET = re.compile(r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_+/.=-]{8,})")
+LABELS = r"(?:[\s:=#_-]{0,3}(?i:numbers?|num|nummer|no|nr|is|id|code|key|value)(?![A-Za-z0-9])\.?){0,3}"  # "number is", "no."
+IBAN = re.compile(LABELS + r"[\s:=#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+SSN = re.compile(LABELS + r"[\s:=#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+SECRET = re.compile(LABELS + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_+/.=-]{8,})")
+UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+SHAPE = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+IBAN_SIZES = {c[:2]: int(c[2:]) for c in (  # characters by country, for numbers without a cue
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
+    "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 "
+    "ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 "
+    "ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 
 Span = tuple[int, str, int]
 
@@ -47,8 +56,7 @@ def automaton() -> ahocorasick.Automaton:
     a.add_word("+", ("phone", 1))
     for kind, words in {"url": SCHEMES, **CUES}.items():
         for w in words:
-            for form in {w, w.upper(), w.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -65,11 +73,33 @@ def iban_end(text: str) -> int:
     """Length of the longest start of the candidate whose check digits are right; 0 if none is."""
     for end in range(len(text), 14, -1):
         s = text[:end].replace(" ", "")
-        if text[end - 1] != " " and len(s) >= 15 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+        if text[end - 1] != " " and len(s) >= 15 and right_iban(s):
             return end
     return 0
 
 
+def right_iban(s: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def bare_iban(text: str, start: int) -> int:
+    """End of the number that starts there, of its country's size and with right check digits; 0 if there is none."""
+    m = None if start and text[start - 1].isalnum() else SHAPE.match(text, start)
+    size = IBAN_SIZES.get(text[start:start + 2])
+    if not m or not size:
+        return 0
+    end = start
+    while size and end < m.end():
+        size -= text[end] != " "
+        end += 1
+    return end if not size and not text[end:end + 1].isalnum() and right_iban(text[start:end].replace(" ", "")) else 0
+
+
+def lower(text: str) -> str:
+    """Lower case, of equal length: only the dotted capital I becomes two."""
+    return text.replace("\u0130", "i").lower()
+
+
 def find(text: str) -> list[Span]:
     """(start, kind, end) of every span in code points, by start and kind.
 
@@ -78,9 +108,12 @@ def find(text: str) -> list[Span]:
     """
     spans: list[Span] = []
     done = dict.fromkeys((*KINDS, "digit"), 0)  # per kind, the end of what is consumed
-    for last, (kind, width) in automaton().iter(text):
+    for last, (kind, width) in automaton().iter(lower(text)):
         at = last + 1 - width
         if kind == "digit":
+            if at >= done["iban"] + 2 and text[at - 1] in UPPER and text[at - 2] in UPPER and (end := bare_iban(text, at - 2)):
+                done["iban"] = end
+                spans.append((at - 2, "iban", end))
             if at >= done["card"]:
                 if m := DIGITS.match(text, at):
                     done["card"] = m.end()
