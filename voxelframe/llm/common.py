@@ -52,6 +52,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """Rows with a number, staged: numbers given at each scan would change with how Spark packs the files."""
+    return staged(df.select(F.monotonically_increasing_id().alias(name), "*"), "numbered")
+
+
 def crc_mod(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids give null."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import staged
+from voxelframe.llm.common import numbered, staged
 
 CELLS = 60        # of a fingerprint; a multiple of three
 GROWTH = 4
@@ -139,11 +139,9 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text has its last quarter replaced by as many first characters of the next document. Likeness is the Jaccard
     similarity of the paragraph sets, from what peeling the subtracted fingerprints recovers; two sets without a paragraph
     are alike (1). Null texts count as empty; null ids come first; rows that share an id follow in the order they are read.
-    Other columns are ignored. Rows are known by their number, so docs must be a table or another input that reads alike
-    each time.
+    Other columns are ignored. Rows are numbered once and staged with their texts.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    docs = numbered(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")))
     links = staged(following(docs), "next")
     texts = docs.select("row", "text").repartition("row")  # both joins read this one exchange
     t, k = texts.alias("t"), links.alias("k")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import HASHES, id_text, mixed, slices, staged
+from voxelframe.llm.common import HASHES, id_text, mixed, numbered, slices, staged
 
 WIDTH = 20        # words in a window
 LOW, HIGH = 2, 9  # rounds until the symbols of anchors, and of long repeats
@@ -268,10 +268,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A word goes if a window of 20 words that covers it also starts earlier: in a document of smaller id, or before in its
     own. Null and empty texts have no words. A null id comes after all others; rows that share an id (repeated ones, or
-    null) leave each other's words alone. Other columns are ignored. The texts are read three times, and rows known by
-    their number (monotonically_increasing_id), so docs must be a table or another input that reads alike each time.
+    null) leave each other's words alone. Other columns are ignored. Rows are numbered once and staged with their texts.
     """
-    docs = id_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    docs = numbered(id_text(docs, id_col, text_col))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
@@ -294,8 +293,8 @@ def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     See dedup(). All other columns are kept as they are.
     """
-    schema, numbered = docs.schema, docs.withColumn("__row", F.monotonically_increasing_id())
-    gone = repeated(numbered.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    schema, rows = docs.schema, numbered(docs, "__row")
+    gone = repeated(rows.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,5 +304,5 @@ def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                                     for t, s in zip(columns[at].to_pylist(), batch.column(len(columns)), strict=True)], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    both = numbered.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
-    return both.select(*[numbered[f"`{c}`"] for c in docs.columns], F.col("gone").alias("__gone")).mapInArrow(cut, schema)
+    both = rows.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
+    return both.select(*[rows[f"`{c}`"] for c in docs.columns], F.col("gone").alias("__gone")).mapInArrow(cut, schema)
