@@ -8,6 +8,7 @@ import zlib
 from array import array
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -91,6 +92,20 @@ def test_language_odd(odd, spark):
     assert langid.decide([5, 5], ["a", "b"], 0.01) == ("a", 0.0, True)
 
 
+def test_language_rejects_unlearned():
+    """Most long texts of letter noise and of a language without a dictionary; few clean ones."""
+    found = duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) > 400 ORDER BY doc_id").fetchall()
+    part = lambda lang, held: [t for i, t, x in found if x == lang and (i % 4 == 2) == held]
+    names, st_ = ["de", "en", "es", "fr"], langid.Settings()
+    made = {n: langid.Encoder(b"".join(map(langid.letters, part(n, False)))[:st_.dictionary_bytes], st_) for n in names}
+    rejected = lambda texts, of: np.mean([langid.judge(t, [made[n] for n in of], of, st_.margin)[2] for t in texts])
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(300)) for _ in range(50)]
+    assert rejected(noise, names) > 0.7
+    assert rejected(part("de", True)[:40], names[1:]) > 0.6
+    assert rejected([t for n in names for t in part(n, True)[:40]], names) < 0.02
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -32,7 +32,7 @@ class Settings:
     dictionary_bytes: int = 1 << 16   # per language
     languages: int = 500              # more distinct labels than this raise an error
     block: int = 4096                 # a text is encoded in blocks, all of them: margins do not shrink with its length
-    margin: float = 0.001             # smaller relative savings against the runner-up are rejected
+    margin: float = 0.01              # smaller relative savings against the runner-up are rejected
 
 
 def fit(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
