@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, jaccard, langid, packing, pii, ppm, quality, sketches, substrings, warc
+from voxelframe.llm import bpe, interactions, jaccard, langid, mixing, packing, pii, ppm, quality, sketches, substrings, warc, whitening
 from voxelframe.llm.common import crc_mod, read
 from voxelframe.session import scratch_path
 
@@ -55,10 +55,22 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(read(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_ppm_score, op4_quality_cascade, op5_language_id, op6_iblt_fingerprints, op7_pii_spans,
-                                   op8_byte_bpe, op9_warc_archives, op10_jaccard_components)}
+                                   op8_byte_bpe, op9_warc_archives, op10_jaccard_components, op11_source_mix, op12_filter_audit, op13_whitening)}
 WORD = r"[^\x20\x09-\x0D]+"
-ORACLES: dict[str, str] = {"op4_quality_cascade": rf"""
+ORACLES: dict[str, str] = {"op11_source_mix": mixing.ORACLE, "op12_filter_audit": interactions.ORACLE, "op4_quality_cascade": rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k
