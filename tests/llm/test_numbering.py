@@ -7,7 +7,7 @@ import pytest
 from voxelframe.llm import common, jaccard, sketches, substrings
 
 RUNS = {"dedup": lambda d: substrings.dedup(d).drop("row"), "shortened": substrings.shortened,
-        "edited_versions": sketches.edited_versions, "representatives": jaccard.representatives}
+        "edited_versions": sketches.edited_versions, "representatives": jaccard.representatives, "components": jaccard.components}
 
 
 @pytest.fixture(scope="module")

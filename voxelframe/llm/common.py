@@ -39,6 +39,51 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_scopes: list[list[str]] = []  # folders of the staged tables of each scope that is open, innermost last
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Removes staged folders, through Hadoop's file system, and forgets them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while folders:
+        path = hadoop.Path(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def collected(spark: SparkSession) -> Iterator[list[str]]:
+    """The folders staged inside, for the caller to delete; deleted at once if what is inside fails."""
+    folders: list[str] = []
+    _scopes.append(folders)
+    try:
+        yield folders
+    except BaseException:
+        delete(spark, folders)
+        raise
+    finally:
+        _scopes.pop()
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside go at the end, but for those staged by the function it gives (they belong to the scope outside)."""
+    with collected(spark) as folders:
+        inner = _scopes[-1]
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            before = set(inner)
+            out = staged(df, name)
+            mine = [f for f in inner if f not in before]
+            for f in mine:
+                inner.remove(f)
+                if len(_scopes) > 1:
+                    _scopes[-2].append(f)
+            return out
+
+        yield keep
+    delete(spark, folders)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: cuts the lineage and survives lost executors.
 
@@ -48,6 +93,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
                   spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
+        if _scopes:
+            _scopes[-1].append(path)
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

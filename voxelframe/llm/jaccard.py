@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import HASHES, LOWER, id_text, numbered, slices, staged, windows
+from voxelframe.llm.common import HASHES, LOWER, id_text, intermediate, numbered, slices, staged, windows
 from voxelframe.operators.components import contract
 
 LIGHT_MOST = 16  # sizes above are never light: their subsets are too many
@@ -244,9 +244,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts and texts without words have an empty set, linked with nothing (their component is their own id). Repeated
     rows are equal sets. Rows with a null id take part; a component whose ids are all null has a null component_id. Other
-    columns are ignored. Rows are known by their number, so docs must be a table or another input that reads alike each time.
+    columns are ignored. Rows are numbered once and staged with their texts.
     """
-    rows = staged(grouped(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), by), "grouped")
+    with intermediate(docs.sparkSession) as keep:
+        rows = keep(grouped(numbered(id_text(docs, id_col, text_col)), by), "grouped")
     smallest = staged(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c"), "smallest")
     return rows.join(smallest, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -255,7 +256,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Settings = Settings()) -> DataFrame:
     """The rows of docs, unchanged, that come first in their component: by id, null ids last, then as read."""
     docs = numbered(docs, "__row")
-    rows = grouped(docs.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), by)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("r"))
-    keep = staged(first.select(F.col("r.row").alias("__row")), "representatives")
-    return docs.join(keep, "__row", "left_semi").drop("__row")
+    with intermediate(docs.sparkSession) as keep:
+        rows = grouped(docs.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), by)
+        first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("r"))
+        chosen = keep(first.select(F.col("r.row").alias("__row")), "representatives")
+    return docs.join(chosen, "__row", "left_semi").drop("__row")

@@ -35,7 +35,9 @@ URL = re.compile(r"[^\s<>\"'`]*[^\s<>\"'`.,;:!?()\[\]{}]")
 LABELS = r"(?:[\s:=#_-]{0,3}(?i:numbers?|num|nummer|no|nr|is|id|code|key|value)(?![A-Za-z0-9])\.?){0,3}"  # "number is", "no."
 IBAN = re.compile(LABELS + r"[\s:=#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 SSN = re.compile(LABELS + r"[\s:=#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-SECRET = re.compile(LABELS + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_+/.=-]{8,})")
+SECRET = re.compile(r"s?(?:" + LABELS + r"[\"']?\s{0,2}[:=]\s{0,2}|\s{1,2}(?i:is|are)\s{1,2})[\"']?([A-Za-z0-9_+/.=-]{8,})")
+KEYS = {"akia": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), "aiza": re.compile(r"AIza[0-9A-Za-z_-]{35}"),  # issuers' prefixes, lower-cased, and forms
+        "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}"), "xoxb-": re.compile(r"xoxb-[0-9A-Za-z-]{20,}"), "sk_live_": re.compile(r"sk_live_[0-9A-Za-z]{16,}")}
 UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 SHAPE = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 IBAN_SIZES = {c[:2]: int(c[2:]) for c in (  # characters by country, for numbers without a cue
@@ -54,7 +56,7 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(c, ("digit", 1))
     a.add_word("@", ("email", 1))
     a.add_word("+", ("phone", 1))
-    for kind, words in {"url": SCHEMES, **CUES}.items():
+    for kind, words in {"url": SCHEMES, **CUES, "key": KEYS}.items():
         for w in words:
             a.add_word(w, (kind, len(w)))
     a.make_automaton()
@@ -95,6 +97,19 @@ def bare_iban(text: str, start: int) -> int:
     return end if not size and not text[end:end + 1].isalnum() and right_iban(text[start:end].replace(" ", "")) else 0
 
 
+def likely_secret(value: str) -> bool:
+    """Not a word of a sentence: digits with letters, or a long mixture of both cases. Digits alone are other kinds' matter."""
+    letters, digits = sum(c.isalpha() for c in value), sum(c.isdigit() for c in value)
+    ups, lows = sum(c.isupper() for c in value), sum(c.islower() for c in value)
+    return bool(letters and digits) or len(value) >= 12 and ups >= 3 and lows >= 3 and len(set(value)) >= 8
+
+
+def right_ssn(value: str) -> bool:
+    """Areas 000, 666 and from 900 on, group 00 and serial 0000 are never given out."""
+    area, group, serial = value.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
 def lower(text: str) -> str:
     """Lower case, of equal length: only the dotted capital I becomes two."""
     return text.replace("\u0130", "i").lower()
@@ -148,9 +163,14 @@ def find(text: str) -> list[Span]:
             if at >= done["url"] and (m := URL.match(text, last + 1)):
                 done["url"] = m.end()
                 spans.append((at, "url", m.end()))
+        elif kind == "key":
+            if at >= done["secret"] and not (at and text[at - 1].isalnum()) and (m := KEYS[lower(text[at:last + 1])].match(text, at)):
+                done["secret"] = m.end()
+                spans.append((at, "secret", m.end()))
         elif last + 1 >= done[kind]:
             m = {"iban": IBAN, "ssn": SSN, "secret": SECRET}[kind].match(text, last + 1)
-            if m and (size := iban_end(m.group(1)) if kind == "iban" else len(m.group(1))):
+            right = {"iban": iban_end, "ssn": lambda v: right_ssn(v) * len(v), "secret": lambda v: likely_secret(v) * len(v)}[kind]
+            if m and (size := right(m.group(1))):
                 done[kind] = m.start(1) + size
                 spans.append((m.start(1), kind, done[kind]))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
@@ -175,8 +195,8 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, digest of the base spans, all spans and the masked text; a row for each input row.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_masked: bool = True) -> DataFrame:
+    """Counts, digest of the base spans, all spans and, if wanted, the masked text; a row for each input row.
 
     Null texts count as empty: no spans, the digest of nothing, and a null masked text. Repeated rows and null ids give a
     row each; other columns are ignored.
@@ -189,9 +209,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return {"doc_id": batch.column(0), **{f"n_{k}": [sum(s[1] == k for s in b) for b in base] for k in BASE},
                 "base_sha256": [hashlib.sha256(listed(b).encode()).hexdigest() for b in base],
                 "spans": [listed(f) for f in found],
-                "masked": [t if not f else mask(t, f) for t, f in zip(texts, found, strict=True)]}
+                **({"masked": [t if not f else mask(t, f) for t, f in zip(texts, found, strict=True)]} if with_masked else {})}
 
-    return arrow_map(id_text(docs, id_col, text_col), of, SCHEMA)
+    return arrow_map(id_text(docs, id_col, text_col), of, SCHEMA if with_masked else SCHEMA.removesuffix(", masked string"))
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:

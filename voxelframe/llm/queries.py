@@ -40,7 +40,7 @@ def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan(read(spark, sf_dir, "documents")).drop("masked")
+    return pii.scan(read(spark, sf_dir, "documents"), with_masked=False)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import HASHES, id_text, mixed, numbered, slices, staged
+from voxelframe.llm.common import HASHES, id_text, intermediate, mixed, numbered, slices, staged
 
 WIDTH = 20        # words in a window
 LOW, HIGH = 2, 9  # rounds until the symbols of anchors, and of long repeats
@@ -244,15 +244,21 @@ def checks(docs: DataFrame, found: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """(row, gone) for (row, doc_id, text): where the windows that also start earlier begin, in documents that have some."""
     placed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    rows = staged(named(placed), "named")
-    found = staged(repeats(rows), "repeats")
-    checked = staged(checks(placed, found), "windows")
+    spark = docs.sparkSession
+    with intermediate(spark) as keep:
+        with intermediate(spark) as keep_found:  # the names, most rows of all, go as soon as what repeats is known
+            found = keep_found(repeats(staged(named(placed), "named")), "repeats")
+        return keep(_gone(checks(placed, found)), "gone")
+
+
+def _gone(checked: DataFrame) -> DataFrame:
+    checked = staged(checked, "windows")
     one = checked.select("row", "doc_id", F.explode(F.arrays_zip("at", "w1", "w2")).alias("w")).select("row", "doc_id", "w.*")
     first = staged(one.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
     later = one.join(first, ["w1", "w2"]).where("doc_id > first").groupBy("row").agg(F.collect_list("at").alias("later"))
     known = checked.where(F.size("known") > 0).select("row", "known")
     none = F.array().cast("array<int>")
-    return staged(known.join(later, "row", "full").select("row", F.concat(F.coalesce("known", none), F.coalesce("later", none)).alias("gone")), "gone")
+    return known.join(later, "row", "full").select("row", F.concat(F.coalesce("known", none), F.coalesce("later", none)).alias("gone"))
 
 
 def without(words: list[bytes], starts: np.ndarray) -> list[bytes]:

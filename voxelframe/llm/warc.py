@@ -32,6 +32,9 @@ MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+READ_BYTES = 64 << 20  # of archives for a task that reads them back
+
+
 @dataclass(frozen=True)
 class Settings:
     archive_bytes: int = 256 << 20   # of records before compression; a new archive begins beyond
@@ -148,11 +151,13 @@ def first_pages(pages: DataFrame) -> DataFrame:
 
     Only ids and digests meet by payload, so that a payload which a third of the pages have moves no text.
     """
-    ids = pages.select("page_id", F.sha1("html").alias("sha"))
-    first = ids.groupBy("sha").agg(F.min("page_id").alias("first"))
+    of = F.concat_ws(":", F.sha1("html"), F.octet_length("html"), F.xxhash64("html"))  # digests and length have to agree
+    ids = pages.select("page_id", of.alias("sha"))
+    # staged, so that the join can split a payload that very many pages have
+    first = staged(ids.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "warc-first")
     links = ids.join(first, "sha").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))) \
         .select(F.col("page_id").alias("id"), "sha", "first").distinct()
-    p = pages.withColumn("of", F.sha1("html"))
+    p = pages.withColumn("of", of)
     return p.join(links, p["page_id"].eqNullSafe(links["id"]) & (p["of"] == links["sha"]), "left") \
         .select("page_id", "url", "html", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit"))
 
@@ -199,7 +204,10 @@ def read(manifest: DataFrame) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    return manifest.select("path").repartition("path").mapInArrow(get, RECORDS)
+    size, count = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, size // READ_BYTES)
+    # a stated number is kept: paths alone are so few bytes that adaptive execution would read all archives in one task
+    return manifest.select("path").repartition(int(max(1, min(count, tasks)))).mapInArrow(get, RECORDS)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
