@@ -7,6 +7,7 @@ and per-key aggregates below run without another exchange. Column names carry th
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions.numeric import EPS, plogp, ratio
 from voxelframe.operators import texture
+from voxelframe.session import stage
 
 KEYS = texture.KEYS
 SUFFIXES = {"origin": "p", "sq": "p_sq", "en": "p_en"}
@@ -52,29 +54,30 @@ def angle_mean(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 
 # ---- weights on (i, j) --------------------------------------------------------------------------
 
-def _gauss(mu: Column) -> Column:
+# The variants are written as text: a few hundred columns built call by call take longer than most of their jobs.
+
+def _gauss(mu: str, inverse: bool) -> str:
     """exp(-(x-mu)^2 / 2 sd^2) at both ranks; the centre uses levels, the position uses ranks."""
-    two = 2.0 * F.col("lv_sd") * F.col("lv_sd")
-    return F.exp(-((F.col("ri") - mu) * (F.col("ri") - mu) + (F.col("rj") - mu) * (F.col("rj") - mu)) / two)
+    g = f"exp(-((ri - {mu}) * (ri - {mu}) + (rj - {mu}) * (rj - {mu})) / (2.0D * lv_sd * lv_sd))"
+    return f"(1.0D / {g})" if inverse else g
 
 
-def _gauss_both(mu: Column, inverse: bool) -> Column:
-    g = _gauss(mu)
-    return 1.0 / g if inverse else g
+def _off_diagonal(weight: str, nd: bool) -> str:
+    return f"if(i = j, 0.0D, {weight})" if nd else weight
 
 
-def _centres() -> dict[str, list[Column]]:
-    g = F.col("ng_present").cast("double")
-    left = (1.0 + F.ceil(g / 2.0)) / 2.0
-    right = (F.floor(g / 2.0) + 1.0 + g) / 2.0
+def _centres() -> dict[str, list[str]]:
+    g = "cast(ng_present AS double)"
+    left = f"((1.0D + ceil({g} / 2.0D)) / 2.0D)"
+    right = f"((floor({g} / 2.0D) + 1.0D + {g}) / 2.0D)"
     return {
-        "Gaussian": [F.col("lv_avg")],
-        "GaussianLeftPolar": [F.lit(1.0)],
+        "Gaussian": ["lv_avg"],
+        "GaussianLeftPolar": ["1.0D"],
         "GaussianRightPolar": [g],
         "GaussianLeftFocus": [left],
         "GaussianRightFocus": [right],
         "Gaussian2Focus": [left, right],
-        "Gaussian2Polar": [F.lit(1.0), g],
+        "Gaussian2Polar": ["1.0D", g],
     }
 
 
@@ -86,11 +89,8 @@ def gaussian(name: str) -> dict[str, Column]:
     mus = _centres()[name]
     cols = {}
     for sfx, nd, inv in product(SUFFIXES, (True, False), (False, True)):
-        w = sum((_gauss_both(m, inv) for m in mus[1:]), _gauss_both(mus[0], inv))
-        if nd:
-            w = F.when(F.col("i") == F.col("j"), 0.0).otherwise(w)
-        w = F.when(F.col("ng_present") == 1, 0.0).otherwise(w)
-        cols[variant(suffix=sfx, nd=nd, inverse=inv)] = F.sum(F.col(SUFFIXES[sfx]) * w)
+        w = _off_diagonal("(" + " + ".join(_gauss(m, inv) for m in mus) + ")", nd)
+        cols[variant(suffix=sfx, nd=nd, inverse=inv)] = F.expr(f"sum({SUFFIXES[sfx]} * if(ng_present = 1, 0.0D, {w}))")
     return cols
 
 
@@ -106,25 +106,18 @@ def average() -> dict[str, Column]:
 def autocorrelation() -> dict[str, Column]:
     cols = {}
     for sfx, nd, inv in product(SUFFIXES, (True, False), (False, True)):
-        w = (F.col("i") * F.col("j")).cast("double")
-        w = 1.0 / w if inv else w
-        if nd:
-            w = F.when(F.col("i") == F.col("j"), 0.0).otherwise(w)
-        cols[variant(suffix=sfx, nd=nd, inverse=inv)] = F.sum(F.col(SUFFIXES[sfx]) * w)
+        w = "(1.0D / cast(i * j AS double))" if inv else "cast(i * j AS double)"
+        cols[variant(suffix=sfx, nd=nd, inverse=inv)] = F.expr(f"sum({SUFFIXES[sfx]} * {_off_diagonal(w, nd)})")
     return cols
 
 
 def dmn() -> dict[str, Column]:
     """Difference moment scaled by the highest level present."""
-    k = F.abs(F.col("i") - F.col("j")).cast("double")
     cols = {}
     for s, nd, power, inv in product(SUFFIXES, (True, False), (1, 2), (False, True)):
-        w = F.pow(k, F.lit(float(power))) / F.pow(F.col("ng").cast("double"), F.lit(float(power)))
-        if inv:
-            w = 1.0 / (1.0 + w)
-        if nd:
-            w = F.when(k == 0, 0.0).otherwise(w)
-        cols[variant(suffix=s, nd=nd, power=power, inverse=inv)] = F.sum(F.col(SUFFIXES[s]) * w)
+        w = f"(pow(cast(abs(i - j) AS double), {power}.0D) / pow(cast(ng AS double), {power}.0D))"
+        w = f"(1.0D / (1.0D + {w}))" if inv else w
+        cols[variant(suffix=s, nd=nd, power=power, inverse=inv)] = F.expr(f"sum({SUFFIXES[s]} * {_off_diagonal(w, nd)})")
     return cols
 
 
@@ -183,15 +176,9 @@ def with_cluster(pl: DataFrame) -> DataFrame:
 def cluster() -> dict[str, Column]:
     aggs = {}
     for s, nd, power, inv in product(SUFFIXES, (True, False), (1, 2, 3, 4), (False, True)):
-        b = F.col(f"w_{s}")
-        w = b
-        for _ in range(power - 1):
-            w = w * b
-        if inv:
-            w = 1.0 / F.when(w == 0, 1e-8).otherwise(w)
-        if nd:
-            w = F.when(F.col("i") == F.col("j"), 0.0).otherwise(w)
-        aggs[variant(suffix=s, nd=nd, power=power, inverse=inv)] = F.sum(F.col(SUFFIXES[s]) * w)
+        w = "(" + " * ".join([f"w_{s}"] * power) + ")"
+        w = f"(1.0D / if({w} = 0, 1e-8D, {w}))" if inv else w
+        aggs[variant(suffix=s, nd=nd, power=power, inverse=inv)] = F.expr(f"sum({SUFFIXES[s]} * {_off_diagonal(w, nd)})")
     return aggs
 
 
@@ -323,25 +310,27 @@ def _groups(pv: DataFrame, levels: DataFrame | None, names):
         yield add, sum_mass(pv)
 
 
+def _unpivoted(w: DataFrame) -> DataFrame:
+    """Columns feature|variant to rows."""
+    cells = ", ".join("struct('{}' AS feature, '{}' AS variant, `{}` AS value)".format(*c.split("|"), c) for c in w.columns if c not in KEYS)
+    return w.select(*KEYS, F.expr(f"explode(array({cells}))").alias("t")).select(*KEYS, "t.*")
+
+
 def features(p: DataFrame, levels: DataFrame, names=FORMULAS) -> DataFrame:
-    """Long (keys, feature, variant, value) of the named features over a normalised cell table."""
+    """Long (keys, feature, variant, value) of the named features over a normalised cell table.
+
+    Each batch of columns is a job of its own and staged: one plan of all would hold the tables below a dozen times.
+    """
     pv, out = with_variants(p), []
     for builders, table in _groups(pv, levels, names):
-        cols = {f"{n}|{v}": c for n, f in builders.items() for v, c in f().items()}
-        items = list(cols.items())
+        items = [(f"{n}|{v}", c) for n, f in builders.items() for v, c in f().items()]
         for at in range(0, len(items), BATCH):
-            out.append(angle_mean(table, dict(items[at:at + BATCH])))
+            out.append(stage(_unpivoted(angle_mean(table, dict(items[at:at + BATCH]))), "glcm-batch"))
     for n, fn in WHOLE.items():
         if n in names:
             w = fn(pv)
-            out.append(w.withColumnsRenamed({c: f"{n}|{c}" for c in w.columns if c not in KEYS}))
-    long = None
-    for w in out:
-        arr = F.array(*[F.struct(F.lit(c.split("|")[0]).alias("feature"), F.lit(c.split("|")[1]).alias("variant"),
-                                 F.col(f"`{c}`").alias("value")) for c in w.columns if c not in KEYS])
-        one = w.select(*KEYS, F.explode(arr).alias("t")).select(*KEYS, "t.*")
-        long = one if long is None else long.unionByName(one)
-    return long
+            out.append(stage(_unpivoted(w.withColumnsRenamed({c: f"{n}|{c}" for c in w.columns if c not in KEYS})), "glcm-batch"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def feature(name: str, cells: DataFrame, bin_counts=(8,), distances=(1,), force2d: int | None = None) -> DataFrame:

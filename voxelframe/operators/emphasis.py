@@ -21,6 +21,10 @@ DEPENDENCE = ("SmallDependenceEmphasis", "LargeDependenceEmphasis", "GrayLevelNo
               "DependenceVariance", "DependenceEntropy", "LowGrayLevelEmphasis", "HighGrayLevelEmphasis",
               "SmallDependenceLowGrayLevelEmphasis", "SmallDependenceHighGrayLevelEmphasis",
               "LargeDependenceLowGrayLevelEmphasis", "LargeDependenceHighGrayLevelEmphasis")
+ZONE = ("SmallAreaEmphasis", "LargeAreaEmphasis", "GrayLevelNonUniformity", "GrayLevelNonUniformityNormalized", "SizeZoneNonUniformity",
+        "SizeZoneNonUniformityNormalized", "ZonePercentage", "GrayLevelVariance", "ZoneVariance", "ZoneEntropy", "LowGrayLevelZoneEmphasis",
+        "HighGrayLevelZoneEmphasis", "SmallAreaLowGrayLevelEmphasis", "SmallAreaHighGrayLevelEmphasis", "LargeAreaLowGrayLevelEmphasis",
+        "LargeAreaHighGrayLevelEmphasis")
 NEIGHBOURHOOD = ("Coarseness", "Contrast", "Busyness", "Complexity", "Strength")
 
 
@@ -84,6 +88,18 @@ def run_length() -> dict[str, Column]:
     return t
 
 
+def zone() -> dict[str, Column]:
+    """j is the number of cells of a zone of one level."""
+    t = _table("SmallArea", "LargeArea", "ZoneEntropy", "LowGrayLevelZoneEmphasis", "HighGrayLevelZoneEmphasis")
+    n, _, j = _cell()
+    t["GrayLevelNonUniformityNormalized"] = _non_uniformity("mass_g", 2)
+    t["SizeZoneNonUniformity"] = _non_uniformity("mass_j", 1)
+    t["SizeZoneNonUniformityNormalized"] = _non_uniformity("mass_j", 2)
+    t["ZonePercentage"] = _total() / F.sum(n * j)
+    t["ZoneVariance"] = _variance(j)
+    return t
+
+
 def dependence() -> dict[str, Column]:
     t = _table("SmallDependence", "LargeDependence", "DependenceEntropy", "LowGrayLevelEmphasis",
                "HighGrayLevelEmphasis")

@@ -9,9 +9,10 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.functions import names, registry
+from voxelframe.functions import names as names_module
+from voxelframe.functions import registry
 from voxelframe.operators import cooccurrence as co
-from voxelframe.operators import emphasis, filters, grid, mesh, texture, weighted
+from voxelframe.operators import components, emphasis, filters, grid, mesh, texture, weighted, windows
 from voxelframe.session import stage
 
 # fixed values: the full parameter grid
@@ -19,7 +20,7 @@ BIN_COUNTS = (2, 4, 8, 32, 64)
 DISTANCES = (1, 2, 3)
 SHAPE_BIN_COUNTS = (1, *BIN_COUNTS)
 CLASSES = ("firstorder", "shape", "glcm", "glrlm")
-ALL_CLASSES = (*CLASSES, "gldm", "ngtdm")
+ALL_CLASSES = (*CLASSES, "gldm", "ngtdm", "glszm")
 # an image type is a function of the voxel table; one that gives several images names them in a column image_type
 IMAGE_TYPES = {"original": lambda v: v, "square": filters.square, "squareroot": filters.square_root,
                "logarithm": filters.logarithm, "exponential": filters.exponential, "gradient": filters.gradient,
@@ -44,7 +45,7 @@ def with_label(vox: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def _named(long: DataFrame, cls: str, bins: bool = False, dist: bool = False, variant: bool = False) -> DataFrame:
-    name = names.parameterised(cls, F.col("feature"), F.col("bin_count") if bins else None,
+    name = names_module.parameterised(cls, F.col("feature"), F.col("bin_count") if bins else None,
                                F.col("dist") if dist else None, F.col("variant") if variant else None)
     return long.select("case_id", name.alias("feature"), F.col("value").cast("double").alias("value"))
 
@@ -87,6 +88,13 @@ def neighbourhood(cells: DataFrame, bin_counts=BIN_COUNTS) -> DataFrame:
     return _wide_to_named(emphasis.ngtdm_features(t, keys), keys, "ngtdm")
 
 
+def zones(cells: DataFrame, bin_counts=BIN_COUNTS) -> DataFrame:
+    """Zones of one level, of all cases, image types and bin counts from one contraction."""
+    keys = ["case_id", "bin_count"]
+    c = components.zone_counts(stage(grid.discretise_many(cells, bin_counts).select(*keys, "z", "y", "x", "g"), "levels"), keys)
+    return _wide_to_named(emphasis.cell_features(c.withColumnRenamed("size", "j"), keys, emphasis.zone()), keys, "glszm")
+
+
 def shape(cells: DataFrame, bin_counts=SHAPE_BIN_COUNTS, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     s = mesh.shape_features(cells, bin_counts, spacing=spacing)
     long = weighted.to_long(s, ["case_id", "bin_count", "g"])
@@ -144,10 +152,11 @@ def _features(cells: DataFrame, s: Settings, classes) -> DataFrame | None:
     build = {
         "firstorder": lambda: first_order(cells),
         "shape": lambda: shape(cells, (1, *s.bin_counts), s.new_spacing or s.spacing),
-        "glcm": lambda: glcm(cells, s.bin_counts, s.distances),
+        "glcm": lambda: glcm(cells, s.bin_counts, s.distances, s.names.get("glcm")),
         "glrlm": lambda: run_length(cells, s.bin_counts),
         "gldm": lambda: dependence(cells, s.bin_counts),
         "ngtdm": lambda: neighbourhood(cells, s.bin_counts),
+        "glszm": lambda: zones(cells, s.bin_counts),
     }
     parts = []
     for c in classes:
@@ -155,7 +164,7 @@ def _features(cells: DataFrame, s: Settings, classes) -> DataFrame | None:
         if c in s.names:
             wanted = [F.col("feature").rlike(f"^{c}_{n}(_|$)") for n in s.names[c]]
             one = one.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
-        parts.append(one)
+        parts.append(stage(one, f"features-{c}"))  # a class is a job of its own
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -217,16 +226,31 @@ def kernels(cells: DataFrame, radius: int = 1, carry=("v",)) -> DataFrame:
                     *[F.col(f"{c}2").alias(c) for c in carry])
 
 
-def voxel_map(vox: DataFrame, bins: int = 8, radius: int = 1, init: float = 0.0) -> DataFrame:
-    """(case_id, z, y, x, feature, value) for every grid cell: mean and contrast of the kernel around each
-    region cell, levels taken from the whole region; other cells hold the initial value."""
-    cells = grid.discretise(grid.roi(vox), bins)
-    k = kernels(cells.select("case_id", "z", "y", "x", "v", "g"), radius, ("v", "g"))
-    mean = k.groupBy("case_id").agg(F.avg("v").alias("value")).withColumn("feature", F.lit("firstorder_Mean"))
-    lev = k.withColumn("bin_count", F.lit(bins))
-    p = co.with_variants(texture.normalise(texture.glcm_of_levels(lev)))
-    con = co.angle_mean(p, {"value": co.contrast()["f_origin"]}).withColumn("feature", F.lit("glcm_Contrast"))
-    both = mean.select("case_id", "feature", "value").unionByName(con.select("case_id", "feature", "value"))
-    both = both.select("case_id.case_id", "case_id.z", "case_id.y", "case_id.x", "feature", "value")
-    every = vox.select("case_id", "z", "y", "x", F.explode(F.array(F.lit("firstorder_Mean"), F.lit("glcm_Contrast"))).alias("feature"))
-    return every.join(both, ["case_id", "z", "y", "x", "feature"], "left").withColumn("value", F.coalesce("value", F.lit(init)))
+def voxel_map(vox: DataFrame, bins: int = 8, radius: int = 1, init: float = 0.0, names=None, distances=(1,)) -> DataFrame:
+    """(case_id, z, y, x, feature, value) for every grid cell: features of the cube around each region cell, levels taken from
+    the whole region; other cells, and features without a value, hold the initial value.
+
+    ``names`` are the wanted features of the classes firstorder and glcm (see windows.MOMENT_NAMES, windows.ORDER_NAMES and
+    cooccurrence.FORMULAS); all of both where it is not given. A cell stays one row whatever the radius (see windows).
+    """
+    names = names or {"firstorder": (*windows.MOMENT_NAMES, *windows.ORDER_NAMES), "glcm": co.FORMULAS}
+    cells = stage(grid.discretise(grid.roi(vox), bins).select("case_id", "z", "y", "x", "v", "g", F.lit(bins).alias("bin_count")), "region")
+    place, parts = ["case_id", "z", "y", "x"], []
+    own = names.get("firstorder", ())
+    sums, ranks = ([n for n in own if n in some] for some in (windows.MOMENT_NAMES, windows.ORDER_NAMES))
+    if len(sums) + len(ranks) < len(own):
+        raise ValueError(f"unknown among {own}")
+    for some, table in ((sums, lambda: windows.moments(cells, radius, sums)),
+                        (ranks, lambda: windows.order_statistics(windows.gathered(cells, radius), ranks))):
+        if some:
+            long = weighted.to_long(table(), place).withColumn("feature", F.concat(F.lit("firstorder_"), "feature"))
+            parts.append(stage(long, "map-firstorder"))
+    if names.get("glcm"):
+        p = stage(texture.normalise(windows.pair_counts(cells, radius, distances)), "map-pairs")
+        long = co.features(p, stage(windows.level_facts(cells, radius), "map-levels"), names["glcm"])
+        name = names_module.parameterised("glcm", F.col("feature"), None, F.col("dist"), F.col("variant"))
+        parts.append(long.select("case_id.case_id", "case_id.z", "case_id.y", "case_id.x", name.alias("feature"), "value"))
+    both = reduce(DataFrame.unionByName, parts)
+    found = sorted(r["feature"] for r in both.select("feature").distinct().collect())  # a few hundred names
+    every = vox.select(*place, F.explode(F.array(*[F.lit(f) for f in found])).alias("feature"))
+    return every.join(both, [*place, "feature"], "left").withColumn("value", F.coalesce("value", F.lit(float(init))))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.operators import nearest, ordering, select, tabular
+from voxelframe.operators import boosting, nearest, ordering, select, tabular
 from voxelframe.session import cut_lineage, stage
 
 # fixed values: accepted model names
@@ -33,8 +34,6 @@ def estimator(name: str, features: int, classes: int, **params):
     elif name == "bagging":
         return c.RandomForestClassifier(numTrees=params.pop("numTrees", 10), maxDepth=params.pop("maxDepth", 30),
                                         featureSubsetStrategy="all", seed=42, **params)
-    elif name in ("xgboost", "catboost"):
-        est = c.GBTClassifier(maxIter=params.pop("maxIter", 200), maxDepth=params.pop("maxDepth", 10), seed=42, **params)
     elif name == "mlp":
         return c.MultilayerPerceptronClassifier(layers=[features, *params.pop("hidden", (100,)), classes], seed=42,
                                                 maxIter=params.pop("maxIter", 200), **params)
@@ -256,6 +255,9 @@ def train_score(name: str, train: DataFrame, test: DataFrame, features, label: s
     elif name in ("lineardiscriminant", "quadraticdiscriminant"):
         d = discriminant(tr, test, features, "_y", name[0] == "q", scores=True, **params)
         out = d.select(row_id, label, softmax(F.col("scores")).alias("scores"))
+    elif name in ("xgboost", "catboost"):
+        settings = boosting.Settings(**{{"maxIter": "rounds", "maxDepth": "depth"}.get(k, k): v for k, v in params.items()})
+        out = boosting.scored(boosting.fit(tr, features, "_y", n, settings), test).select(row_id, label, "scores")
     elif name == "adaboost":
         stumps = boost(tr, features, "_y", params.get("rounds", 200), n)
         out = boosted_scores(test, features, stumps, n).select(row_id, label, "scores")
@@ -309,6 +311,16 @@ def cross_scores(name: str, df: DataFrame, features, folds: int = 5, label: str
     return out
 
 
+def score_table(models, df: DataFrame, features, folds: int = 5, label: str = "label", row_id: str = "case_id", params=None) -> DataFrame:
+    """(model, fold, part, row_id, label, predict, scores), staged: what reports, curves and the choice of a fold read.
+
+    `params` are those of each model by its name. The scores of a model are staged before the next one is fitted.
+    """
+    every = [stage(cross_scores(m, df, features, folds, label, row_id, **(params or {}).get(m, {})).withColumn("model", F.lit(m)), f"scores-{m}")
+             for m in models]
+    return reduce(DataFrame.unionByName, every)
+
+
 def best_fold(accuracy_by_fold: DataFrame) -> DataFrame:
     """The fold with the highest accuracy, the last one on ties."""
     return accuracy_by_fold.agg(F.max_by("fold", F.struct("accuracy", "fold")).alias("fold"))

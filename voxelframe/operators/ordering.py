@@ -25,14 +25,18 @@ def _part(order: str, cuts: str) -> Column:
     return F.coalesce(F.size(F.filter(F.col(cuts), lambda c: c < F.col(order))), F.lit(0))
 
 
-def running(df: DataFrame, keys, order: str, sums, descending: bool = False, fill: int = FILL, spread: bool = True) -> DataFrame:
+def running(df: DataFrame, keys, order: str, sums, descending: bool = False, fill: int = FILL, spread: bool = True,
+            bound: int | None = None) -> DataFrame:
     """(keys, order, sums.., run_<sum>.., tot_<sum>..) with one row per distinct order value.
 
     ``run_<sum>`` includes the row's own value. ``spread`` places the rows by key and value first: a
     group then lies in many tasks, and the branches below read that one exchange. Leave it out only
-    where the input was just aggregated by key and value.
+    where the input was just aggregated by key and value. ``bound`` is the most distinct values that a group
+    is known to have: up to ``fill`` every group is one part, and one window over it does.
     """
     keys = list(keys)
+    if bound is not None and bound <= fill:
+        return _small(df, keys, order, sums, descending)
     if spread:
         df = df.repartition(*keys, order)
     ok = F.col(order).isNotNull()
@@ -62,6 +66,22 @@ def running(df: DataFrame, keys, order: str, sums, descending: bool = False, fil
                     *[f"tot_{c}" for c in sums])
 
 
+def _small(df: DataFrame, keys, order: str, sums, descending: bool) -> DataFrame:
+    ok = F.col(order).isNotNull()
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
+    g = df.where(ok).groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    return g.select(*keys, order, *sums, *[F.sum(c).over(upto).alias(f"run_{c}") for c in sums], *[F.sum(c).over(whole).alias(f"tot_{c}") for c in sums])
+
+
+def largest_group(df: DataFrame, keys) -> int:
+    """Rows of the largest group of a staged table: one number."""
+    return df.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
 def row_rank(df: DataFrame, keys, order: str) -> DataFrame:
     """Rows with ``rank`` (0-based) by a unique order column within keys, and the group size ``size``."""
     keys = list(keys)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions.numeric import EPS
 from voxelframe.operators import ordering
+from voxelframe.session import stage
 
 
 def collapse(df: DataFrame, keys, value: str = "v") -> DataFrame:
@@ -22,26 +23,23 @@ def collapse(df: DataFrame, keys, value: str = "v") -> DataFrame:
         F.count(F.lit(1)).alias("w"))
 
 
-def ranked(vw: DataFrame, keys, spread: bool = False) -> DataFrame:
+def ranked(vw: DataFrame, keys, spread: bool = False, bound: int | None = None) -> DataFrame:
     """(keys, v, w, n, c0, c1): the rank interval [c0, c1) of each distinct value, the key's total n."""
-    r = ordering.running(vw, keys, "v", ["w"], spread=spread)
+    r = ordering.running(vw, keys, "v", ["w"], spread=spread, bound=bound)
     return r.select(*keys, "v", "w", F.col("tot_w").alias("n"), (F.col("run_w") - F.col("w")).alias("c0"),
                     F.col("run_w").alias("c1"))
 
 
-def at_rank(r: Column) -> Column:
-    """Aggregate: the value whose rank interval holds r."""
-    return F.max(F.when((F.col("c0") <= r) & (r < F.col("c1")), F.col("v")))
+def at_rank(r: str) -> str:
+    """Aggregate, as text: the value whose rank interval holds r."""
+    return f"max(if(c0 <= {r} AND {r} < c1, v, null))"
 
 
 def quantile(q: float) -> Column:
     """Aggregate over ranked rows: the linearly interpolated quantile."""
-    h = (F.col("n") - 1) * F.lit(q)
-    lo = F.floor(h)
-    hi = F.least(lo + 1, F.col("n") - 1)
-    a, b = at_rank(lo), at_rank(hi)
-    frac = F.max(h - lo)
-    return a + (b - a) * frac
+    h = f"((n - 1) * {q}D)"
+    a, b = at_rank(f"floor({h})"), at_rank(f"least(floor({h}) + 1, n - 1)")
+    return F.expr(f"{a} + ({b} - {a}) * max({h} - floor({h}))")
 
 
 def percentile(q: float) -> Column:
@@ -205,14 +203,20 @@ def statistic(vw: DataFrame, keys, name: str, percent=None, small: bool = False)
 
 def block(vw: DataFrame, keys, trims=(0.025, 0.05, 0.1, 0.25), deciles=tuple(range(10, 100, 10)),
           with_variance: bool = True) -> DataFrame:
-    """All statistics as one wide row per key: three rankings and a few aggregates in total."""
+    """All statistics as one wide row per key: three rankings and a few aggregates in total.
+
+    Steps are staged: each ranking reads its input many times, so a plan of all three would hold the first hundreds of times.
+    """
     keys = list(keys)
-    r = ranked(vw, keys)
+    vw = stage(vw, "values")
+    bound = ordering.largest_group(vw, keys)  # deviations have no more distinct values than the values
+    r = stage(ranked(vw, keys, bound=bound), "ranks")
     base = r.groupBy(*keys).agg(
         *[simple(n).alias(n) for n in SIMPLE], *[ordered(n).alias(n) for n in ORDERED],
         *[trimmed_mean(t).alias(f"TrimmedMean_p_{t}") for t in trims],
         *[quantile(d / 100.0).alias(f"Deciles_p_{d}") for d in deciles],
         quantile(0.1).alias("_a"), quantile(0.9).alias("_b"), F.max("n").alias("_n"))
+    base = stage(base, "ranked-statistics")
     e = vw.join(base.select(*keys, "Mean", "Median", "Minimum", "_a", "_b", "_n"), keys)
     v, q = F.col("v"), F.col("w") / F.col("_n")
     d1, d2 = v - F.col("Mean"), F.abs(v - F.col("Median"))
@@ -229,20 +233,18 @@ def block(vw: DataFrame, keys, trims=(0.025, 0.05, 0.1, 0.25), deciles=tuple(ran
         (_sum(d1 * d1 * d1 * d1) / _n()).alias("m4"),
         (F.sum(F.when(inside, F.col("w") * v)) / F.sum(F.when(inside, F.col("w")))).alias("_mid"))
     names = [n for n in MOMENTS if with_variance or n != "Variance"]
-    two = two.select("*", *[MOMENTS[n]().alias(n) for n in names]).drop("m2", "m3", "m4")
+    two = stage(two.select("*", *[MOMENTS[n]().alias(n) for n in names]).drop("m2", "m3", "m4"), "moments")
     rob = e.where(inside).join(two.select(*keys, "_mid"), keys).groupBy(*keys).agg(
         (_sum(F.abs(v - F.col("_mid"))) / _n()).alias("RobustMeanAbsoluteDeviation"))
     out = base.join(two, keys).join(rob, keys)
     for kind, name in (("Mean", "MedianAbsoluteDeviationFromMean"), ("Median", "MedianAbsoluteDeviationFromMedian")):
-        d = e.select(*keys, F.abs(v - F.col(kind)).alias("v"), "w").repartition(*keys, "v").groupBy(*keys, "v").agg(
-            F.sum("w").alias("w"))
-        out = out.join(ranked(d, keys).groupBy(*keys).agg(quantile(0.5).alias(name)), keys)
+        d = stage(e.select(*keys, F.abs(v - F.col(kind)).alias("v"), "w").repartition(*keys, "v").groupBy(*keys, "v").agg(
+            F.sum("w").alias("w")), "deviations")
+        out = out.join(stage(ranked(d, keys, bound=bound).groupBy(*keys).agg(quantile(0.5).alias(name)), "median-deviation"), keys)
     out = out.withColumn("MedianAbsoluteDeviation", F.col("MedianAbsoluteDeviationFromMedian") * 1.4826)
     return out.drop("_a", "_b", "_n", "_mid")
 
 
 def to_long(df: DataFrame, keys, prefix: str = "") -> DataFrame:
-    names = [c for c in df.columns if c not in keys]
-    vals = F.array(*[F.struct(F.lit(prefix + n).alias("feature"), F.col(f"`{n}`").cast("double").alias("value"))
-                     for n in names])
-    return df.select(*keys, F.explode(vals).alias("t")).select(*keys, "t.feature", "t.value")
+    cells = ", ".join(f"struct('{prefix}{n}' AS feature, cast(`{n}` AS double) AS value)" for n in df.columns if n not in keys)
+    return df.select(*keys, F.expr(f"explode(array({cells}))").alias("t")).select(*keys, "t.feature", "t.value")

@@ -98,7 +98,13 @@ register("ex_label_override", _override,
          f"""WITH {T.SQL_VOX}, l AS (SELECT *, CASE WHEN v > 0.1 THEN 2 WHEN v > 0 THEN 1 ELSE 0 END AS lab FROM vox)
 SELECT case_id, count(*) AS n, {r6('avg(v)')} AS mean FROM l WHERE lab = CASE WHEN case_id % 3 = 0 THEN 2 ELSE 1 END GROUP BY case_id""")
 
-register("ex_voxel_map", lambda spark, d: rounded(extract.voxel_map(T.voxels3d_roi(spark, d))),
+def _two_maps(spark, d):
+    found = extract.voxel_map(T.voxels3d_roi(spark, d), names={"firstorder": ("Mean",), "glcm": ("Contrast",)})
+    return found.withColumn("feature", F.regexp_replace("feature", "_d_1_f_origin$", "")).where("feature IN ('firstorder_Mean', 'glcm_Contrast')")
+
+
+register("ex_voxel_map_all", lambda spark, d: rounded(extract.voxel_map(T.voxels3d_roi(spark, d))))
+register("ex_voxel_map", lambda spark, d: rounded(_two_maps(spark, d)),
          f"""WITH {sql.lev_cte((8,), ROI)}, {sql.off_cte((1,))},
 ke AS (SELECT a.case_id, a.z, a.y, a.x, b.z AS bz, b.y AS b_y, b.x AS bx, b.v, b.g FROM lev a JOIN lev b ON a.case_id = b.case_id
        AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
@@ -114,7 +120,7 @@ SELECT al.case_id, al.z, al.y, al.x, al.feature, {r6('coalesce(value, 0)')} AS v
 
 def _voxel_maps(spark, d):
     path = scratch_path(spark, "maps")
-    sinks.write_voxel_maps(extract.voxel_map(T.voxels3d_roi(spark, d)), path)
+    sinks.write_voxel_maps(_two_maps(spark, d), path)
     return rounded(spark.read.parquet(path))
 
 
