@@ -308,4 +308,4 @@ def test_full_extraction_of_one_case(spark):
     per = Counter(n.split("_")[0] for n in names)
     assert per["firstorder"] == 46  # 45 with the plain root mean square beside the norm
     assert per["glcm"] == 254 * 2
-    assert per["glrlm"] == 16 * 2 and per["gldm"] == 14 * 2 and per["ngtdm"] == 5 * 2 and per["shape"] == 7 * (1 + 2 + 4)
+    assert per["glrlm"] == 16 * 2 and per["gldm"] == 14 * 2 and per["ngtdm"] == 5 * 2 and per["glszm"] == 16 * 2 and per["shape"] == 7 * (1 + 2 + 4)

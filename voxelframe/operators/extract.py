@@ -50,8 +50,14 @@ def _named(long: DataFrame, cls: str, bins: bool = False, dist: bool = False, va
     return long.select("case_id", name.alias("feature"), F.col("value").cast("double").alias("value"))
 
 
-def first_order(cells: DataFrame) -> DataFrame:
+FEW = 4  # statistics taken one by one; more share one block
+
+
+def first_order(cells: DataFrame, wanted=None) -> DataFrame:
     vw = weighted.collapse(cells, ["case_id"])
+    if wanted and len(wanted) <= FEW and not set(wanted) & {"TrimmedMean", "Deciles"}:
+        vw = stage(vw, "values")
+        return reduce(DataFrame.unionByName, [_named(weighted.statistic(vw, ["case_id"], n).withColumn("feature", F.lit(n)), "firstorder") for n in wanted])
     return _named(weighted.to_long(weighted.block(vw, ["case_id"]), ["case_id"]), "firstorder")
 
 
@@ -70,16 +76,16 @@ def _wide_to_named(df: DataFrame, keys, cls: str) -> DataFrame:
     return _named(weighted.to_long(df, keys), cls, True)
 
 
-def run_length(cells: DataFrame, bin_counts=BIN_COUNTS) -> DataFrame:
+def run_length(cells: DataFrame, bin_counts=BIN_COUNTS, wanted=None) -> DataFrame:
     keys = ["case_id", "bin_count"]
     c = texture.glrlm_counts(grid.discretise_many(cells, bin_counts), keys).withColumnRenamed("len", "j")
-    return _wide_to_named(emphasis.cell_features(c, keys, emphasis.run_length(), angle=True), keys, "glrlm")
+    return _wide_to_named(emphasis.cell_features(c, keys, emphasis.run_length(), wanted, angle=True), keys, "glrlm")
 
 
-def dependence(cells: DataFrame, bin_counts=BIN_COUNTS) -> DataFrame:
+def dependence(cells: DataFrame, bin_counts=BIN_COUNTS, wanted=None) -> DataFrame:
     keys = ["case_id", "bin_count"]
     c = texture.gldm_counts(grid.discretise_many(cells, bin_counts), 0, keys).withColumnRenamed("dep", "j")
-    return _wide_to_named(emphasis.cell_features(c, keys, emphasis.dependence()), keys, "gldm")
+    return _wide_to_named(emphasis.cell_features(c, keys, emphasis.dependence(), wanted), keys, "gldm")
 
 
 def neighbourhood(cells: DataFrame, bin_counts=BIN_COUNTS) -> DataFrame:
@@ -88,11 +94,11 @@ def neighbourhood(cells: DataFrame, bin_counts=BIN_COUNTS) -> DataFrame:
     return _wide_to_named(emphasis.ngtdm_features(t, keys), keys, "ngtdm")
 
 
-def zones(cells: DataFrame, bin_counts=BIN_COUNTS) -> DataFrame:
+def zones(cells: DataFrame, bin_counts=BIN_COUNTS, wanted=None) -> DataFrame:
     """Zones of one level, of all cases, image types and bin counts from one contraction."""
     keys = ["case_id", "bin_count"]
     c = components.zone_counts(stage(grid.discretise_many(cells, bin_counts).select(*keys, "z", "y", "x", "g"), "levels"), keys)
-    return _wide_to_named(emphasis.cell_features(c.withColumnRenamed("size", "j"), keys, emphasis.zone()), keys, "glszm")
+    return _wide_to_named(emphasis.cell_features(c.withColumnRenamed("size", "j"), keys, emphasis.zone(), wanted), keys, "glszm")
 
 
 def shape(cells: DataFrame, bin_counts=SHAPE_BIN_COUNTS, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -104,15 +110,15 @@ def shape(cells: DataFrame, bin_counts=SHAPE_BIN_COUNTS, spacing=(1.0, 1.0, 1.0)
 
 
 def segment(vox: DataFrame, classes=CLASSES, bin_counts=BIN_COUNTS, distances=DISTANCES, label: int = 1,
-            min_cells: int = MIN_CELLS, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """(case_id, feature, value) of every usable case for the wanted classes."""
+            min_cells: int = MIN_CELLS, spacing=(1.0, 1.0, 1.0), names=None) -> DataFrame:
+    """(case_id, feature, value) of every usable case for the wanted classes, and of these for the wanted features."""
     cells = stage(usable(vox, label, min_cells), "cells")
-    return _features(cells, Settings(classes=tuple(classes), bin_counts=tuple(bin_counts), distances=tuple(distances), spacing=spacing), classes)
+    return features(cells, Settings(classes=tuple(classes), bin_counts=tuple(bin_counts), distances=tuple(distances), spacing=spacing, names=names or {}), classes)
 
 
-def wide(long: DataFrame, cases: DataFrame, features) -> DataFrame:
+def wide(long: DataFrame, cases: DataFrame, wanted) -> DataFrame:
     """One row per case with the named columns; a case that gave nothing keeps its key columns."""
-    p = long.where(F.col("feature").isin(*features)).groupBy("case_id").pivot("feature", list(features)).agg(F.first("value"))
+    p = long.where(F.col("feature").isin(*wanted)).groupBy("case_id").pivot("feature", list(wanted)).agg(F.first("value"))
     return cases.join(p, "case_id", "left")
 
 
@@ -148,15 +154,15 @@ class Settings:
     names: dict[str, tuple[str, ...]] = field(default_factory=dict)   # class -> wanted features; all where missing
 
 
-def _features(cells: DataFrame, s: Settings, classes) -> DataFrame | None:
+def features(cells: DataFrame, s: Settings, classes) -> DataFrame | None:
     build = {
-        "firstorder": lambda: first_order(cells),
+        "firstorder": lambda: first_order(cells, s.names.get("firstorder")),
         "shape": lambda: shape(cells, (1, *s.bin_counts), s.new_spacing or s.spacing),
         "glcm": lambda: glcm(cells, s.bin_counts, s.distances, s.names.get("glcm")),
-        "glrlm": lambda: run_length(cells, s.bin_counts),
-        "gldm": lambda: dependence(cells, s.bin_counts),
+        "glrlm": lambda: run_length(cells, s.bin_counts, s.names.get("glrlm")),
+        "gldm": lambda: dependence(cells, s.bin_counts, s.names.get("gldm")),
         "ngtdm": lambda: neighbourhood(cells, s.bin_counts),
-        "glszm": lambda: zones(cells, s.bin_counts),
+        "glszm": lambda: zones(cells, s.bin_counts, s.names.get("glszm")),
     }
     parts = []
     for c in classes:
@@ -196,14 +202,14 @@ def compose(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
     kept = region if s.resegment is None else stage(filters.resegment(region, *s.resegment, label=s.label), "resegmented")
     out = []
     if "shape" in s.classes:
-        part = _features(kept if s.resegment_shape else region, s, ["shape"])
+        part = features(kept if s.resegment_shape else region, s, ["shape"])
         out.append(part.select("case_id", F.lit("original").alias("image_type"), "feature", "value"))
     place = kept.select("case_id", *filters.AXES)
     images = image_types(vox.join(place.select("case_id").distinct(), "case_id", "left_semi"), s.image_types)
     cells = images.join(place.select(F.col("case_id").alias("of"), *filters.AXES),
                         (F.col("case_id.case_id") == F.col("of")) & reduce(lambda a, b: a & b, [images[c] == place[c] for c in filters.AXES]), "left_semi")
     cells = stage(cells.withColumn("m", F.lit(1)), "images")
-    rest = _features(cells, s, [c for c in s.classes if c != "shape"])
+    rest = features(cells, s, [c for c in s.classes if c != "shape"])
     if rest is not None:
         out.append(rest.select("case_id.case_id", "case_id.image_type", "feature", "value"))
     own = registry.enabled("roi")

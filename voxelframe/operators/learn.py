@@ -300,10 +300,60 @@ def cross_validate(name: str, df: DataFrame, features, classes: int, folds: int
     return models, out
 
 
+def bayes_cross_scores(name: str, data: DataFrame, features, folds: int, label: str, row_id: str, classes, smoothing: float = 1e-9,
+                       alpha: float = 1.0) -> DataFrame:
+    """cross_scores() of both kinds of naive Bayes for all folds at once: sums per fold add up to those of the others.
+
+    One aggregate of the rows gives the sums, one join scores every row under every fold's model. Values are taken as
+    distances to the mean of their feature, so that variances from sums do not cancel.
+    """
+    classes, every = list(classes), range(folds)
+    place = F.create_map(*[v for k, c in enumerate(classes) for v in (F.lit(c), F.lit(k))])
+    long = data.select(F.col(row_id).alias("case_id"), F.element_at(place, F.col(label)).alias("y"), "fold",
+                       *[F.col(c).cast("double").alias(c) for c in features]).unpivot(["case_id", "y", "fold"], list(features), "feature", "value")
+    gaussian = name == "bayesgaussian"
+    if gaussian:
+        mid = long.groupBy("feature").agg(F.avg("value").alias("mid"))
+        long = long.join(mid, "feature").select("case_id", "y", "fold", "feature", (F.col("value") - F.col("mid")).alias("v"))
+    else:
+        long = long.select("case_id", "y", "fold", "feature", F.when(F.col("value") > 0, 1.0).otherwise(0.0).alias("v"))
+    long = stage(long, "bayes-rows")
+    v = F.col("v")
+    sums = long.groupBy("feature", "y", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"))
+    others = sums.withColumn("k", F.explode(F.array(*[F.lit(k) for k in every]))).where("fold <> k") \
+        .groupBy("k", "feature", "y").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+    others = stage(others, "bayes-sums")  # folds x features x classes rows
+    var = lambda n, s1, s2: F.greatest(s2 / n - (s1 / n) * (s1 / n), F.lit(0.0))
+    if gaussian:
+        whole = others.groupBy("k", "feature").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+        eps = whole.groupBy("k").agg((F.max(var(F.col("n"), F.col("s1"), F.col("s2"))) * smoothing).alias("e"))
+        model = others.join(eps, "k").select("k", "feature", F.col("y").alias("c"), (F.col("s1") / F.col("n")).alias("mu"),
+                                             (var(F.col("n"), F.col("s1"), F.col("s2")) + F.col("e")).alias("var"))
+        d = v - F.col("mu")
+        term = -0.5 * F.log(2.0 * math.pi * F.col("var")) - d * d / (2.0 * F.col("var"))
+    else:
+        p = (F.col("s1") + alpha) / (F.col("n") + 2 * alpha)
+        model = others.select("k", "feature", F.col("y").alias("c"), F.log(p).alias("l1"), F.log(1.0 - p).alias("l0"))
+        term = F.when(v > 0, F.col("l1")).otherwise(F.col("l0"))
+    rows = data.groupBy(F.element_at(place, F.col(label)).alias("c"), "fold").count().withColumn("k", F.explode(F.array(*[F.lit(k) for k in every]))) \
+        .where("fold <> k").groupBy("k", "c").agg(F.sum("count").alias("n"))
+    prior = rows.select("k", "c", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("k"))).alias("prior"))  # a row a class
+    one = long.select("case_id", "feature", "v").join(model, "feature").groupBy("case_id", "k", "c").agg(F.sum(term).alias("ll"))
+    one = one.join(prior, ["k", "c"]).groupBy("case_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("c", F.col("ll") + F.col("prior")))).alias("m"))
+    logs = F.transform(F.sequence(F.lit(0), F.lit(len(classes) - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("int")), F.lit(-1e300)))
+    names = F.array(*[F.lit(c) for c in classes])
+    out = one.select(F.col("case_id").alias(row_id), F.col("k").alias("fold"), softmax(logs).alias("scores")).join(
+        data.select(row_id, F.col(label).cast("long").alias("label"), F.col("fold").alias("own")), row_id)
+    return out.select(row_id, "label", F.get(names, F.array_position("scores", F.array_max("scores")).cast("int") - 1).cast("long").alias("predict"),
+                      "scores", F.when(F.col("own") == F.col("fold"), "valid").otherwise("train").alias("part"), "fold")
+
+
 def cross_scores(name: str, df: DataFrame, features, folds: int = 5, label: str = "label", row_id: str = "case_id", **params) -> DataFrame:
     """(fold, part, row_id, label, predict, scores) of any accepted model: each fold is fitted on the others, both parts scored."""
     data = stage(ordering.stratified_folds(df, label, row_id, folds), "folds")
     classes, out = tabular.classes(data, label), None
+    if name in ("bayesgaussian", "bayesbernoulli"):
+        return bayes_cross_scores(name, data, features, folds, label, row_id, classes, **params)
     for f in range(folds):
         one = train_score(name, data.where(F.col("fold") != f), data, features, label, row_id, classes, **params)
         one = one.join(data.select(row_id, F.when(F.col("fold") == f, "valid").otherwise("train").alias("part")), row_id).withColumn("fold", F.lit(f))

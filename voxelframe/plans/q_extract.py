@@ -12,7 +12,7 @@ from voxelframe.plans.catalog import ORACLES, r6, register
 from voxelframe.plans.q_matrices import K2, RUNS
 from voxelframe.plans.q_shape import mesh_cte
 from voxelframe.plans.q_texture import rounded
-from voxelframe.session import scratch_path
+from voxelframe.session import scratch_path, stage
 from voxelframe.sources import sinks
 from voxelframe.sources import tables as T
 
@@ -43,10 +43,9 @@ PICK = ("firstorder_Mean", "firstorder_Median", "firstorder_Energy", "glrlm_Shor
 
 
 def _segment(spark, d):
-    vox = T.voxels3d_roi(spark, d)
-    long = extract.segment(vox, ("firstorder", "shape", "glrlm"), BINS, DISTS, min_cells=MIN)
-    con = extract.glcm(extract.usable(vox, min_cells=MIN), BINS, DISTS, wanted=("Contrast",), dense=False)
-    return long.unionByName(con).where(F.col("feature").isin(*PICK))
+    wanted = {"firstorder": ("Mean", "Median", "Energy"), "shape": ("Volume",), "glrlm": ("ShortRunEmphasis",), "glcm": ("Contrast",)}
+    long = extract.segment(T.voxels3d_roi(spark, d), tuple(wanted), BINS, DISTS, min_cells=MIN, names=wanted)
+    return long.where(F.col("feature").isin(*PICK))
 
 
 def _seg_sql():
@@ -127,15 +126,16 @@ def _voxel_maps(spark, d):
 register("sink_voxel_maps", _voxel_maps, ORACLES["ex_voxel_map"])
 
 
-POINTWISE = ("original", "square", "squareroot", "logarithm", "exponential", "gradient")
+GRID_CLASSES = ("firstorder", "glcm", "glrlm", "gldm", "ngtdm", "glszm")
 
 
 def _image_grid(spark, d):
-    """Image types x texture classes, one plan; the derived images share one case key."""
-    vox = extract.image_types(T.voxels3d(spark, d), POINTWISE)
-    cells = grid.roi(vox)
-    con = extract.glcm(cells, (8,), (1,), wanted=("Contrast", "Imc1"), dense=False)
-    out = con.unionByName(extract.run_length(cells, (8,))).unionByName(extract.dependence(cells, (8,)))
+    """All ten image types x all classes of one image, all bin counts and distances; of co-occurrence two formulas.
+
+    The derived images share one case key, so each class is one job for all of them.
+    """
+    cells = stage(grid.roi(stage(extract.image_types(T.voxels3d(spark, d)), "images")), "cells")
+    out = extract.features(cells, extract.Settings(names={"glcm": ("Contrast", "Imc1")}), GRID_CLASSES)
     return rounded(out.select("case_id.case_id", "case_id.image_type", "feature", "value"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators import analyze as an
 from voxelframe.operators import evaluate as ev
-from voxelframe.operators import learn, nearest, ordering, select, tabular
+from voxelframe.operators import boosting, learn, nearest, ordering, select, tabular
 from voxelframe.plans.catalog import r6, register
 from voxelframe.plans.q_tables import _ML, _missing_long, fold_scores
 from voxelframe.plans.q_texture import rounded
@@ -15,6 +15,7 @@ from voxelframe.session import scratch_path
 from voxelframe.sources import tables as T
 
 NAMES = T.feature_names()
+CLASSES = 10
 LONG = T.SQL_LONG
 
 
@@ -219,14 +220,14 @@ for _kind, _fn in (("gaussian", learn.gaussian_nb), ("bernoulli", learn.bernoull
 # ---- fitted models (rows only) ------------------------------------------------------------------------------------
 
 
-def _train_test(spark, d, binary=True):
-    df = frame(spark, d, binary=binary)
+def _train_test(spark, d):
+    df = frame(spark, d, binary=False)
     return df.where("case_id % 5 <> 0"), df.where("case_id % 5 = 0")
 
 
 def _scored(name, **params):
     def run(spark, d):
-        return learn.train_score(name, *_train_test(spark, d, False), NAMES, **params)
+        return learn.train_score(name, *_train_test(spark, d), NAMES, **params)
     return run
 
 
@@ -247,43 +248,34 @@ register("clf_qda", _fitted("quadraticdiscriminant"))
 register("clf_adaboost", _fitted("adaboost"))
 
 
-def _gbt(spark, d):
-    """Two classes: beyond that there would be one boosted model for each class."""
-    return learn.train_score("xgboost", *_train_test(spark, d), NAMES).select("case_id", "label", "predict")
+register("clf_gbt", _fitted("xgboost"))
+register("clf_svc", _fitted("svc"))
 
 
-register("clf_gbt", _gbt)
+def _gbt_importance(spark, d):
+    model = boosting.fit(_train_test(spark, d)[0], NAMES, "label", CLASSES)
+    return rounded(boosting.importance(model.table(spark), NAMES))
 
 
-def _svc(spark, d):
-    """rbf margin through random Fourier features, probabilities by a logistic fit on the margin."""
-    from pyspark.ml.functions import vector_to_array
-
-    tr, te = (learn.fourier_features(x, NAMES, 1.0 / len(NAMES)) for x in _train_test(spark, d))
-    cols = [c for c in tr.columns if c.startswith("rf")]
-    m, pred = learn.fit_predict("svc", tr, te, cols, 2)
-    margin = vector_to_array("rawPrediction")[1].alias("margin")
-    a = m.transform(tr).select("case_id", "label", margin)
-    b = pred.select("case_id", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("predict"), margin)
-    return rounded(learn.platt(a, b))
-
-
-register("clf_svc", _svc)
+register("ml_gbt_importance", _gbt_importance)
 
 
 def _cv(spark, d, folds=5):
-    return learn.cross_validate("logistic", frame(spark, d), NAMES, 2, folds, regParam=0.01)
+    return learn.cross_validate("logistic", frame(spark, d, binary=False), NAMES, CLASSES, folds, regParam=0.01)
 
 
-register("ml_cross_validate", lambda spark, d: _cv(spark, d)[1])
+# the models whose five fits take seconds; learn.score_table takes all sixteen
+IN_TABLE = ("bayesgaussian", "bayesbernoulli", "knn", "lineardiscriminant", "quadraticdiscriminant", "logistic", "decision")
+register("ml_cross_validate", lambda spark, d: rounded(learn.score_table(IN_TABLE, frame(spark, d, binary=False), NAMES).select(
+    "model", "fold", "part", "case_id", "label", "predict", *[F.get("scores", F.lit(k)).alias(f"p_{k}") for k in range(CLASSES)])))
 
 
 def _param_search(spark, d, folds=5):
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    data = select.assemble(ordering.stratified_folds(frame(spark, d), "label", "case_id", folds), NAMES)
-    est = learn.estimator("logistic", len(NAMES), 2)
+    data = select.assemble(ordering.stratified_folds(frame(spark, d, binary=False), "label", "case_id", folds), NAMES)
+    est = learn.estimator("logistic", len(NAMES), CLASSES)
     grid = ParamGridBuilder().addGrid(est.regParam, [0.001, 0.1]).addGrid(est.elasticNetParam, [0.0, 1.0]).build()
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=4,
                         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"))
@@ -309,7 +301,7 @@ register("ml_feature_importance", _importance)
 
 def _best_fold(spark, d):
     tr, te = _train_test(spark, d)
-    models, pred = learn.cross_validate("logistic", tr, NAMES, 2, 5, regParam=0.01)
+    models, pred = learn.cross_validate("logistic", tr, NAMES, CLASSES, 5, regParam=0.01)
     acc = ev.accuracy(pred.where("part = 'valid'"), ["fold"])
     f = learn.best_fold(acc).first()["fold"]
     p = models[f].transform(te).select(F.lit(f).alias("fold"), F.col("label").cast("long").alias("label"),
@@ -322,7 +314,7 @@ register("ml_test_best_fold", _best_fold)
 
 def _infer(spark, d):
     tr, te = _train_test(spark, d)
-    return learn.probability_map(learn.fit_predict("logistic", tr, te, NAMES, 2, regParam=0.01)[1], (0, 1))
+    return learn.probability_map(learn.fit_predict("logistic", tr, te, NAMES, CLASSES, regParam=0.01)[1], range(CLASSES))
 
 
 register("ml_infer_map", lambda spark, d: _infer(spark, d).select("case_id", "probabilities"))
@@ -333,11 +325,11 @@ def _infer_batch(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     tr, te = _train_test(spark, d)
-    models, _ = learn.cross_validate("logistic", tr, NAMES, 2, 5, regParam=0.01)
+    models, _ = learn.cross_validate("logistic", tr, NAMES, CLASSES, 5, regParam=0.01)
     out = None
     for f, m in enumerate(models):
         p = vector_to_array("probability")
-        one = m.transform(te).select("case_id", F.lit(f).alias("fold"), p[0].alias("p_0"), p[1].alias("p_1"))
+        one = m.transform(te).select("case_id", F.lit(f).alias("fold"), *[p[k].alias(f"p_{k}") for k in range(CLASSES)])
         out = one if out is None else out.unionByName(one)
     return rounded(out.join(T.targets(spark, d).withColumnRenamed("label", "truth"), "case_id", "left"))
 
@@ -349,7 +341,7 @@ def _roundtrip(spark, d):
     from pyspark.ml import PipelineModel
 
     tr, te = _train_test(spark, d)
-    m, _ = learn.fit_predict("logistic", tr, te, NAMES, 2, regParam=0.01)
+    m, _ = learn.fit_predict("logistic", tr, te, NAMES, CLASSES, regParam=0.01)
     path = scratch_path(spark, "model")
     m.write().overwrite().save(path)
     p = PipelineModel.load(path).transform(te)
@@ -361,19 +353,43 @@ register("ml_model_roundtrip", _roundtrip)
 # ---- evaluation ---------------------------------------------------------------------------------------------------
 
 
+def fold_table(spark, d, models=("bayesgaussian",)):
+    """Scores of every case under every fold's model, ten classes: (model, fold, part, case_id, label, predict, p_0 .. p_9)."""
+    t = learn.score_table(models, frame(spark, d, binary=False), NAMES)
+    return t.select("model", "fold", "part", "case_id", "label", "predict", *[F.get("scores", F.lit(k)).alias(f"p_{k}") for k in range(CLASSES)])
+
+
 def predictions(spark, d):
-    """Three-class scores from the first three values, truth from the label."""
-    e = arrays(spark, d)
-    ex = [F.exp(F.get("x", F.lit(k))) for k in range(3)]
-    e = e.select("case_id", (F.col("label") % 3).alias("label"), *[(x / (ex[0] + ex[1] + ex[2])).alias(f"p_{k}") for k, x in enumerate(ex)])
-    arr = F.array("p_0", "p_1", "p_2")
-    e = e.withColumn("predict", (F.array_position(arr, F.array_max(arr)) - 1).cast("long"))
-    return e.withColumn("fold", F.col("case_id") % 4).withColumn("part", F.when(F.col("case_id") % 5 == 0, "valid").otherwise("train"))
+    """Every case once, by the model that was not fitted on it."""
+    return fold_table(spark, d).where("part = 'valid'")
+
+
+_P = [f"p_{k}" for k in range(CLASSES)]
+_TERM = {"gaussian": ("avg(value) AS mu, var_pop(value) + any_value(e) AS var", "-0.5 * ln(2 * pi() * var) - pow(value - mu, 2) / (2 * var)"),
+         "bernoulli": ("(count(CASE WHEN value > 0 THEN 1 END) + 1.0) / (count(*) + 2.0) AS p", "CASE WHEN value > 0 THEN ln(p) ELSE ln(1 - p) END")}
+
 
+def fold_cte(kind="gaussian", tag=""):
+    """sd<tag>: the twin of fold_table for one kind of naive Bayes."""
+    fit, term = _TERM[kind]
+    return f"""tr{tag} AS (SELECT k, fl.* FROM fl JOIN fo USING (case_id) JOIN ks ON fo.fold <> k),
+ep{tag} AS (SELECT k, max(v) * 1e-9 AS e FROM (SELECT k, var_pop(value) AS v FROM tr{tag} GROUP BY k, feature) GROUP BY k),
+st{tag} AS (SELECT k, feature, label, {fit} FROM tr{tag} JOIN ep{tag} USING (k) GROUP BY k, feature, label),
+sc{tag} AS (SELECT k, f.case_id, s.label AS c, sum({term}) AS ll FROM fl f JOIN st{tag} s USING (feature) GROUP BY ALL),
+lp{tag} AS (SELECT sc{tag}.*, ll + prior AS logp, max(ll + prior) OVER (PARTITION BY sc{tag}.k, case_id) AS top FROM sc{tag} JOIN pr ON pr.k = sc{tag}.k AND pr.label = c),
+so{tag} AS (SELECT *, exp(logp - top) / sum(exp(logp - top)) OVER (PARTITION BY k, case_id) AS p FROM lp{tag}),
+sd{tag} AS (SELECT so{tag}.k AS fold, CASE WHEN any_value(fo.fold) = so{tag}.k THEN 'valid' ELSE 'train' END AS part, case_id, any_value(fo.label) AS label,
+  arg_max(c, (p, -c)) AS predict, {', '.join(f'max(p) FILTER (c = {k}) AS p_{k}' for k in range(CLASSES))} FROM so{tag} JOIN fo USING (case_id) GROUP BY so{tag}.k, case_id)"""
 
-_PR = """ex AS (SELECT vec_id AS case_id, CAST(label % 3 AS BIGINT) AS label, exp(embedding[1]::DOUBLE) AS a, exp(embedding[2]::DOUBLE) AS b, exp(embedding[3]::DOUBLE) AS c FROM embeddings),
-pd AS (SELECT case_id, label, a / (a + b + c) AS p_0, b / (a + b + c) AS p_1, c / (a + b + c) AS p_2,
-CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS BIGINT) AS predict, case_id % 4 AS fold, CASE WHEN case_id % 5 = 0 THEN 'valid' ELSE 'train' END AS part FROM ex)"""
+
+_FO = f"""{LONG}, fo AS (SELECT vec_id AS case_id, CAST(label AS BIGINT) AS label, CAST(ntile(5) OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS fold FROM embeddings),
+ks AS (SELECT CAST(unnest(range(5)) AS INT) AS k),
+pr AS (SELECT k, label, ln(count(*) / sum(count(*)) OVER (PARTITION BY k)) AS prior FROM fo JOIN ks ON fold <> k GROUP BY k, label)"""
+_SD = f"{_FO}, {fold_cte()}"
+_PR = f"{_SD}, pd AS (SELECT * FROM sd WHERE part = 'valid')"
+for _kind in _TERM:
+    register(f"ml_cv_bayes_{_kind}", lambda spark, d, m=f"bayes{_kind}": rounded(fold_table(spark, d, (m,))),
+             f"WITH {_FO}, {fold_cte(_kind)} SELECT 'bayes{_kind}' AS model, fold, part, case_id, label, predict, {', '.join(f'{r6(c)} AS {c}' for c in _P)} FROM sd")
 
 
 def report_cte(keys="", src="pd"):
@@ -400,14 +416,14 @@ register("ev_confusion",
          lambda spark, d: rounded(ev.confusion(predictions(spark, d)).withColumn(
              "share", F.col("n") / F.sum("n").over(Window.partitionBy("label")))),
          f"WITH {_PR}, c AS (SELECT label, predict, count(*) AS n FROM pd GROUP BY ALL) SELECT *, {r6('n / sum(n) OVER (PARTITION BY label)')} AS share FROM c")
-register("ev_accuracy", lambda spark, d: rounded(ev.accuracy(predictions(spark, d), ["fold", "part"])),
-         f"WITH {_PR} SELECT fold, part, {r6('avg(CASE WHEN label = predict THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM pd GROUP BY ALL")
+register("ev_accuracy", lambda spark, d: rounded(ev.accuracy(fold_table(spark, d), ["fold", "part"])),
+         f"WITH {_PR} SELECT fold, part, {r6('avg(CASE WHEN label = predict THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM sd GROUP BY ALL")
 register("agg_argmax_fold",
-         lambda spark, d: learn.best_fold(ev.accuracy(predictions(spark, d).where("part = 'valid'"), ["fold"])),
+         lambda spark, d: learn.best_fold(ev.accuracy(predictions(spark, d), ["fold"])),
          f"""WITH {_PR}, a AS (SELECT fold, avg(CASE WHEN label = predict THEN 1.0 ELSE 0.0 END) AS accuracy FROM pd WHERE part = 'valid' GROUP BY fold)
 SELECT fold FROM a ORDER BY accuracy DESC, fold DESC LIMIT 1""")
 register("ev_sens_spec", lambda spark, d: rounded(ev.sensitivity_specificity(predictions(spark, d))),
-         f"""WITH {_PR}, k AS (SELECT unnest([0, 1, 2]) AS cls) SELECT CAST(cls AS VARCHAR) AS class,
+         f"""WITH {_PR}, k AS (SELECT unnest(range(10)) AS cls) SELECT CAST(cls AS VARCHAR) AS class,
 {r6('count(CASE WHEN label = cls AND predict = cls THEN 1 END) / count(CASE WHEN label = cls THEN 1 END)')} AS sensitivity,
 {r6('count(CASE WHEN label <> cls AND predict <> cls THEN 1 END) / count(CASE WHEN label <> cls THEN 1 END)')} AS specificity FROM pd, k GROUP BY cls""")
 
@@ -416,26 +432,21 @@ def _samples(spark, d):
     p = predictions(spark, d)
     i = F.col("case_id").cast("string")
     return rounded(p.select(F.concat(F.lit("img"), i).alias("image"), F.concat(F.lit("mask"), i).alias("mask"), "label", "predict",
-                            F.greatest("p_0", "p_1", "p_2").alias("p_predicted"), "p_0", "p_1", "p_2",
+                            F.greatest(*_P).alias("p_predicted"), *_P,
                             (F.col("label") == F.col("predict")).cast("int").alias("correct")))
 
 
 register("ev_samples", _samples,
-         f"""WITH {_PR} SELECT 'img' || case_id AS image, 'mask' || case_id AS mask, label, predict, {r6('greatest(p_0, p_1, p_2)')} AS p_predicted,
-{r6('p_0')} AS p_0, {r6('p_1')} AS p_1, {r6('p_2')} AS p_2, CAST(label = predict AS INT) AS correct FROM pd""")
-
+         f"""WITH {_PR} SELECT 'img' || case_id AS image, 'mask' || case_id AS mask, label, predict, {r6('greatest(' + ', '.join(_P) + ')')} AS p_predicted,
+{', '.join(f'{r6(c)} AS {c}' for c in _P)}, CAST(label = predict AS INT) AS correct FROM pd""")
 
-def _two_models(spark, d):
-    p = predictions(spark, d)
-    return p.withColumn("model", F.lit("first")).unionByName(
-        p.withColumn("predict", (F.col("predict") + F.col("case_id") % 2) % 3).withColumn("model", F.lit("second")))
 
-
-_TWO = f"{_PR}, tm AS (SELECT *, 'first' AS model FROM pd UNION ALL SELECT * REPLACE ((predict + case_id % 2) % 3 AS predict), 'second' FROM pd)"
+_TWO = f"""{_SD}, {fold_cte('bernoulli', '2')}, tm AS (SELECT 'bayesgaussian' AS model, part, fold, label, predict FROM sd
+UNION ALL SELECT 'bayesbernoulli', part, fold, label, predict FROM sd2)"""
 
 
 def _compare(spark, d):
-    a = ev.accuracy(_two_models(spark, d), ["model", "part", "fold"]).groupBy("model", "part").agg(F.avg("accuracy").alias("a"))
+    a = ev.accuracy(fold_table(spark, d, ("bayesgaussian", "bayesbernoulli")), ["model", "part", "fold"]).groupBy("model", "part").agg(F.avg("accuracy").alias("a"))
     return rounded(a.groupBy("model").pivot("part", ["train", "valid"]).agg(F.first("a")))
 
 
@@ -447,11 +458,12 @@ SELECT model, {r6("avg(a) FILTER (part = 'train')")} AS train, {r6("avg(a) FILTE
 def class_scores(p, keys=("case_id",)):
     """One row per sample and class: score and hit."""
     arr = F.array(*[F.struct(F.lit(str(k)).alias("class"), F.col(f"p_{k}").alias("score"),
-                             (F.col("label") == k).cast("int").alias("hit")) for k in range(3)])
+                             (F.col("label") == k).cast("int").alias("hit")) for k in range(CLASSES)])
     return p.select(*keys, F.explode(arr).alias("t")).select(*keys, "t.*")
 
 
-_CS = "cs AS (" + " UNION ALL ".join(f"SELECT case_id, part, '{k}' AS class, p_{k} AS score, CAST(label = {k} AS INT) AS hit FROM pd" for k in range(3)) + ")"
+def class_cte(src):
+    return "cs AS (" + " UNION ALL ".join(f"SELECT case_id, part, '{k}' AS class, p_{k} AS score, CAST(label = {k} AS INT) AS hit FROM {src}" for k in range(CLASSES)) + ")"
 
 
 def auc_sql(keys, src):
@@ -459,8 +471,8 @@ def auc_sql(keys, src):
 au AS (SELECT {keys}, (sum(r) FILTER (hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * sum(1 - hit)) AS auc FROM rk GROUP BY {keys})"""
 
 
-register("ev_auc_compare", lambda spark, d: rounded(ev.auc(class_scores(predictions(spark, d), ["case_id", "part"]), ["class", "part"])),
-         f"WITH {_PR}, {_CS}, {auc_sql('class, part', 'cs')} SELECT class, part, {r6('auc')} AS auc FROM au")
+register("ev_auc_compare", lambda spark, d: rounded(ev.auc(class_scores(fold_table(spark, d), ["case_id", "part"]), ["class", "part"])),
+         f"WITH {_SD}, {class_cte('sd')}, {auc_sql('class, part', 'cs')} SELECT class, part, {r6('auc')} AS auc FROM au")
 
 
 def _report_merge(spark, d):
@@ -470,19 +482,30 @@ def _report_merge(spark, d):
 
 
 register("jn_report_merge", _report_merge,
-         f"""WITH {_PR}, {_CS}, {auc_sql('class', 'cs')}, {report_cte()}, ss AS (SELECT CAST(cls AS VARCHAR) AS class,
+         f"""WITH {_PR}, {class_cte('pd')}, {auc_sql('class', 'cs')}, {report_cte()}, ss AS (SELECT CAST(cls AS VARCHAR) AS class,
 count(CASE WHEN label = cls AND predict = cls THEN 1 END) / count(CASE WHEN label = cls THEN 1 END) AS sensitivity,
-count(CASE WHEN label <> cls AND predict <> cls THEN 1 END) / count(CASE WHEN label <> cls THEN 1 END) AS specificity FROM pd, (SELECT unnest([0, 1, 2]) AS cls) GROUP BY cls)
+count(CASE WHEN label <> cls AND predict <> cls THEN 1 END) / count(CASE WHEN label <> cls THEN 1 END) AS specificity FROM pd, (SELECT unnest(range(10)) AS cls) GROUP BY cls)
 SELECT {_REPC}, support, {r6('auc')} AS auc, {r6('sensitivity')} AS sensitivity, {r6('specificity')} AS specificity FROM rep JOIN au USING (class) JOIN ss USING (class)""")
 
 
 def _prediction_json(spark, d):
     p = predictions(spark, d)
-    per = F.array(*[F.array(F.lit(str(k)), F.format_string("%.4f", F.col(f"p_{k}") + 1e-9)) for k in range(3)])
+    per = F.array(*[F.array(F.lit(str(k)), F.format_string("%.4f", F.col(f"p_{k}") + 1e-9)) for k in range(CLASSES)])
     return p.select("case_id", F.to_json(F.struct(F.concat(F.lit("img"), F.col("case_id").cast("string")).alias("Image_Name"),
                                                   F.col("label").alias("Ground_Truth"), per.alias("Prediction"))).alias("doc"))
 
 
 register("ev_prediction_json", _prediction_json,
-         f"""WITH {_PR} SELECT case_id, '{{"Image_Name":"img' || case_id || '","Ground_Truth":' || label || ',"Prediction":[["0","' || printf('%.4f', p_0 + 1e-9) ||
-'"],["1","' || printf('%.4f', p_1 + 1e-9) || '"],["2","' || printf('%.4f', p_2 + 1e-9) || '"]]}}' AS doc FROM pd""")
+         f"""WITH {_PR} SELECT case_id, '{{"Image_Name":"img' || case_id || '","Ground_Truth":' || label || ',"Prediction":[' ||
+{" || ',' || ".join(f"""'["{k}","' || printf('%.4f', p_{k} + 1e-9) || '"]'""" for k in range(CLASSES))} || ']}}' AS doc FROM pd""")
+
+# ---- ROC band of the fitted model -----------------------------------------------------------------------
+
+
+def _fold_band(spark, d):
+    """Mean ROC over the folds of each class, with its spread."""
+    cs = class_scores(predictions(spark, d), ["fold"])
+    return rounded(ev.mean_roc(cs, "fold", ["class"]))
+
+
+register("ev_fold_roc_band", _fold_band)

@@ -71,7 +71,7 @@ register("sh_level_roi",
 
 # ---- planar ------------------------------------------------------------------------------------------
 
-BINS2 = (1, 4)
+BINS2 = (1, 2, 4, 8, 32, 64)   # fixed values: the full grid
 
 
 def contour_cte() -> str:

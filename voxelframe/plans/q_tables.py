@@ -497,16 +497,15 @@ register("fn_cast",
 def _fn_array_map(spark, d):
     e = T.table(spark, d, "embeddings")
     vals = F.transform("embedding", lambda v: v.cast("double"))
-    first = F.slice("embedding", 1, 4)
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in "abcd"]), F.transform(first, lambda v: v.cast("double")))
+    m = F.map_from_arrays(F.array(*[F.lit(n) for n in T.feature_names()]), vals)
     inv = F.map_from_entries(F.transform(F.map_entries(F.map_from_arrays(
         F.array(F.lit("n"), F.lit("l")), F.array(F.col("vec_id"), F.col("label").cast("long") + 100000))), lambda x: F.struct(x["value"], x["key"])))
-    return rounded(e.select("vec_id", F.element_at(m, "c").alias("c"), F.element_at(inv, F.col("vec_id")).alias("inv"),
+    return rounded(e.select("vec_id", F.element_at(m, "f02").alias("c"), F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v).alias("total"), F.element_at(inv, F.col("vec_id")).alias("inv"),
                             (F.array_position(vals, F.array_max(vals)) - 1).cast("int").alias("argmax")))
 
 
 register("fn_array_map", _fn_array_map,
-         f"SELECT vec_id, {r6('embedding[3]::DOUBLE')} AS c, 'n' AS inv, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS argmax FROM embeddings")
+         f"SELECT vec_id, {r6('embedding[3]::DOUBLE')} AS c, {r6('list_sum(embedding::DOUBLE[])')} AS total, 'n' AS inv, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS argmax FROM embeddings")
 register("fn_json",
          lambda spark, d: T.table(spark, d, "events").select(
              "event_id", F.from_json("props", "k INT")["k"].alias("k"), F.to_json(F.struct("event_id", "event_type")).alias("doc")),

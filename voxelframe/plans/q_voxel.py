@@ -301,10 +301,10 @@ DIRS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
 
 def outlines(spark, d):
-    """Two star-shaped outlines per region from the first 16 values; slices may be unknown (-1)."""
+    """Eight star-shaped outlines per region from all 64 values; slices may be unknown (-1)."""
     e = T.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("region"), (F.col("label") % 4 - 1).cast("int").alias("slice"),
-        F.posexplode(F.slice("embedding", 1, 16)).alias("k", "e"))
+        F.posexplode("embedding").alias("k", "e"))
     r = 2 + F.floor(F.abs(F.col("e").cast("double")) * 20)
     dx = F.element_at(F.array(*[F.lit(a) for a, _ in DIRS]), F.col("k") % 8 + 1)
     dy = F.element_at(F.array(*[F.lit(b) for _, b in DIRS]), F.col("k") % 8 + 1)
@@ -315,7 +315,7 @@ def outlines(spark, d):
 
 register("vx_polygon_fill",
          lambda spark, d: fl.polygon_fill(outlines(spark, d).where("slice <> -1")),
-         f"""WITH p0 AS (SELECT vec_id AS region, CAST(label % 4 - 1 AS INT) AS slice, unnest(embedding[1:16])::DOUBLE AS e, unnest(range(0, 16)) AS k FROM embeddings),
+         f"""WITH p0 AS (SELECT vec_id AS region, CAST(label % 4 - 1 AS INT) AS slice, unnest(embedding)::DOUBLE AS e, unnest(range(0, 64)) AS k FROM embeddings),
 dr(i, dx, dy) AS (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(DIRS))}),
 pt AS (SELECT region, slice, k // 8 AS c, k % 8 AS o, CAST(floor(16.5 + (k // 8) * 4 + dx * (2 + floor(abs(e) * 20))) AS INT) AS x,
               CAST(floor(16.5 + dy * (2 + floor(abs(e) * 20))) AS INT) AS y FROM p0 JOIN dr ON i = k % 8 WHERE slice <> -1),
