@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelframe.operators import grid
-from voxelframe.session import cut_lineage
+from voxelframe.session import cut_lineage, settings
 
 SUMS = "class int, node int, feature int, bin int, g double, h double"
 CUT = 10  # rounds between checkpoints of the scores
@@ -28,7 +28,7 @@ CUT = 10  # rounds between checkpoints of the scores
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 200
-    depth: int = 6
+    depth: int = 10
     rate: float = 0.3
     l2: float = 1.0
     min_weight: float = 1.0   # second derivatives on either side of a split
@@ -220,7 +220,9 @@ def fit(train: DataFrame, features, label: str, classes: int, s: Settings = Sett
     state = _binned(train, model, label)
     pending: list[list[Tree]] = []
     for _ in range(s.rounds):
-        trees = grow(state, model, pending, s)
+        # what a level shuffles is of the size of its nodes, not of the rows: planning it anew at run time only takes longer
+        with settings(train.sparkSession, {"spark.sql.adaptive.enabled": "false"}):
+            trees = grow(state, model, pending, s)
         if all(t.depth == 0 for t in trees):
             break
         model.trees.append(trees)

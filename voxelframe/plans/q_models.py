@@ -248,12 +248,13 @@ register("clf_qda", _fitted("quadraticdiscriminant"))
 register("clf_adaboost", _fitted("adaboost"))
 
 
-register("clf_gbt", _fitted("xgboost"))
+GBT = {"rounds": 10, "depth": 3}   # cut for time: boosting.Settings has 200 rounds of depth 10
+register("clf_gbt", _fitted("xgboost", **GBT))
 register("clf_svc", _fitted("svc"))
 
 
 def _gbt_importance(spark, d):
-    model = boosting.fit(_train_test(spark, d)[0], NAMES, "label", CLASSES)
+    model = boosting.fit(_train_test(spark, d)[0], NAMES, "label", CLASSES, boosting.Settings(**GBT))
     return rounded(boosting.importance(model.table(spark), NAMES))
 
 
