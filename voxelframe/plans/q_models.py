@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators import analyze as an
 from voxelframe.operators import evaluate as ev
-from voxelframe.operators import boosting, learn, nearest, ordering, select, tabular
+from voxelframe.operators import boosting, learn, nearest, ordering, search, select, tabular
 from voxelframe.plans.catalog import r6, register
 from voxelframe.plans.q_tables import _ML, _missing_long, fold_scores
 from voxelframe.plans.q_texture import rounded
@@ -271,21 +271,13 @@ register("ml_cross_validate", lambda spark, d: rounded(learn.score_table(IN_TABL
     "model", "fold", "part", "case_id", "label", "predict", *[F.get("scores", F.lit(k)).alias(f"p_{k}") for k in range(CLASSES)])))
 
 
-def _param_search(spark, d, folds=5):
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+def _param_search(models, rounds=40):
+    """Every candidate of the models on three folds; gradient fits stop after `rounds` shared passes (search() has 1,000)."""
+    return lambda spark, d: rounded(search.search(models, frame(spark, d, binary=False), NAMES, rounds=rounds))
 
-    data = select.assemble(ordering.stratified_folds(frame(spark, d, binary=False), "label", "case_id", folds), NAMES)
-    est = learn.estimator("logistic", len(NAMES), CLASSES)
-    grid = ParamGridBuilder().addGrid(est.regParam, [0.001, 0.1]).addGrid(est.elasticNetParam, [0.0, 1.0]).build()
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=4,
-                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"))
-    m = cv.fit(data)
-    rows = [(float(g[est.regParam]), float(g[est.elasticNetParam]), float(a)) for g, a in zip(grid, m.avgMetrics)]
-    return rounded(spark.createDataFrame(rows, "reg double, l1 double, accuracy double"))
 
-
-register("ml_param_search", _param_search)
+register("ml_param_search", _param_search(("logistic", "svc", "nusvc", "mlp", "knn")))
+register("ml_param_search_tree", _param_search(("decision",)))
 
 
 def _importance(spark, d):
