@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.operators import ordering, tabular
+from voxelframe.session import stage
 
 
 def variance_filter(long: DataFrame, threshold: float) -> DataFrame:
@@ -177,19 +179,22 @@ def lasso_cv(df: DataFrame, features, y: str, label: str, row_id: str, folds: in
 
     Rows are read once for fold-wise Gram sums; the chain of each fold, and that of all rows, is solved in its own task.
     """
-    features = list(features)
-    p = len(features)
-    parts = _fold_sums(df, features, [y], label, row_id, folds)
+    return lasso_from(df.sparkSession, _fold_sums(df, list(features), [y], label, row_id, folds), n_alphas)
+
+
+def lasso_from(spark, parts: dict[int, np.ndarray], n_alphas: int = 100) -> dict:
+    """lasso_cv() from the sums of each fold over [1, features.., target]."""
     total = sum(parts.values())
+    p = len(total) - 2
     n, _, _, xx, xy, _ = _centred(total, p)
     top = np.abs(xy[:, 0]).max() / n
     alphas = np.logspace(math.log10(top), math.log10(top * 1e-3), n_alphas)
     jobs, means = {"all": (xx / n, xy[:, 0] / n, alphas)}, {}
-    for f in range(folds):
+    for f in range(len(parts)):
         m, mu, yb, gx, gy, _ = _centred(total - parts[f], p)
         jobs[f"fold{f}"], means[f] = (gx / m, gy[:, 0] / m, alphas), (mu, yb[0])
-    found = _chains(df.sparkSession, jobs)
-    mse = np.zeros((n_alphas, folds))
+    found = _chains(spark, jobs)
+    mse = np.zeros((n_alphas, len(parts)))
     for f, (mu, yb) in means.items():
         for k, b in enumerate(found[f"fold{f}"]):
             full = np.concatenate([[yb - mu @ b], b, [-1.0]])  # residual = z . full
@@ -197,28 +202,40 @@ def lasso_cv(df: DataFrame, features, y: str, label: str, row_id: str, folds: in
     best = int(mse.mean(axis=1).argmin())
     raw_g, raw_c = total[1:p + 1, 1:p + 1] / n, total[1:p + 1, p + 1] / n
     path_alphas = np.linspace(alphas[best], 0.5, 100)[::-1]
-    path = _chains(df.sparkSession, {"path": (raw_g, raw_c, path_alphas)})["path"]
+    path = _chains(spark, {"path": (raw_g, raw_c, path_alphas)})["path"]
     return {"alpha": alphas[best], "coef": found["all"][best], "alphas": alphas, "mse": mse, "path_alphas": path_alphas, "path": path}
 
 
 def ridge_cv(df: DataFrame, features, y: str, label: str, row_id: str, alphas=(0.1, 1.0, 10.0), folds: int = 5):
     """(alpha, coef) of a ridge fit to targets of -1 / 1, alpha by the mean held-out R2."""
-    features = list(features)
-    p = len(features)
-    parts = _fold_sums(df, features, [y], label, row_id, folds)
-    total = sum(parts.values())
+    a, coef = ridge_from([_fold_sums(df, list(features), [y], label, row_id, folds)], alphas)
+    return a, coef[0]
+
+
+def ridge_from(targets, alphas=(0.1, 1.0, 10.0)) -> tuple[float, np.ndarray]:
+    """(alpha, coef [target, feature]): for each target the sums of each fold over [1, features.., target]; one alpha for all.
+
+    A fold in which a target does not vary says nothing about it.
+    """
     score = np.zeros(len(alphas))
-    for test in parts.values():
-        m, mu, yb, gx, gy, _ = _centred(total - test, p)
-        nt = test[0, 0]
-        ss = test[-1, -1] - test[0, -1] ** 2 / nt
-        for k, a in enumerate(alphas):
-            b = np.linalg.solve(gx + a * np.eye(p), gy[:, 0])
-            full = np.concatenate([[yb[0] - mu @ b], b, [-1.0]])
-            score[k] += 1.0 - (full @ test @ full) / ss
+    for parts in targets:
+        total = sum(parts.values())
+        p = len(total) - 2
+        for test in parts.values():
+            m, mu, yb, gx, gy, _ = _centred(total - test, p)
+            ss = test[-1, -1] - test[0, -1] ** 2 / max(test[0, 0], 1.0)
+            if ss <= 0:
+                continue
+            for k, a in enumerate(alphas):
+                b = np.linalg.solve(gx + a * np.eye(p), gy[:, 0])
+                full = np.concatenate([[yb[0] - mu @ b], b, [-1.0]])
+                score[k] += 1.0 - (full @ test @ full) / ss
     a = alphas[int(score.argmax())]
-    _, _, _, gx, gy, _ = _centred(total, p)
-    return a, np.linalg.solve(gx + a * np.eye(p), gy[:, 0])
+    coef = []
+    for parts in targets:
+        _, _, _, gx, gy, _ = _centred(sum(parts.values()), len(next(iter(parts.values()))) - 2)
+        coef.append(np.linalg.solve(gx + a * np.eye(len(gx)), gy[:, 0]))
+    return a, np.array(coef)
 
 
 def coefficient_table(spark, features, coef, keep) -> DataFrame:
@@ -255,3 +272,121 @@ def tree_importance(df: DataFrame, features, label: str, binary: bool = True, ro
            else RandomForestClassifier(labelCol=label, numTrees=100, seed=42))
     imp = est.fit(assemble(df, features)).featureImportances.toArray()
     return coefficient_table(df.sparkSession, features, imp, imp > 0)
+
+
+# ---- a whole chain on one set of sums --------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Sums:
+    """Products of [1, features..] summed per (fold, class): folds x classes x p^2 numbers, read from the rows once."""
+
+    features: list[str]
+    classes: list
+    folds: int
+    parts: dict[int, np.ndarray]   # fold * number of classes + class
+
+    def of(self, on, folds=None, cls=None) -> np.ndarray:
+        """The sums over some folds (all) and one class (all) of the features numbered `on`."""
+        rows = np.concatenate([[0], np.asarray(on, int) + 1])
+        k = len(self.classes)
+        keys = [f * k + c for f in (range(self.folds) if folds is None else folds) for c in (range(k) if cls is None else [cls])]
+        return sum((self.parts[i][np.ix_(rows, rows)] for i in keys if i in self.parts), np.zeros((len(rows), len(rows))))
+
+    def with_target(self, on, codes) -> dict[int, np.ndarray]:
+        """By fold, the sums over [1, features.., target] for a target that is one number per class."""
+        out, w = {}, len(on) + 2
+        for f in range(self.folds):
+            m = np.zeros((w, w))
+            for c, code in enumerate(codes):
+                g = self.of(on, [f], c)
+                m[:-1, :-1] += g
+                m[-1, :-1] += code * g[0]
+                m[-1, -1] += code * code * g[0, 0]
+            m[:-1, -1] = m[-1, :-1]
+            out[f] = m
+        return out
+
+
+def scaled_frame(df: DataFrame, features, label: str, row_id: str, folds: int, classes) -> DataFrame:
+    """Staged (row_id, label, fold, part, features..): means for missing values, each feature from 0 to 1, constant ones 0."""
+    features = list(features)
+    s = df.select(*[f(F.col(c).cast("double")).alias(f"{tag}_{i}") for i, c in enumerate(features)
+                    for tag, f in (("lo", F.min), ("hi", F.max), ("av", F.avg))]).first()
+    cols = []
+    for i, c in enumerate(features):
+        low, span = s[f"lo_{i}"] or 0.0, (s[f"hi_{i}"] or 0.0) - (s[f"lo_{i}"] or 0.0)
+        v = F.coalesce(F.col(c).cast("double"), F.lit(s[f"av_{i}"] or 0.0))
+        cols.append(((v - low) / span if span else F.lit(0.0)).alias(c))
+    place = F.create_map(*[v for k, c in enumerate(classes) for v in (F.lit(c), F.lit(k))])
+    rows = ordering.stratified_folds(df.where(F.col(label).isNotNull()), label, row_id, folds)
+    return stage(rows.select(row_id, F.col(label), "fold", (F.col("fold") * len(classes) + F.element_at(place, F.col(label))).alias("part"), *cols), "scaled")
+
+
+def _by_variance(s: Sums, on, threshold: float) -> list[int]:
+    m = s.of(on)
+    v = np.diag(m)[1:] / m[0, 0] - (m[0, 1:] / m[0, 0]) ** 2
+    cut = threshold if (v > threshold).any() else 0.0
+    return [f for f, x in zip(on, v) if x > cut]
+
+
+def _by_f(s: Sums, on, k: int) -> list[int]:
+    every = [s.of(on, cls=c) for c in range(len(s.classes))]
+    total = sum(every)
+    n, mean = total[0, 0], total[0, 1:] / total[0, 0]
+    between = sum(m[0, 0] * (m[0, 1:] / m[0, 0] - mean) ** 2 for m in every)
+    within = sum(np.diag(m)[1:] - m[0, 1:] ** 2 / m[0, 0] for m in every)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = np.nan_to_num((between / (len(every) - 1)) / (within / (n - len(every))), nan=-1.0)
+    best = sorted(range(len(on)), key=lambda i: (-f[i], s.features[on[i]]))[:k]
+    return sorted(on[i] for i in best)
+
+
+STEPS = ("variance", "k_best", "lasso", "ridge", "l1_logistic", "tree")
+
+
+def prepare(df: DataFrame, features, label: str = "label", row_id: str = "case_id", folds: int = 5) -> tuple[DataFrame, Sums]:
+    """The staged scaled rows and their sums: what any number of chains take."""
+    features, classes = list(features), tabular.classes(df, label)
+    rows = scaled_frame(df, features, label, row_id, folds, classes)
+    return rows, Sums(features, classes, folds, gram(rows, features, "part"))
+
+
+def chain_on_sums(prepared: tuple[DataFrame, Sums], steps, row_id: str = "case_id"):
+    """(feature x step 0/1 matrix, names of the survivors) of filters in any order, each on what the one before left.
+
+    `steps` are (name of STEPS, settings). Variance, F scores, lasso (on class numbers) and ridge (each class against the rest,
+    largest absolute coefficient above 0.10) take rows and columns of one set of sums and do not read the data again; the
+    logistic and the tree filter read the surviving columns of the staged table. Rows without a label are left out. A step
+    that keeps nothing leaves zeros for the rest.
+    """
+    unknown = [n for n, _ in steps if n not in STEPS]
+    if unknown:
+        raise ValueError(f"no filter {', '.join(unknown)}; known are {', '.join(STEPS)}")
+    rows, s = prepared
+    spark, classes, features = rows.sparkSession, s.classes, s.features
+    on, marks = list(range(len(features))), {}
+    for name, settings in steps:
+        names = [features[i] for i in on]
+        if not on:
+            kept = []
+        elif name == "variance":
+            kept = _by_variance(s, on, settings.get("threshold", 0.0))
+        elif name == "k_best":
+            kept = _by_f(s, on, settings.get("k", 300))
+        elif name == "lasso":
+            coef = lasso_from(spark, s.with_target(on, [float(c) for c in range(len(classes))]), **settings)["coef"]
+            kept = [f for f, c in zip(on, coef) if c != 0]
+        elif name == "ridge":
+            sides = range(1, 2) if len(classes) == 2 else range(len(classes))
+            coef = ridge_from([s.with_target(on, [1.0 if c == t else -1.0 for c in range(len(classes))]) for t in sides], **settings)[1]
+            kept = [f for f, c in zip(on, np.abs(coef).max(axis=0)) if c > 0.10]
+        else:
+            place = F.col("part") % len(classes)
+            some = rows.select(row_id, place.cast("double").alias("y"), *names)
+            t = (l1_logistic(some, names, "y", row_id, **settings) if name == "l1_logistic"
+                 else tree_importance(some, names, "y", len(classes) == 2, **settings))
+            found = {r["feature"] for r in t.where("keep").collect()}  # at most one row a feature
+            kept = [i for i in on if features[i] in found]
+        marks[name], on = set(kept), kept
+    table = [(f, *[int(i in marks[n]) for n, _ in steps]) for i, f in enumerate(features)]
+    return (spark.createDataFrame(table, "feature string, " + ", ".join(f"`{n}` int" for n, _ in steps)), [features[i] for i in on])

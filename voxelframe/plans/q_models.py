@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxelframe.operators import analyze as an
 from voxelframe.operators import evaluate as ev
 from voxelframe.operators import boosting, learn, nearest, ordering, search, select, tabular
-from voxelframe.plans.catalog import r6, register
+from voxelframe.plans.catalog import ORACLES, r6, register
 from voxelframe.plans.q_tables import _ML, _missing_long, fold_scores
 from voxelframe.plans.q_texture import rounded
 from voxelframe.session import scratch_path
@@ -98,6 +98,13 @@ def frame(spark, d, names=NAMES, binary=True):
     return f.withColumn("label", (F.col("label") < 5).cast("long")) if binary else f
 
 
+SIX = [("variance", {"threshold": THRESHOLD}), ("k_best", {"k": 40}), ("ridge", {}), ("lasso", {}), ("l1_logistic", {}), ("tree", {})]
+register("sel_chain_sums", lambda spark, d: select.chain_on_sums(
+    select.prepare(frame(spark, d, binary=False), NAMES), [("variance", {"threshold": THRESHOLD}), ("k_best", {"k": 10})])[0],
+         ORACLES["sel_chain_matrix"])
+register("sel_chain_six", lambda spark, d: select.chain_on_sums(select.prepare(frame(spark, d, binary=False), NAMES), SIX)[0])
+
+
 def _lasso(spark, d):
     df = frame(spark, d).withColumn("y", F.col("label") * 1.0)
     return df, select.lasso_cv(df, NAMES, "y", "label", "case_id")
