@@ -12,7 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.operators import grid
+from voxelframe.operators import grid, recursive
 
 AXES = ("z", "y", "x")
 
@@ -181,11 +181,15 @@ def gaussian_taps(sigma: float, spacing: float, order: int = 0):
     return [(k, (h[k] - mean,)) for k in h]
 
 
-def log_sigma(vox: DataFrame, sigma: float, spacing=(1.0, 1.0, 1.0), keys=("case_id",)) -> DataFrame:
+def log_sigma(vox: DataFrame, sigma: float, spacing=(1.0, 1.0, 1.0), keys=("case_id",), how: str = "taps") -> DataFrame:
     """Scale-normalised Laplacian of Gaussian: one smoothing pass per axis yields both orders.
 
+    ``how`` is "taps" (cut at four sigma; an axis costs as many rows as taps) or "recursive" (running sums, one row a cell
+    whatever the sigma; within about 1e-4 of the kernel's peak; cells that the table does not hold stay out).
     Cases whose axes are shorter than 4 cells or than ceil(sigma / spacing) + 1 are left out.
     """
+    if how not in ("taps", "recursive"):
+        raise ValueError(f"how {how}")
     keys = list(keys)
     ok = F.lit(True)
     for a, s in zip(AXES, spacing):
@@ -193,8 +197,12 @@ def log_sigma(vox: DataFrame, sigma: float, spacing=(1.0, 1.0, 1.0), keys=("case
     df = _boxed(vox, keys).where(ok)
     df = df.withColumn("k", F.lit(""))  # which axes were differentiated so far
     for a, s in zip(AXES, spacing):
-        g, h = gaussian_taps(sigma, s), dict(gaussian_taps(sigma, s, 2))
-        both = convolve(df, a, [(o, (w[0], h[o][0] / (s * s))) for o, w in g], keys=keys)
+        if how == "taps":
+            g, h = gaussian_taps(sigma, s), dict(gaussian_taps(sigma, s, 2))
+            both = convolve(df, a, [(o, (w[0], h[o][0] / (s * s))) for o, w in g], keys=keys)
+        else:
+            both = recursive.along(df, a, *recursive.gaussian(sigma / s), line=[*keys, "k", *[o for o in AXES if o != a]])
+            both = both.withColumn("v1", F.col("v1") / (s * s))
         pair = F.array(F.struct(F.lit("g").alias("t"), F.col("v0").alias("v")),
                        F.struct(F.lit("d").alias("t"), F.col("v1").alias("v")))
         both = both.withColumn("p", F.explode(pair)).withColumn("v", F.col("p.v"))
@@ -288,6 +296,17 @@ def lbp2d(vox: DataFrame, keys=("case_id",)) -> DataFrame:
 
 # ---- regridding -------------------------------------------------------------------------------------------
 
+def _target_axis(df: DataFrame, a: str, s: float) -> DataFrame:
+    """A row per new coordinate t<axis> of one axis, with its place p<axis> in old cells."""
+    step = F.when((F.lit(float(s)) == 0) | (F.col(f"n{a}") == 1), F.col(f"d{a}")).otherwise(F.lit(float(s)))
+    df = df.withColumn(f"step{a}", step)
+    size = F.ceil(F.round(F.col(f"n{a}") * F.col(f"d{a}") / F.col(f"step{a}"), 6)).cast("int")
+    df = df.withColumn(f"t{a}", F.explode(F.sequence(F.lit(0), size - 1)))
+    # cell centres of both grids share the outer boundary
+    pos = (F.col(f"t{a}") + 0.5) * F.col(f"step{a}") / F.col(f"d{a}") - 0.5
+    return df.withColumn(f"p{a}", F.least(F.greatest(pos, F.lit(0.0)), (F.col(f"n{a}") - 1).cast("double")))
+
+
 def target_grid(geo: DataFrame, new_spacing, keys=("case_id",)) -> DataFrame:
     """Cells of the resampled grid. ``geo`` has n<axis> (size) and d<axis> (spacing) per case.
 
@@ -295,19 +314,28 @@ def target_grid(geo: DataFrame, new_spacing, keys=("case_id",)) -> DataFrame:
     """
     df = geo
     for a, s in zip(AXES, new_spacing):
-        step = F.when((F.lit(float(s)) == 0) | (F.col(f"n{a}") == 1), F.col(f"d{a}")).otherwise(F.lit(float(s)))
-        df = df.withColumn(f"step{a}", step)
-        size = F.ceil(F.round(F.col(f"n{a}") * F.col(f"d{a}") / F.col(f"step{a}"), 6)).cast("int")
-        df = df.withColumn(f"t{a}", F.explode(F.sequence(F.lit(0), size - 1)))
-        # cell centres of both grids share the outer boundary
-        pos = (F.col(f"t{a}") + 0.5) * F.col(f"step{a}") / F.col(f"d{a}") - 0.5
-        df = df.withColumn(f"p{a}", F.least(F.greatest(pos, F.lit(0.0)), (F.col(f"n{a}") - 1).cast("double")))
+        df = _target_axis(df, a, s)
     return df.select(*keys, *[f"t{a}" for a in AXES], *[f"p{a}" for a in AXES])
 
 
 def resample(vox: DataFrame, geo: DataFrame, new_spacing, how: str = "linear", keys=("case_id",)) -> DataFrame:
-    """Interpolate v on the new grid: trilinear over 8 cells, or the nearest cell."""
+    """Interpolate v on the new grid: trilinear over 8 cells ("linear"), the nearest cell, or a cubic spline through the cells.
+
+    The spline goes one axis after the other: coefficients by a recursive filter, then four taps a target, mirrored at both ends.
+    """
     keys = list(keys)
+    if how not in ("linear", "nearest", "spline"):
+        raise ValueError(f"how {how}")
+    if how == "spline":
+        cur = vox.join(geo.select(*keys, *[f"n{a}" for a in AXES]), keys)
+        box = {f"{a}_{e}": F.lit(0) if e == "lo" else F.col(f"n{a}") - 1 for a in AXES for e in ("lo", "hi")}
+        for a, s in zip(AXES, new_spacing):
+            rest = [o for o in AXES if o != a]
+            left = [c for o in AXES[AXES.index(a) + 1:] for c in (f"{o}_lo", f"{o}_hi")]  # boxes of the axes still to come
+            cur = (cur.withColumns(box) if a == AXES[0] else cur).select(*keys, *AXES, "v", f"{a}_lo", f"{a}_hi", *left)
+            to = _target_axis(geo, a, s).select(*keys, F.col(f"n{a}").alias("n"), F.col(f"t{a}").alias("t"), F.col(f"p{a}").alias("p"))
+            cur = recursive.spline_axis(cur, a, to, keys, [*rest, *left])
+        return cur.select(*keys, *AXES, "v")
     t = target_grid(geo, new_spacing, keys)
     if how == "nearest":
         src = t.select(*keys, *[f"t{a}" for a in AXES],

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxelframe.operators import filters as fl
-from voxelframe.operators import grid
+from voxelframe.operators import grid, recursive
 from voxelframe.plans import sql
 from voxelframe.plans.catalog import r6, register
 from voxelframe.plans.q_texture import rounded
@@ -169,6 +170,35 @@ register("vx_resample_linear",
 {r6('sum(v * greatest(0, 1 - abs(z - pz)) * greatest(0, 1 - abs(y - py)) * greatest(0, 1 - abs(x - px)))')} AS v
 FROM tg JOIN vox ON vox.case_id = tg.case_id AND abs(z - pz) < 1 AND abs(y - py) < 1 AND abs(x - px) < 1 GROUP BY ALL""")
 
+
+
+def _spline_matrix(n: int, places) -> list[list[float]]:
+    """Weights of the n cells at each place: a dense solve for the coefficients, mirrored at both ends."""
+    fold = lambda j: 0 if n == 1 else min(j % (2 * n - 2), 2 * n - 2 - j % (2 * n - 2))
+    weight = lambda x: 2 / 3 - x * x + abs(x) ** 3 / 2 if abs(x) < 1 else max(0.0, 2 - abs(x)) ** 3 / 6
+
+    def rows(at):
+        m = np.zeros((len(at), n))
+        for r, p in enumerate(at):
+            for j in range(math.floor(p) - 1, math.floor(p) + 3):
+                m[r, fold(j)] += weight(p - j)
+        return m
+
+    return (rows(places) @ np.linalg.inv(rows(range(n)))).tolist()
+
+
+def _spline_oracle():
+    parts = []
+    for a, m, d, s in (("z", 8, 2.0, 1.0), ("y", 5, 1.0, 0.8), ("x", 4, 1.0, 1.0)):
+        w = _spline_matrix(4, [min(max((t + 0.5) * s / d - 0.5, 0.0), 3.0) for t in range(m)])
+        parts.append(f"s{a}(t{a}, {a}, w{a}) AS (VALUES {', '.join(f'({t}, {k}, {w[t][k]!r}::DOUBLE)' for t in range(m) for k in range(4))})")
+    return (f"WITH {HOT}, {', '.join(parts)} SELECT case_id, tz AS z, ty AS y, tx AS x, {r6('sum(v * wz * wy * wx)')} AS v "
+            "FROM vox JOIN sz USING (z) JOIN sy USING (y) JOIN sx USING (x) GROUP BY ALL")
+
+
+register("vx_resample_spline",
+         lambda spark, d: rounded(fl.resample(hot(spark, d), geometry(hot(spark, d)), NEW, "spline")), _spline_oracle())
+
 # ---- discretisation ---------------------------------------------------------------------------------------
 
 register("vx_bin_count",
@@ -264,9 +294,16 @@ def _wavelet_oracle():
 register("vx_wavelet", lambda spark, d: rounded(fl.wavelet(T.voxels3d(spark, d)).drop("m")), _wavelet_oracle())
 
 
-def _log_oracle(sigma=1.0):
-    g, h = fl.gaussian_taps(sigma, 1.0), dict(fl.gaussian_taps(sigma, 1.0, 2))
-    taps = [(o, (w[0], h[o][0])) for o, w in g]
+def _recursive_taps(sigma):
+    poles, (g, h) = recursive.gaussian(sigma)
+    k = np.arange(-recursive.reach(poles)[0], recursive.reach(poles)[0] + 1)
+    return list(zip(k.tolist(), zip(recursive.response(poles, g, k).tolist(), recursive.response(poles, h, k).tolist())))
+
+
+def _log_oracle(sigma=1.0, taps=None):
+    if taps is None:
+        g, h = fl.gaussian_taps(sigma, 1.0), dict(fl.gaussian_taps(sigma, 1.0, 2))
+        taps = [(o, (w[0], h[o][0])) for o, w in g]
     parts, src = [f"s0 AS (SELECT {C}, v, '' AS b FROM vox)"], "s0"
     for k, a in enumerate("zyx"):
         parts.append(_pass(src, a, taps, f"p{k}", lambda e: f"least(greatest({e}, 0), 3)"))
@@ -277,6 +314,10 @@ def _log_oracle(sigma=1.0):
 
 
 register("vx_log_sigma", lambda spark, d: rounded(fl.log_sigma(T.voxels3d(spark, d), 1.0).drop("m")), _log_oracle())
+for _sigma in (1, 3):
+    register(f"vx_log_recursive_{_sigma}",
+             lambda spark, d, s=float(_sigma): rounded(fl.log_sigma(T.voxels3d(spark, d), s, how="recursive").drop("m")),
+             _log_oracle(float(_sigma), _recursive_taps(float(_sigma))))
 
 
 def _lbp_oracle():
