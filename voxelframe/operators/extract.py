@@ -143,6 +143,7 @@ class Settings:
     clip: float | None = None                           # in standard deviations
     spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)
     new_spacing: tuple[float, float, float] | None = None
+    interpolator: str = "linear"                        # of the image: linear or spline
     min_cells: int = MIN_CELLS
     resegment: tuple[float, float | None, str] | None = None   # low, high, mode
     resegment_shape: bool = False                       # shape of the resegmented region
@@ -184,19 +185,54 @@ def provenance(image: DataFrame, region: DataFrame) -> DataFrame:
         "case_id", F.lit("diagnostics").alias("image_type"), "feature", "value")
 
 
+def provenance_of_steps(steps) -> DataFrame:
+    """(case_id, image_type, feature, value): image and mask after each step, ``steps`` being (name, image or None, region, spacing).
+
+    Of an image: number of axes (always three), spacing, size, mean, range and two halves (below 2**32) of a fingerprint that does not depend on the order of
+    rows. Of a mask: spacing, box (first cell and size), cells, 26-connected parts, centre in cells and in space (origin 0), mean
+    and range. The parts of all cases and steps come from one contraction. A case without image or region has no such rows.
+    """
+    key = ["case_id", "step"]
+    both = {k: reduce(DataFrame.unionByName, [t[i].select("case_id", F.lit(t[0]).alias("step"), *filters.AXES, "v") for t in steps if t[i] is not None])
+            for k, i in (("Image", 1), ("Mask", 2))}
+    both["Mask"] = stage(both["Mask"], "provenance-mask")
+    space = {a: F.coalesce(*[F.when(F.col("step") == t[0], F.lit(float(t[3][k]))) for t in steps]) for k, a in enumerate(filters.AXES)}
+    size = {a: F.max(a) - F.min(a) + 1 for a in filters.AXES}
+    summary = {"Mean": F.avg("v"), "Minimum": F.min("v"), "Maximum": F.max("v")}
+    print_ = F.bit_xor(F.xxhash64(*filters.AXES, "v"))
+    facts = {"Image": {"Dimensionality": F.max(F.lit(3)), **{f"Size_{a}": size[a] for a in filters.AXES},
+                       "Hash_High": F.shiftrightunsigned(print_, 32), "Hash_Low": print_.bitwiseAND(F.lit(0xFFFFFFFF)), **summary},
+             "Mask": {"VoxelNum": F.count(F.lit(1)), **{f"BoundingBox_{a}": F.min(a) for a in filters.AXES}, **{f"BoundingBox_n{a}": size[a] for a in filters.AXES},
+                      **{f"CenterOfMassIndex_{a}": F.avg(a) for a in filters.AXES}, **summary}}
+    out = []
+    for kind, table in both.items():
+        t = table.groupBy(*key).agg(*[c.cast("double").alias(n) for n, c in facts[kind].items()]).withColumns({f"Spacing_{a}": c for a, c in space.items()})
+        if kind == "Mask":
+            t = t.withColumns({f"CenterOfMass_{a}": F.col(f"CenterOfMassIndex_{a}") * F.col(f"Spacing_{a}") for a in filters.AXES})
+            parts = components.components(table.select(*key, *filters.AXES), key).where(F.col("comp") == grid.cell_key())
+            t = t.join(parts.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("VolumeNum")), key)
+        long = t.unpivot(key, [c for c in t.columns if c not in key], "feature", "value")
+        out.append(long.select("case_id", F.lit("diagnostics").alias("image_type"), F.concat(F.lit(f"{kind}-"), "step", F.lit("_"), "feature").alias("feature"), "value"))
+    return out[0].unionByName(out[1])
+
+
 def compose(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(case_id, image_type, feature, value): the whole chain from voxels to features.
 
-    Normalise the image, resample image (linear) and mask (nearest) to the new spacing, drop unusable regions, take shape,
-    resegment, derive the image types from the whole image and take the other classes and the registered features of each.
+    Normalise the image, resample image (``s.interpolator``) and mask (nearest) to the new spacing, drop unusable regions, take
+    shape, resegment, derive the image types from the whole image and take the other classes and the registered features of each.
+    Provenance covers image and mask as read, resampled and resegmented, of the cases that are left.
     """
+    read = vox
     if s.normalise is not None:
         vox = filters.normalise(vox, s.normalise, s.clip)
     if s.new_spacing is not None:
+        if s.interpolator == "nearest":
+            raise ValueError("the image is resampled linearly or by a spline")
         geo = grid.bounding_box(vox).select("case_id", *[(F.col(f"{a}1") - F.col(f"{a}0") + 1).alias(f"n{a}") for a in filters.AXES],
                                             *[F.lit(float(x)).alias(f"d{a}") for a, x in zip(filters.AXES, s.spacing)])
         mask = filters.resample(vox, geo, s.new_spacing, "nearest").drop("v")
-        vox = filters.resample(vox, geo, s.new_spacing).join(mask, ["case_id", *filters.AXES])
+        vox = filters.resample(vox, geo, s.new_spacing, s.interpolator).join(mask, ["case_id", *filters.AXES])
     vox = stage(vox, "image")
     region = stage(usable(vox, s.label, s.min_cells), "region")
     kept = region if s.resegment is None else stage(filters.resegment(region, *s.resegment, label=s.label), "resegmented")
@@ -218,7 +254,15 @@ def compose(vox: DataFrame, s: Settings = Settings()) -> DataFrame:
         long = wide_.select("case_id", *[F.col(f.name).cast("double").alias(f.name) for f in own]).unpivot(
             "case_id", [f.name for f in own], "feature", "value")
         out.append(long.select("case_id.case_id", "case_id.image_type", F.concat(F.lit("plugin_"), "feature").alias("feature"), "value"))
-    out.append(provenance(vox.join(place.select("case_id").distinct(), "case_id", "left_semi"), kept))
+    cases = kept.select("case_id").distinct()
+    own_image, read = (t.join(cases, "case_id", "left_semi") for t in (vox, read))
+    steps = [("original", read, grid.roi(read, s.label), s.spacing)]
+    if s.new_spacing is not None:
+        new = [b or a for a, b in zip(s.spacing, s.new_spacing)]  # 0 keeps an axis
+        steps.append(("interpolated", own_image, region.join(cases, "case_id", "left_semi"), new))
+    if s.resegment is not None:
+        steps.append(("resegmented", None, kept, steps[-1][3]))
+    out += [provenance(own_image, kept), provenance_of_steps(steps)]
     return reduce(DataFrame.unionByName, out)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxelframe.operators import filters as fl
-from voxelframe.operators import grid, recursive
+from voxelframe.operators import extract, grid, recursive
 from voxelframe.plans import sql
 from voxelframe.plans.catalog import r6, register
 from voxelframe.plans.q_texture import rounded
@@ -124,6 +124,30 @@ FROM roi JOIN vn USING (case_id) GROUP BY case_id"""
 
 register("agg_mask_provenance", _mask_provenance, _mask_oracle())
 
+
+def _step_provenance(spark, d):
+    """Long rows of image and mask as the composed extraction gives them; the fingerprint has no twin in SQL."""
+    v = hot(spark, d)
+    rows = extract.provenance_of_steps([("original", v, grid.roi(v), (2.0, 1.0, 1.0))])
+    return rounded(rows.where("feature NOT LIKE '%Hash%'"))
+
+
+def _step_oracle():
+    from voxelframe.plans.q_matrices import closure_cte
+    values = "avg(v) AS Mean, min(v) AS Minimum, max(v) AS Maximum, 2.0 AS Spacing_z, 1.0 AS Spacing_y, 1.0 AS Spacing_x"
+    size = {k: ", ".join(f"max({a}) - min({a}) + 1 AS {k}{a}" for a in "zyx") for k in ("Size_", "BoundingBox_n")}
+    box = ", ".join(f"min({a}) AS BoundingBox_{a}, avg({a}) AS CenterOfMassIndex_{a}, avg({a}) * {2 if a == 'z' else 1} AS CenterOfMass_{a}" for a in "zyx")
+    return f"""WITH RECURSIVE {closure_cte((1,), HOT, False)}, vn AS (SELECT case_id, count(DISTINCT comp) AS volume_num FROM cm GROUP BY case_id),
+im AS (SELECT case_id, COLUMNS(* EXCLUDE case_id)::DOUBLE FROM (SELECT case_id, 3 AS Dimensionality, {size["Size_"]}, {values} FROM vox GROUP BY case_id)),
+mk AS (SELECT case_id, COLUMNS(* EXCLUDE case_id)::DOUBLE FROM (SELECT case_id, count(*) AS VoxelNum, any_value(volume_num) AS VolumeNum, {size["BoundingBox_n"]}, {box}, {values}
+       FROM roi JOIN vn USING (case_id) GROUP BY case_id)),
+ui AS (UNPIVOT im ON COLUMNS(* EXCLUDE case_id) INTO NAME nm VALUE val), um AS (UNPIVOT mk ON COLUMNS(* EXCLUDE case_id) INTO NAME nm VALUE val)
+SELECT case_id, 'diagnostics' AS image_type, 'Image-original_' || nm AS feature, {r6('val')} AS value FROM ui
+UNION ALL SELECT case_id, 'diagnostics', 'Mask-original_' || nm, {r6('val')} FROM um"""
+
+
+register("agg_step_provenance", _step_provenance, _step_oracle())
+
 # ---- geometry --------------------------------------------------------------------------------------------
 
 FLAT = VOX.replace("(p - 1) // 16", "(p - 1) // 16").replace("((p - 1) // 4) % 4", "((p - 1) // 8) % 2").replace("(p - 1) % 4", "(p - 1) % 8")
