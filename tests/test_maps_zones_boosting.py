@@ -135,6 +135,55 @@ def test_voxel_map_of_named_features(spark, volume):
             assert have[k] == pytest.approx(v, rel=1e-9, abs=1e-9)
 
 
+def test_maps_of_two_cells(spark):
+    """Two different values have none between their deciles: no value, not an error, and the case keeps the others. Reciprocals may cancel."""
+    place = ["case_id", "z", "y", "x"]
+    vox = spark.createDataFrame([(1, 0, 0, 0, -2.0, 1), (1, 0, 0, 1, 2.0, 1), (1, 0, 0, 2, 9.0, 0)], CELL)
+    cells = grid.roi(vox)
+    maps = windows.moments(cells, 1).join(windows.order_statistics(windows.gathered(cells, 1)), place).collect()
+    case = weighted.block(weighted.collapse(cells, ["case_id"]), ["case_id"]).collect()
+    assert len(maps) == 2 and len(case) == 1
+    for r in (*maps, *case):
+        assert r["RobustMeanAbsoluteDeviation"] is None and r["HarmonicMean"] == math.inf
+        for name, want in {"Mean": 0, "Median": 0, "Deciles_p_10": -1.6, "TrimmedMean_p_0.25": 0, "MeanAbsoluteDeviationMean": 2, "Uniformity": 0.5}.items():
+            assert r[name] == pytest.approx(want, abs=1e-12), name
+    names = {"firstorder": ("RobustMeanAbsoluteDeviation", "MedianAbsoluteDeviationFromMean")}
+    got = {(r.x, r.feature[11:]): r.value for r in extract.voxel_map(vox, 4, 1, -1.0, names).collect()}
+    assert got == {(x, n): 2.0 if x < 2 and n.startswith("Median") else -1.0 for x in range(3) for n in names["firstorder"]}
+
+
+def test_voxel_map_of_every_feature(spark):
+    """A region of two cells, one of a lone cell and one of none: all features of all cells, by hand where there is a value."""
+    vox = spark.createDataFrame([(1, 0, 0, 0, 1.0, 1), (1, 0, 0, 1, 3.0, 1), (2, 0, 0, 0, 5.0, 1), (3, 0, 0, 0, 7.0, 0)], CELL)
+    rows = extract.voxel_map(vox, 8, 1, -1.0).collect()
+    got = {(r.case_id, r.x, r.feature): r.value for r in rows}
+    assert len(rows) == len(got) == 4 * 257 and None not in got.values()
+    one = {"firstorder_Mean": 2, "firstorder_HarmonicMean": 1.5, "firstorder_RobustMeanAbsoluteDeviation": -1, "glcm_Contrast_d_1_f_origin": 49,
+           "glcm_Average_d_1_f_origin": 4.5, "glcm_Dissimilarity_d_1_f_origin": 7, "glcm_Correlation_d_1_f_origin": -1, "glcm_SumAverage_d_1_inv_0": 9}
+    for n, want in one.items():
+        assert got[1, 0, n] == pytest.approx(want) and got[1, 1, n] == pytest.approx(want), n
+    assert got[2, 0, "firstorder_Mean"] == 5 and got[2, 0, "firstorder_RobustMeanAbsoluteDeviation"] == 0
+    assert all(v == -1 for (case, _, n), v in got.items() if case == 3 or case == 2 and n.startswith("glcm_"))
+    alone = extract.voxel_map(vox.where("case_id > 1"), 8, 1, -1.0, {"glcm": ("Variance", "SumVariance", "Imc1", "Contrast")}).collect()
+    assert len(alone) == 2 * 9 and {r.value for r in alone} == {-1.0}
+
+
+def test_named_variants_are_those_made(grid_levels):
+    lev = grid_levels([[1, 2, 3], [2, 2, 4]])
+    p = texture.normalise(texture.glcm_of_levels(lev))
+    made = co.features(p, windows.level_facts(lev, 1).groupBy("bin_count").agg(
+        F.lit(0).cast("long").alias("case_id"), *[F.first(c).alias(c) for c in ("levels", "ng_present", "ng", "lv_avg", "lv_sd")]))
+    assert {(r.feature, r.variant) for r in made.collect()} == set(co.variants())
+
+
+def test_inverse_weights_below_the_smallest_double(spark):
+    """Levels 31 and 32 only: the ranks 1 and 2 lie 60 spreads off the mean level."""
+    vox = spark.createDataFrame([(1, 0, 0, x, v, 1) for x, v in ((0, 0.0), (5, 30.5), (6, 32.0))], CELL)
+    got = {(r.x, r.feature): r.value for r in extract.voxel_map(vox, 32, 1, -1.0, {"glcm": ("Gaussian",)}).collect()}
+    for x in (5, 6):
+        assert got[x, "glcm_Gaussian_d_1_f_origin_nd_0_inv_1"] == math.inf and got[x, "glcm_Gaussian_d_1_f_origin_nd_0_inv_0"] == 0
+
+
 # ---- boosting -----------------------------------------------------------------------------------
 
 def data(spark, n=150, classes=3, seed=2):

@@ -25,5 +25,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b of a positive a, infinite where b is 0 (as doubles divide)."""
+    return F.when(b == 0, F.lit(float("inf"))).otherwise(a / b)
+
+
 def clamp(col: Column, lo, hi) -> Column:
     return F.least(F.greatest(col, F.lit(lo)), F.lit(hi))

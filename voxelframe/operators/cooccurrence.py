@@ -57,9 +57,10 @@ def angle_mean(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 # The variants are written as text: a few hundred columns built call by call take longer than most of their jobs.
 
 def _gauss(mu: str, inverse: bool) -> str:
-    """exp(-(x-mu)^2 / 2 sd^2) at both ranks; the centre uses levels, the position uses ranks."""
+    """exp(-(x-mu)^2 / 2 sd^2) at both ranks; the centre uses levels, the position uses ranks. Its inverse is infinite
+    where few high levels are present and the weight is below the smallest double."""
     g = f"exp(-((ri - {mu}) * (ri - {mu}) + (rj - {mu}) * (rj - {mu})) / (2.0D * lv_sd * lv_sd))"
-    return f"(1.0D / {g})" if inverse else g
+    return f"if({g} = 0, double('Infinity'), 1.0D / {g})" if inverse else g
 
 
 def _off_diagonal(weight: str, nd: bool) -> str:
@@ -292,9 +293,18 @@ WHOLE = {"Variance": variance, "Correlation": correlation,
          "DifferenceVariance": lambda pv: _mass_variance(difference_mass(pv)),
          "SumVariance": lambda pv: _mass_variance(sum_mass(pv)), "Imc1": imc1, "Imc2": imc2}
 FORMULAS = (*CELL, *CLUSTER, *DIFFERENCE, *SUM, *WHOLE)
+_SUFFIXED, _TWO_WAYS = tuple(variant(suffix=s) for s in SUFFIXES), tuple(variant(inverse=w) for w in (False, True))
+WHOLE_VARIANTS = {"Variance": _SUFFIXED, "Correlation": _SUFFIXED, "DifferenceVariance": _TWO_WAYS, "SumVariance": _TWO_WAYS,
+                  "Imc1": ("value",), "Imc2": ("value",)}
 BATCH = 60  # expressions per aggregate, clear of the code generator's method limit
 
 
+def variants(names=FORMULAS) -> list[tuple[str, str]]:
+    """(feature, variant) of every column of the named features, whatever the data hold."""
+    built = {**CELL, **CLUSTER, **DIFFERENCE, **SUM}
+    return [(n, v) for n in names for v in (WHOLE_VARIANTS[n] if n in WHOLE else built[n]())]
+
+
 def _groups(pv: DataFrame, levels: DataFrame | None, names):
     """(builders, table) for each shared table that the names need."""
     pick = lambda reg: {n: f for n, f in reg.items() if n in names}

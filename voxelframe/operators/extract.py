@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.functions import names as names_module
@@ -276,6 +276,14 @@ def kernels(cells: DataFrame, radius: int = 1, carry=("v",)) -> DataFrame:
                     *[F.col(f"{c}2").alias(c) for c in carry])
 
 
+def _map_names(spark: SparkSession, names, distances) -> list[str]:
+    """The features of a map, a few hundred: also those that no cell of the data has a value of."""
+    pairs = [(n, d, v) for n, v in co.variants(names.get("glcm", ())) for d in distances]
+    named = spark.createDataFrame(pairs, "feature string, dist int, variant string").select(
+        names_module.parameterised("glcm", F.col("feature"), None, F.col("dist"), F.col("variant")).alias("feature"))
+    return sorted([f"firstorder_{n}" for n in names.get("firstorder", ())] + [r["feature"] for r in named.collect()])
+
+
 def voxel_map(vox: DataFrame, bins: int = 8, radius: int = 1, init: float = 0.0, names=None, distances=(1,)) -> DataFrame:
     """(case_id, z, y, x, feature, value) for every grid cell: features of the cube around each region cell, levels taken from
     the whole region; other cells, and features without a value, hold the initial value.
@@ -300,7 +308,5 @@ def voxel_map(vox: DataFrame, bins: int = 8, radius: int = 1, init: float = 0.0,
         long = co.features(p, stage(windows.level_facts(cells, radius), "map-levels"), names["glcm"])
         name = names_module.parameterised("glcm", F.col("feature"), None, F.col("dist"), F.col("variant"))
         parts.append(long.select("case_id.case_id", "case_id.z", "case_id.y", "case_id.x", name.alias("feature"), "value"))
-    both = reduce(DataFrame.unionByName, parts)
-    found = sorted(r["feature"] for r in both.select("feature").distinct().collect())  # a few hundred names
-    every = vox.select(*place, F.explode(F.array(*[F.lit(f) for f in found])).alias("feature"))
-    return every.join(both, [*place, "feature"], "left").withColumn("value", F.coalesce("value", F.lit(float(init))))
+    every = vox.select(*place, F.explode(F.array(*[F.lit(f) for f in _map_names(vox.sparkSession, names, distances)])).alias("feature"))
+    return every.join(reduce(DataFrame.unionByName, parts), [*place, "feature"], "left").withColumn("value", F.coalesce("value", F.lit(float(init))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.functions.numeric import EPS
+from voxelframe.functions.numeric import EPS, over
 from voxelframe.operators import ordering
 from voxelframe.session import stage
 
@@ -71,7 +71,7 @@ def simple(name: str) -> Column | None:
         "Mean": lambda: _sum(v) / _n(),
         "GeoMean1": lambda: F.exp(_sum(log_abs) / _n()),
         "GeoMean2": lambda: F.exp(_sum(F.abs(log_abs)) / _n()),
-        "HarmonicMean": lambda: _n() / _sum(1.0 / guarded),
+        "HarmonicMean": lambda: over(_n(), _sum(1.0 / guarded)),
         "Minimum": lambda: F.min(v),
         "Maximum": lambda: F.max(v),
         "Range": lambda: F.abs(F.max(v) - F.min(v)),
@@ -236,7 +236,7 @@ def block(vw: DataFrame, keys, trims=(0.025, 0.05, 0.1, 0.25), deciles=tuple(ran
     two = stage(two.select("*", *[MOMENTS[n]().alias(n) for n in names]).drop("m2", "m3", "m4"), "moments")
     rob = e.where(inside).join(two.select(*keys, "_mid"), keys).groupBy(*keys).agg(
         (_sum(F.abs(v - F.col("_mid"))) / _n()).alias("RobustMeanAbsoluteDeviation"))
-    out = base.join(two, keys).join(rob, keys)
+    out = base.join(two, keys).join(rob, keys, "left")  # two different values have none between the deciles
     for kind, name in (("Mean", "MedianAbsoluteDeviationFromMean"), ("Median", "MedianAbsoluteDeviationFromMedian")):
         d = stage(e.select(*keys, F.abs(v - F.col(kind)).alias("v"), "w").repartition(*keys, "v").groupBy(*keys, "v").agg(
             F.sum("w").alias("w")), "deviations")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.functions.numeric import EPS
+from voxelframe.functions.numeric import EPS, over
 from voxelframe.operators import cooccurrence as co
 from voxelframe.operators import grid, texture, weighted
 
@@ -66,7 +66,7 @@ def moments(cells: DataFrame, radius: int, names=MOMENT_NAMES) -> DataFrame:
     m2 = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.greatest(r2 - m1 * m1, F.lit(0.0)))
     m3 = r3 - 3 * m1 * r2 + 2 * m1 * m1 * m1
     m4 = r4 - 4 * m1 * r3 + 6 * m1 * m1 * r2 - 3 * m1 * m1 * m1 * m1
-    made = {"Mean": F.col("mid") + m1, "GeoMean1": F.exp(F.col("lg") / n), "GeoMean2": F.exp(F.col("la") / n), "HarmonicMean": n / F.col("rc"),
+    made = {"Mean": F.col("mid") + m1, "GeoMean1": F.exp(F.col("lg") / n), "GeoMean2": F.exp(F.col("la") / n), "HarmonicMean": over(n, F.col("rc")),
             "Minimum": F.col("lo"), "Maximum": F.col("hi"), "Range": F.abs(F.col("hi") - F.col("lo")), "Energy": F.col("sq"), "L2Norm": F.sqrt("sq"),
             "RootMeanSquared": F.sqrt(F.col("sq") / n), "Variance": m2, "StandardDeviation": F.sqrt(m2),
             "Skewness": F.when(m2 == 0, 0.0).otherwise(F.try_divide(m3, F.pow(m2, F.lit(1.5)))),
@@ -88,8 +88,9 @@ def _total(a, of=lambda v: v) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + of(v))
 
 
-def _mean(a) -> Column:
-    return _total(a) / F.size(a)
+def _mean(a, of=lambda v: v) -> Column:
+    """Null for an empty array: two different values have none between their first and last decile."""
+    return F.try_divide(_total(a, of), F.size(a))
 
 
 def _quantile(a, q: float) -> Column:
@@ -121,7 +122,7 @@ def order_statistics(rows: DataFrame, names=ORDER_NAMES) -> DataFrame:
             "MedianAbsoluteDeviationFromMean": _quantile(F.col("from_mean"), 0.5), "MedianAbsoluteDeviationFromMedian": _quantile(F.col("from_median"), 0.5),
             "MaxAbsoluteDeviationFromMean": F.array_max("from_mean"), "MaxAbsoluteDeviationFromMedian": F.array_max("from_median"),
             "MedianAbsoluteDeviation": _quantile(F.col("from_median"), 0.5) * 1.4826,
-            "RobustMeanAbsoluteDeviation": _total(F.col("inner"), lambda v: F.abs(v - F.col("inner_mu"))) / F.size("inner"),
+            "RobustMeanAbsoluteDeviation": _mean(F.col("inner"), lambda v: F.abs(v - F.col("inner_mu"))),
             "Uniformity": _total(F.col("counts"), lambda c: share(c) * share(c)),
             "Entropy": -_total(F.col("counts"), lambda c: share(c) * F.log2(share(c) + EPS)),
             **{f"TrimmedMean_p_{p}": _mean(F.slice(a, cut(p) + 1, F.col("n") - 2 * cut(p))) for p in co.TRIMS},
