@@ -276,12 +276,13 @@ def kernels(cells: DataFrame, radius: int = 1, carry=("v",)) -> DataFrame:
                     *[F.col(f"{c}2").alias(c) for c in carry])
 
 
-def _map_names(spark: SparkSession, names, distances) -> list[str]:
-    """The features of a map, a few hundred: also those that no cell of the data has a value of."""
+def _map_names(spark: SparkSession, names, distances) -> dict[tuple[str, int], list[str]]:
+    """The features of a map by class and distance, a few hundred: also those that no cell of the data has a value of."""
     pairs = [(n, d, v) for n, v in co.variants(names.get("glcm", ())) for d in distances]
     named = spark.createDataFrame(pairs, "feature string, dist int, variant string").select(
-        names_module.parameterised("glcm", F.col("feature"), None, F.col("dist"), F.col("variant")).alias("feature"))
-    return sorted([f"firstorder_{n}" for n in names.get("firstorder", ())] + [r["feature"] for r in named.collect()])
+        "dist", names_module.parameterised("glcm", F.col("feature"), None, F.col("dist"), F.col("variant")).alias("feature")).collect()
+    return {("firstorder", 0): [f"firstorder_{n}" for n in names.get("firstorder", ())],
+            **{("glcm", d): [r["feature"] for r in named if r["dist"] == d] for d in distances}}
 
 
 def voxel_map(vox: DataFrame, bins: int = 8, radius: int = 1, init: float = 0.0, names=None, distances=(1,)) -> DataFrame:
@@ -293,7 +294,8 @@ def voxel_map(vox: DataFrame, bins: int = 8, radius: int = 1, init: float = 0.0,
     """
     names = names or {"firstorder": (*windows.MOMENT_NAMES, *windows.ORDER_NAMES), "glcm": co.FORMULAS}
     cells = stage(grid.discretise(grid.roi(vox), bins).select("case_id", "z", "y", "x", "v", "g", F.lit(bins).alias("bin_count")), "region")
-    place, parts = ["case_id", "z", "y", "x"], []
+    place, parts, named = ["case_id", "z", "y", "x"], [], _map_names(vox.sparkSession, names, distances)
+    empty = lambda at, wanted: at.select(*place, F.explode(F.array(*[F.lit(f) for f in wanted])).alias("feature"), F.lit(None).cast("double").alias("value"))
     own = names.get("firstorder", ())
     sums, ranks = ([n for n in own if n in some] for some in (windows.MOMENT_NAMES, windows.ORDER_NAMES))
     if len(sums) + len(ranks) < len(own):
@@ -304,9 +306,13 @@ def voxel_map(vox: DataFrame, bins: int = 8, radius: int = 1, init: float = 0.0,
             long = weighted.to_long(table(), place).withColumn("feature", F.concat(F.lit("firstorder_"), "feature"))
             parts.append(stage(long, "map-firstorder"))
     if names.get("glcm"):
-        p = stage(texture.normalise(windows.pair_counts(cells, radius, distances)), "map-pairs")
+        counts = windows.pair_counts(cells, radius, distances).where("i IS NOT NULL AND j IS NOT NULL")
+        p = stage(texture.normalise(counts), "map-pairs")
         long = co.features(p, stage(windows.level_facts(cells, radius), "map-levels"), names["glcm"])
         name = names_module.parameterised("glcm", F.col("feature"), None, F.col("dist"), F.col("variant"))
         parts.append(long.select("case_id.case_id", "case_id.z", "case_id.y", "case_id.x", name.alias("feature"), "value"))
-    every = vox.select(*place, F.explode(F.array(*[F.lit(f) for f in _map_names(vox.sparkSession, names, distances)])).alias("feature"))
-    return every.join(reduce(DataFrame.unionByName, parts), [*place, "feature"], "left").withColumn("value", F.coalesce("value", F.lit(float(init))))
+        for d in distances:  # a cell with a pair has a row of each feature
+            paired = p.where(F.col("dist") == d).select("case_id.*").distinct()
+            parts.append(empty(cells.join(paired, place, "left_anti"), named["glcm", d]))
+    parts.append(empty(vox.join(cells, place, "left_anti"), sum(named.values(), [])))
+    return reduce(DataFrame.unionByName, parts).withColumn("value", F.coalesce("value", F.lit(float(init))))
