@@ -168,6 +168,17 @@ def test_voxel_map_of_every_feature(spark):
     assert len(alone) == 2 * 9 and {r.value for r in alone} == {-1.0}
 
 
+def test_voxel_map_of_two_distances(spark):
+    """Three cells in a row: only the middle one's cube holds a pair at distance 2."""
+    vox = spark.createDataFrame([(1, 0, 0, x, float(x), 1) for x in range(3)] + [(None, 0, 0, 0, 1.0, 1)], CELL)
+    rows = extract.voxel_map(vox, 3, 1, -1.0, {"glcm": ("Contrast",)}, (1, 2)).collect()
+    got = {(r.case_id, r.x, r.feature): r.value for r in rows if r.feature.endswith("_f_origin")}
+    assert len(rows) == 4 * 6 and len(got) == 4 * 2
+    assert [got[1, x, "glcm_Contrast_d_1_f_origin"] for x in range(3)] == [1, 1, 1]
+    assert [got[1, x, "glcm_Contrast_d_2_f_origin"] for x in range(3)] == [-1, 4, -1]
+    assert {v for (case, *_), v in got.items() if case is None} == {-1.0}
+
+
 def test_named_variants_are_those_made(grid_levels):
     lev = grid_levels([[1, 2, 3], [2, 2, 4]])
     p = texture.normalise(texture.glcm_of_levels(lev))
