@@ -274,11 +274,13 @@ def dense_values(p: DataFrame, levels: DataFrame) -> DataFrame:
     Empty cells are never materialised: they are one row v = 0 with weight levels^2 * angles - cells.
     """
     hist = p.groupBy(*KEYS, F.col("p").alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    size = p.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("nnz"), F.size(F.collect_set("angle")).alias("na"))
-    size = size.join(levels.select("case_id", "bin_count", "ng_present"), ["case_id", "bin_count"])
-    zeros = size.select(*KEYS, F.lit(0.0).alias("v"),
-                        (F.col("ng_present") * F.col("ng_present") * F.col("na") - F.col("nnz")).alias("w"))
-    return hist.unionByName(zeros.where("w > 0"))
+    # the cells of an angle sum to 1, so all of them to the number of angles
+    one = hist.groupBy(*KEYS).agg(F.collect_list(F.struct("v", "w")).alias("cells"), F.sum("w").alias("nnz"),
+                                  F.round(F.sum(F.col("v") * F.col("w"))).cast("long").alias("na"))
+    one = one.join(levels.select("case_id", "bin_count", "ng_present"), ["case_id", "bin_count"])
+    empty = "ng_present * ng_present * na - nnz"
+    cells = f"concat(cells, if({empty} > 0, array(struct(0.0D AS v, {empty} AS w)), array()))"
+    return one.select(*KEYS, F.expr(f"explode({cells})").alias("t")).select(*KEYS, "t.v", "t.w")
 
 
 # per-angle sums over one table: the columns of several features can share an aggregate
@@ -345,16 +347,18 @@ def features(p: DataFrame, levels: DataFrame, names=FORMULAS) -> DataFrame:
 
 def feature(name: str, cells: DataFrame, bin_counts=(8,), distances=(1,), force2d: int | None = None) -> DataFrame:
     """One co-occurrence feature, a column per variant, per case, bin count and distance."""
-    p = texture.normalise(texture.glcm_counts(cells, bin_counts, distances, force2d=force2d))
+    cases = texture.measure_cases(cells, distances, force2d)
+    p = texture.normalise(texture.glcm_counts(cells, bin_counts, distances, force2d=force2d, totals=True, cases=cases))
     pv = with_variants(p)
     if name in WHOLE:
         return WHOLE[name](pv)
     plain = name in ("Contrast", "Average", "Autocorrelation") or name in DIFFERENCE or name in SUM
-    levels = None if plain else texture.glcm_levels(cells, bin_counts)
+    levels = None if plain else texture.glcm_levels(cells, bin_counts, cases).hint("shuffle_hash")
     (builders, table), = _groups(pv, levels, [name])
     return angle_mean(table, builders[name]())
 
 
 def dense(cells: DataFrame, bin_counts=(8,), distances=(1,)) -> DataFrame:
-    p = texture.normalise(texture.glcm_counts(cells, bin_counts, distances))
-    return dense_values(p, texture.glcm_levels(cells, bin_counts))
+    cases = texture.measure_cases(cells, distances)
+    p = texture.normalise(texture.glcm_counts(cells, bin_counts, distances, totals=True, cases=cases))
+    return dense_values(p, texture.glcm_levels(cells, bin_counts, cases).hint("shuffle_hash"))

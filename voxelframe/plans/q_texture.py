@@ -42,7 +42,7 @@ for _name in co.FORMULAS:
 _MU = ", ".join(f"sum(i * p_{s}) OVER (PARTITION BY {sql.K3}, angle) AS mu_{s}" for s in sql.SFX)
 register("glcm_covariance",
          lambda spark, d: rounded(co.covariance(co.with_variants(texture.normalise(
-             texture.glcm_counts(_region(spark, d), BINS, DISTS))))),
+             texture.glcm_counts(_region(spark, d), BINS, DISTS, totals=True))))),
          sql._avg(f"{sql.glcm_cte(BINS, DISTS)}, mm AS (SELECT *, {_MU} FROM pv)", "mm",
                   {f"f_{s}": f"sum(p_{s} * (i - mu_{s}) * (j - mu_{s}))" for s in sql.SFX}))
 
