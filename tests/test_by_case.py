@@ -83,3 +83,19 @@ def test_tasks_follow_the_pairs(cells, monkeypatch):
     assert few.tasks == -(-cells.count() * 13 // 100) and few.largest == 60
     assert texture.measure_cases(cells.where(F.lit(False)), (1,)).largest == 0
     assert texture.glcm_counts(cells.where(F.lit(False)), BINS, DISTS).count() == 0
+
+
+def test_a_matrix_read_once_is_not_written(spark, cells, monkeypatch):
+    from voxelframe.operators import extract
+
+    written = []
+    for module in (extract, co):
+        monkeypatch.setattr(module, "stage", lambda df, name, put=module.stage: (written.append(name), put(df, name))[1])
+    one = extract.glcm(cells, BINS, DISTS, wanted=("Contrast",), dense=False)
+    assert written == ["glcm-batch"]
+    two = extract.glcm(cells, BINS, DISTS, wanted=("Contrast", "DifferenceEntropy"), dense=False)
+    assert "glcm" in written
+    got, want = ({(r["case_id"], r["feature"]): r["value"] for r in t.collect()} for t in (one, two.where("feature LIKE 'glcm_Contrast%'")))
+    assert got == pytest.approx(want)
+    assert co.in_one_pass(("Contrast", "Average")) and co.in_one_pass(("Variance",))
+    assert not co.in_one_pass(("Cluster",)) and not co.in_one_pass(co.FORMULAS) and not co.in_one_pass(("Contrast", "Variance"))

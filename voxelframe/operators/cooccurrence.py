@@ -322,6 +322,13 @@ def _groups(pv: DataFrame, levels: DataFrame | None, names):
         yield add, sum_mass(pv)
 
 
+def in_one_pass(names) -> bool:
+    """Whether all named features are taken by one aggregate that reads the cell table once."""
+    if set(names) & {*CLUSTER, *WHOLE}:
+        return len(names) == 1 and not set(names) & set(CLUSTER)
+    return any(set(names) <= set(g) and len(variants(names)) <= BATCH for g in (CELL, DIFFERENCE, SUM))
+
+
 def _unpivoted(w: DataFrame) -> DataFrame:
     """Columns feature|variant to rows."""
     cells = ", ".join("struct('{}' AS feature, '{}' AS variant, `{}` AS value)".format(*c.split("|"), c) for c in w.columns if c not in KEYS)

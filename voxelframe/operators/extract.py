@@ -62,10 +62,14 @@ def first_order(cells: DataFrame, wanted=None) -> DataFrame:
 
 
 def glcm(cells: DataFrame, bin_counts=BIN_COUNTS, distances=DISTANCES, wanted=None, dense: bool = True) -> DataFrame:
-    p = stage(texture.normalise(texture.glcm_counts(cells, bin_counts, distances)), "glcm")
-    lev = texture.glcm_levels(cells, bin_counts)
-    out = _named(co.features(p, lev, wanted or co.FORMULAS), "glcm", True, True, True)
-    if dense and wanted is None:
+    cases = texture.measure_cases(cells, distances)
+    p = texture.normalise(texture.glcm_counts(cells, bin_counts, distances, totals=True, cases=cases))
+    lev = texture.glcm_levels(cells, bin_counts, cases)
+    names, dense = wanted or co.FORMULAS, dense and wanted is None
+    if dense or not co.in_one_pass(names):
+        p = stage(p, "glcm")  # many times the cells: only what is read again is written
+    out = _named(co.features(p, lev, names), "glcm", True, True, True)
+    if dense:
         vw = co.dense_values(p, lev)
         blk = weighted.block(vw, co.KEYS, with_variance=False).drop("RobustMeanAbsoluteDeviation", "L2Norm")
         out = out.unionByName(_named(weighted.to_long(blk, co.KEYS).withColumn("variant", F.lit("value")), "glcm", True, True, True))
