@@ -112,3 +112,21 @@ def test_nulls_repeats_and_empty_tables(spark):
         filters.resample(df, geo, (1.0, 1.0, 0.5), "bicubic")
     with pytest.raises(ValueError):
         filters.log_sigma(df, 1.0, how="exact")
+
+
+def test_spline_of_a_small_case_exchanges_its_cells_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(c, z, y, x, float((3 * c + 5 * z * z + 7 * y + x * x) % 11)) for c in range(3) for z in range(4) for y in range(1 + c) for x in range(5)]
+    vox = spark.createDataFrame(rows, "case_id long, z int, y int, x int, v double")
+    geo = vox.groupBy("case_id").agg(*[(F.max(a) + 1).cast("int").alias(f"n{a}") for a in "zyx"]).withColumns(
+        {f"{p}{a}": F.lit(x) for a, s in zip("zyx", (2.0, 1.0, 1.0)) for p, x in (("d", s), ("o", 0.0))})
+    run = lambda: filters.resample(vox, geo, (1.0, 0.8, 0.0), "spline")
+    plan = run()._jdf.queryExecution().executedPlan().toString()
+    found = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert found and all("REPARTITION_BY_NUM" in line for line in found) and plan.count("Exchange hashpartitioning(") <= 5
+    got = {tuple(r)[:4]: r["v"] for r in run().collect()}
+    for limit in (0, 60):  # none, or some of the cases fit a task
+        monkeypatch.setattr(filters, "LOCAL_CELLS", limit)
+        far = {tuple(r)[:4]: r["v"] for r in run().collect()}
+        assert far.keys() == got.keys() and all(abs(far[k] - got[k]) < 1e-9 for k in got)

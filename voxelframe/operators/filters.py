@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.operators import grid, recursive
+from voxelframe.session import stage
 
 AXES = ("z", "y", "x")
 
@@ -318,6 +319,42 @@ def target_grid(geo: DataFrame, new_spacing, keys=("case_id",)) -> DataFrame:
     return df.select(*keys, *[f"t{a}" for a in AXES], *[f"p{a}" for a in AXES])
 
 
+LOCAL_CELLS = 1 << 17  # a case of at most so many cells, old or new, is resampled by a spline in one task
+TASK_CELLS = 1 << 18   # cells of a task, unless one case has more
+
+
+def _spline(vox: DataFrame, geo: DataFrame, new_spacing, keys) -> DataFrame:
+    """Cells of a case that fits a task are exchanged once for all three axes; larger cases once or more an axis, by line and cell."""
+    size = F.lit(1.0)
+    for a, s in zip(AXES, new_spacing):
+        old = F.col(f"n{a}").cast("double")
+        size = size * (old if s == 0 else F.greatest(old, F.ceil(old * F.col(f"d{a}") / F.lit(float(s)))))
+    geo = stage(geo.withColumn("_size", size), "geometry")
+    total, largest = geo.agg(F.sum(F.least("_size", F.lit(float(LOCAL_CELLS)))), F.max("_size")).first()
+    tasks = max(vox.sparkSession.sparkContext.defaultParallelism, math.ceil((total or 0) / TASK_CELLS))
+    small = geo.where(F.col("_size") <= LOCAL_CELLS).repartition(tasks, *keys)
+    if (largest or 0) <= LOCAL_CELLS:
+        return _spline_axes(vox.select(*keys, *AXES, "v").repartition(tasks, *keys), small, new_spacing, keys, True)
+    ids = F.broadcast(geo.where(F.col("_size") > LOCAL_CELLS).select(*keys))  # at most one case in LOCAL_CELLS cells
+    rest = vox.join(ids, keys, "left_anti").select(*keys, *AXES, "v").repartition(tasks, *keys)
+    large = geo.where(F.col("_size") > LOCAL_CELLS)
+    return _spline_axes(rest, small, new_spacing, keys, True).unionByName(
+        _spline_axes(vox.join(ids, keys, "left_semi"), large, new_spacing, keys, False))
+
+
+def _spline_axes(vox: DataFrame, geo: DataFrame, new_spacing, keys, by_case: bool) -> DataFrame:
+    sizes = geo.select(*keys, *[f"n{a}" for a in AXES])
+    cur = vox.join(sizes.hint("shuffle_hash") if by_case else sizes, keys)
+    box = {f"{a}_{e}": F.lit(0) if e == "lo" else F.col(f"n{a}") - 1 for a in AXES for e in ("lo", "hi")}
+    for a, s in zip(AXES, new_spacing):
+        rest = [o for o in AXES if o != a]
+        left = [c for o in AXES[AXES.index(a) + 1:] for c in (f"{o}_lo", f"{o}_hi")]  # boxes of the axes still to come
+        cur = (cur.withColumns(box) if a == AXES[0] else cur).select(*keys, *AXES, "v", f"{a}_lo", f"{a}_hi", *left)
+        to = _target_axis(geo, a, s).select(*keys, F.col(f"n{a}").alias("n"), F.col(f"t{a}").alias("t"), F.col(f"p{a}").alias("p"))
+        cur = recursive.spline_axis(cur, a, to, keys, [*rest, *left], by_case)
+    return cur.select(*keys, *AXES, "v")
+
+
 def resample(vox: DataFrame, geo: DataFrame, new_spacing, how: str = "linear", keys=("case_id",)) -> DataFrame:
     """Interpolate v on the new grid: trilinear over 8 cells ("linear"), the nearest cell, or a cubic spline through the cells.
 
@@ -327,15 +364,7 @@ def resample(vox: DataFrame, geo: DataFrame, new_spacing, how: str = "linear", k
     if how not in ("linear", "nearest", "spline"):
         raise ValueError(f"how {how}")
     if how == "spline":
-        cur = vox.join(geo.select(*keys, *[f"n{a}" for a in AXES]), keys)
-        box = {f"{a}_{e}": F.lit(0) if e == "lo" else F.col(f"n{a}") - 1 for a in AXES for e in ("lo", "hi")}
-        for a, s in zip(AXES, new_spacing):
-            rest = [o for o in AXES if o != a]
-            left = [c for o in AXES[AXES.index(a) + 1:] for c in (f"{o}_lo", f"{o}_hi")]  # boxes of the axes still to come
-            cur = (cur.withColumns(box) if a == AXES[0] else cur).select(*keys, *AXES, "v", f"{a}_lo", f"{a}_hi", *left)
-            to = _target_axis(geo, a, s).select(*keys, F.col(f"n{a}").alias("n"), F.col(f"t{a}").alias("t"), F.col(f"p{a}").alias("p"))
-            cur = recursive.spline_axis(cur, a, to, keys, [*rest, *left])
-        return cur.select(*keys, *AXES, "v")
+        return _spline(vox, geo, new_spacing, keys)
     t = target_grid(geo, new_spacing, keys)
     if how == "nearest":
         src = t.select(*keys, *[f"t{a}" for a in AXES],

@@ -58,13 +58,18 @@ def gaussian(width: float):
     return poles, out
 
 
-def _mirrored(s: Column, n: Column, halo: int) -> Column:
-    """Places within the halo of the line at which the cell at s of n stands."""
+def _images(k: Column, n: Column, zero: Column, pole) -> tuple[Column, Column]:
+    """What the mirror images of the cell k cells from the end of a line of n add to the sums of its other side, where the end
+    has place ``zero`` in the sums: a geometric series, as the mirrored line repeats."""
+    d, turn = pole
     period = F.greatest((n - 1) * 2, F.lit(1))
-    turns = F.sequence(-F.ceil((n + halo) / period).cast("int"), F.ceil((n + halo) / period).cast("int"))
-    every = F.array_distinct(F.concat(F.transform(turns, lambda m: s + m * period), F.transform(turns, lambda m: m * period - s)))
-    near = F.filter(every, lambda t: (t >= -halo) & (t < n + halo))
-    return F.when(n == 1, F.sequence(F.lit(-halo), F.lit(halo))).when((s > halo) & (s < n - 1 - halo), F.array(s)).otherwise(near)
+    grown = lambda y: (F.exp(y * d) * F.cos(y * turn), F.exp(y * d) * F.sin(y * turn))
+    once, again = grown(zero - k), grown(zero - (period - k))
+    cos, sin = (F.when(k > 0, x).otherwise(0.0) + F.when((k < n - 1) | (n == 1), y).otherwise(0.0) for x, y in zip(once, again))
+    fade = F.exp(period * -d)
+    real, imag = 1.0 - fade * F.cos(period * turn), fade * F.sin(period * turn)
+    size = real * real + imag * imag
+    return (cos * real + sin * imag) / size, (sin * real - cos * imag) / size
 
 
 def along(vox: DataFrame, axis: str, poles, outputs, border: str = "edge", line=("case_id",)) -> DataFrame:
@@ -79,25 +84,29 @@ def along(vox: DataFrame, axis: str, poles, outputs, border: str = "edge", line=
     s = F.col(axis) - F.col(f"{axis}_lo")
     if border not in ("edge", "mirror"):
         raise ValueError(f"border {border}")
-    e = vox.withColumn("_t", F.explode(_mirrored(s, n, halo)) if border == "mirror" else s)
-    low, high = (F.floor((F.col("_t") + o) / block).cast("int") for o in (-halo, halo))
+    low, high = (F.floor((s + o) / block).cast("int") for o in (-halo, halo))
     last = F.floor((n - 1) / block).cast("int")
-    e = e.withColumn("_b", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, last))))
-    e = e.withColumn("_i", F.col("_t") - F.col("_b") * block + halo)
+    e = vox.withColumn("_b", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, last))))
+    e = e.withColumn("_i", s - F.col("_b") * block + halo)
     place, v = F.col("_i").cast("double"), F.coalesce("v", F.lit(0.0))
     sides = []
-    for side, at, order, end in (("f", place, F.asc("_i"), s == 0), ("r", F.lit(float(block + 2 * halo - 1)) - place, F.desc("_i"), s == n - 1)):
-        w = Window.partitionBy(*line, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for side, at, order, k_end in (("f", place, F.asc("_i"), s), ("r", F.lit(float(block + 2 * halo - 1)) - place, F.desc("_i"), n - 1 - s)):
+        end, zero = k_end == 0, at - k_end  # the end of the line, and its place
+        ordered = Window.partitionBy(*line, "_b").orderBy(order)
+        w, every = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow), ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         for k, (d, turn) in enumerate(poles):
             grown, cos, sin = v * F.exp(at * d), F.cos(at * turn), F.sin(at * turn)
             if border == "edge":  # the end cell repeats for ever: a geometric series
                 ever = 1 / (1 - cmath.exp(complex(-d, -turn)))
                 cos, sin = (F.when(end, x).otherwise(y) for x, y in ((cos * ever.real - sin * ever.imag, cos), (sin * ever.real + cos * ever.imag, sin)))
-            sides.append({f"_c{side}{k}": F.sum(grown * cos).over(w), f"_s{side}{k}": F.sum(grown * sin).over(w)})
+            sums = [F.sum(grown * cos).over(w), F.sum(grown * sin).over(w)]
+            if border == "mirror":  # of a block that reaches the end; it holds all cells whose images are felt
+                sums = [x + F.sum(F.when(zero >= 0, v * y).otherwise(0.0)).over(every) for x, y in zip(sums, _images(k_end, n, zero, (d, turn)))]
+            sides.append({f"_c{side}{k}": sums[0], f"_s{side}{k}": sums[1]})
         sides.append((side, at))
     for c in sides:
         e = e.withColumns(c) if isinstance(c, dict) else e
-    own = e.where((F.col("_t") == s) & (F.floor(F.col("_t") / block) == F.col("_b")))
+    own = e.where(F.floor(s / block) == F.col("_b"))
     vals = []
     for coefficients in outputs:
         total = -v * sum(a for a, _ in coefficients)  # the cell itself is in both directions
@@ -116,11 +125,11 @@ def spline_weight(x: Column) -> Column:
     return F.when(a < 1, 2.0 / 3.0 - a * a + a * a * a / 2.0).when(a < 2, (2.0 - a) * (2.0 - a) * (2.0 - a) / 6.0).otherwise(0.0)
 
 
-def spline_axis(vox: DataFrame, axis: str, targets: DataFrame, keys=("case_id",), others=()) -> DataFrame:
+def spline_axis(vox: DataFrame, axis: str, targets: DataFrame, keys=("case_id",), others=(), by_case: bool = False) -> DataFrame:
     """Cubic spline of v along one axis at the target places: (keys, others, axis, v); coefficients and taps mirror at both ends.
 
     ``targets`` has keys, n (cells of the axis), t (new coordinate) and p (place in old cells, from 0): one small row per case and
-    new coordinate, joined by case and cell, so a large case is spread over its cells.
+    new coordinate, joined by case and cell, so a large case is spread over its cells. Tables placed ``by_case`` stay where they are.
     """
     keys, others = list(keys), list(others)
     c = along(vox, axis, *SPLINE, border="mirror", line=[*keys, *others])
@@ -130,5 +139,5 @@ def spline_axis(vox: DataFrame, axis: str, targets: DataFrame, keys=("case_id",)
     turned = F.pmod("j", period)
     cell = F.when(F.col("n") == 1, 0).when(turned >= F.col("n"), period - turned).otherwise(turned)
     tap = tap.groupBy(*keys, "t", cell.cast("int").alias("_s")).agg(F.sum("w").alias("w"))
-    j = c.withColumn("_s", F.col(axis) - F.col(f"{axis}_lo")).drop(axis).join(tap, [*keys, "_s"])
+    j = c.withColumn("_s", F.col(axis) - F.col(f"{axis}_lo")).drop(axis).join(tap.hint("shuffle_hash") if by_case else tap, [*keys, "_s"])
     return j.groupBy(*keys, *others, F.col("t").alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
